@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import bpe, packing
+from . import bpe, packing, vectors
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,8 +16,16 @@ def p9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.similar_pairs(table(spark, sf_dir, "document_chunks"), "id", "embedding")
+
+
+def p2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.neighbours(table(spark, sf_dir, "document_chunks"), "id", "embedding")
+
+
 def queries():
-    return {"p8_ids": p8_ids, "p9_pack": p9_pack}
+    return {"p2_found": p2_found, "p2_neighbours": p2_neighbours, "p8_ids": p8_ids, "p9_pack": p9_pack}
 
 
 def oracle_sql():
