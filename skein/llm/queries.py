@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import bpe, packing, vectors
+from . import bpe, neardup, packing, vectors
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,8 +24,16 @@ def p2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.neighbours(table(spark, sf_dir, "document_chunks"), "id", "embedding")
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_pairs(table(spark, sf_dir, "document_chunks"), "id", "content")
+
+
+def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_groups(table(spark, sf_dir, "document_chunks"), "id", "content")
+
+
 def queries():
-    return {"p2_found": p2_found, "p2_neighbours": p2_neighbours, "p8_ids": p8_ids, "p9_pack": p9_pack}
+    return {"p2_found": p2_found, "p2_neighbours": p2_neighbours, "p6_found": p6_found, "p6_groups": p6_groups, "p8_ids": p8_ids, "p9_pack": p9_pack}
 
 
 def oracle_sql():
