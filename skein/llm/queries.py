@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import bpe, neardup, packing, vectors
+from . import bpe, fusion, neardup, packing, repetition, splitting, vectors
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,8 +32,42 @@ def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_groups(table(spark, sf_dir, "document_chunks"), "id", "content")
 
 
+#: Equal weights: no lane is trusted more than another.
+LANES = {"bm25_score": 1.0, "vec_score": 1.0, "rrf_score": 1.0}
+CANDIDATE_KEY = ["query_id", "sub_no"]
+
+
+def p3_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fusion.combined_scores(table(spark, sf_dir, "search_candidates"), CANDIDATE_KEY, "chunk_id", LANES)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fusion.top(p3_scores(spark, sf_dir), CANDIDATE_KEY, "chunk_id", 3).select(*CANDIDATE_KEY, "chunk_id")
+
+
+def p3_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fusion.ranked(p3_scores(spark, sf_dir), CANDIDATE_KEY, "chunk_id")
+
+
+def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.split_oversized(table(spark, sf_dir, "document_chunks"), "id", "content", ["section", "chunk_type"])
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_pieces(spark, sf_dir).select("id").distinct()
+
+
+def p10_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.repetition(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p10_repetition(spark, sf_dir).where("repeats").select("doc_id").distinct()
+
+
 def queries():
-    return {"p2_found": p2_found, "p2_neighbours": p2_neighbours, "p6_found": p6_found, "p6_groups": p6_groups, "p8_ids": p8_ids, "p9_pack": p9_pack}
+    found = [p2_found, p2_neighbours, p3_found, p3_ranking, p5_found, p5_pieces, p6_found, p6_groups, p8_ids, p9_pack, p10_found, p10_repetition]
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql():
