@@ -37,7 +37,7 @@ def combined_scores(df: DataFrame, group: list[str], item: str, lanes: dict[str,
     """
     total = sum(lanes.values())
     once = df.groupBy(*group, item).agg(*[F.max(F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))).alias(f"x_{c}") for c in lanes])
-    bound = lambda c: F.greatest(F.least(F.col(f"x_{c}"), F.lit(1e300)), F.lit(-1e300))
+    bound = lambda c: F.when(F.col(f"x_{c}").isNotNull(), F.greatest(F.least(F.col(f"x_{c}"), F.lit(1e300)), F.lit(-1e300)))
     once = once.withColumns({f"x_{c}": bound(c) for c in lanes})
     middles = once.groupBy(*group).agg(*[_median(F.col(f"x_{c}")).alias(f"m_{c}") for c in lanes])
     same = lambda left, right: _null_safe(left, right, group)
