@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, fusion, neardup, packing, repetition, splitting, vectors
+from . import bpe, fusion, markup, neardup, packing, repetition, splitting, vectors
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,6 +50,20 @@ def p3_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.ranked(p3_scores(spark, sf_dir), CANDIDATE_KEY, "chunk_id")
 
 
+#: Table, id and text columns that may hold markup.
+MARKED_UP = [("document_chunks", "id", "content"), ("extracted_texts", "file_id", "text")]
+
+
+def p4_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [markup.markup(table(spark, sf_dir, t), i, c).select(F.lit(t).alias("source_table"), "row_id", F.array_join("kinds", ",").alias("kinds"), "clean_text") for t, i, c in MARKED_UP]
+    return parts[0].unionByName(parts[1])
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [markup.markup(table(spark, sf_dir, t), i, c).select(F.lit(t).alias("source_table"), "row_id", F.explode("kinds").alias("markup_kind")) for t, i, c in MARKED_UP]
+    return parts[0].unionByName(parts[1]).distinct()
+
+
 def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_oversized(table(spark, sf_dir, "document_chunks"), "id", "content", ["section", "chunk_type"])
 
@@ -66,7 +81,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    found = [p2_found, p2_neighbours, p3_found, p3_ranking, p5_found, p5_pieces, p6_found, p6_groups, p8_ids, p9_pack, p10_found, p10_repetition]
+    found = [p2_found, p2_neighbours, p3_found, p3_ranking, p4_found, p4_clean, p5_found, p5_pieces, p6_found, p6_groups, p8_ids, p9_pack, p10_found, p10_repetition]
     return {f.__name__: f for f in found}
 
 
