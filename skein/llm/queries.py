@@ -6,7 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, fusion, markup, neardup, packing, repetition, splitting, vectors
+from . import bpe, fusion, markup, neardup, packing, repetition, scan, splitting, vectors
+
+
+def _p7(spark: SparkSession, sf_dir: str, repair: bool) -> DataFrame:
+    chunks, files = scan.scanned(table(spark, sf_dir, "document_chunks"), "id", "content", table(spark, sf_dir, "extracted_texts"), "file_id", "pages", repair)
+    return chunks.withColumn("source_table", F.lit("document_chunks")).unionByName(files.withColumn("source_table", F.lit("extracted_texts")))
+
+
+def p7_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _p7(spark, sf_dir, True).select("source_table", "row_id", "page_no", F.array_join("kinds", ",").alias("kinds"), "repaired")
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _p7(spark, sf_dir, False).select("source_table", "row_id", "page_no", F.explode("kinds").alias("noise_kind")).distinct()
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +94,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    found = [p2_found, p2_neighbours, p3_found, p3_ranking, p4_found, p4_clean, p5_found, p5_pieces, p6_found, p6_groups, p8_ids, p9_pack, p10_found, p10_repetition]
+    found = [p2_found, p2_neighbours, p3_found, p3_ranking, p4_found, p4_clean, p5_found, p5_pieces, p6_found, p6_groups, p7_found, p7_repaired, p8_ids, p9_pack, p10_found, p10_repetition]
     return {f.__name__: f for f in found}
 
 
