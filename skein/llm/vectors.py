@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +27,8 @@ from ..session import settle
 SCALE = 32767
 #: Dimensions of the rotations behind each digit of a hash string: fine digits first.
 DIGIT_DIMS = (64, 64, 32, 32, 32, 32)
+#: Bits of a whole string; with the tree's number (6 bits) and a salt they fill 63 bits.
+KEY_BITS = 38
 ROWS_PER_PARTITION = 32768
 BLOCK = 512
 
@@ -42,16 +45,17 @@ def _unit_rows(column: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def quantised(df: DataFrame, id_col: str, vec_col: str, dims: int) -> DataFrame:
-    """``id`` and ``q``, the unit vector as 16-bit integers; unusable vectors are left out."""
+    """``id``, ``q`` (the unit vector as 16-bit integers) and its digest ``same``; unusable vectors are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, unit = _unit_rows(batch.column(1), dims)
             q = np.rint(unit * SCALE).astype("<i2")
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array([x.tobytes() for x in q], pa.binary())], names=["id", "q"])
+            raw = [x.tobytes() for x in q]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(raw, pa.binary()), pa.array([xxhash.xxh3_128_digest(x) for x in raw], pa.binary())], names=["id", "q", "same"])
 
     source = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<float>").alias("v")).where("id is not null and v is not null")
-    return source.mapInArrow(run, "id bigint, q binary")
+    return source.mapInArrow(run, "id bigint, q binary, same binary")
 
 
 def rotations(dims: int, trees: int, seed: int) -> list[list[np.ndarray]]:
@@ -100,8 +104,9 @@ def _block_pairs(ids: np.ndarray, unit: np.ndarray, first: int, last: int, width
 
 def candidate_pairs(strings: DataFrame, dims: int, width: int, k: int, min_cos: float) -> DataFrame:
     """Pairs of classes that are close in some tree: ``a``, ``b`` and ``cosine``."""
-    trees = F.posexplode("keys").alias("tree", "key")
-    spread = strings.select("cid", "q", trees).withColumn("salt", F.xxhash64("cid"))
+    # one sort key: the tree, the string, and a salt that lets ranges cut between equal strings
+    place = F.posexplode("keys").alias("tree", "key")
+    spread = strings.select("cid", "q", place).select("cid", "q", F.shiftleft(F.col("tree").cast("bigint"), 57).bitwiseOR(F.shiftleft("key", 57 - KEY_BITS)).bitwiseOR(F.pmod(F.xxhash64("cid"), F.lit(1 << (57 - KEY_BITS)))).alias("key"))
     count = strings.count()
     per_row = strings.select(F.size("keys")).first()
     partitions = max(1, -(-count * (per_row[0] if per_row else 1) // ROWS_PER_PARTITION))
@@ -118,7 +123,7 @@ def candidate_pairs(strings: DataFrame, dims: int, width: int, k: int, min_cos:
 
         ids, unit, done, tree = np.empty(0, np.int64), np.empty((0, dims), np.float32), 0, None
         for batch in batches:
-            of = batch.column(0).to_numpy()
+            of = batch.column(0).to_numpy() >> 57
             for start in np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else ():
                 stop = start + int(np.searchsorted(of[start:], of[start], side="right"))
                 if tree is not None and of[start] != tree:
@@ -137,19 +142,19 @@ def candidate_pairs(strings: DataFrame, dims: int, width: int, k: int, min_cos:
         if len(ids) > done:
             yield pairs_of(ids, unit, done, len(ids))
 
-    sorted_arrays = spread.repartitionByRange(partitions, "tree", "key", "salt").sortWithinPartitions("tree", "key", "salt").select("tree", "cid", "q")
+    sorted_arrays = spread.repartitionByRange(partitions, "key").sortWithinPartitions("key").select("key", "cid", "q")
     return sorted_arrays.mapInArrow(run, "a bigint, b bigint, cosine float").groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
 
 
 def _classes(df: DataFrame, id_col: str, vec_col: str, dims: int) -> tuple[DataFrame, DataFrame]:
     """All usable rows with their class, and one row for each class with its vector."""
-    rows = settle(quantised(df, id_col, vec_col, dims).distinct(), "unit")
-    reps = rows.groupBy("q").agg(F.min("id").alias("cid"))
-    members = rows.select("id", "q").join(reps, "q").select("id", "cid")
+    rows = settle(quantised(df, id_col, vec_col, dims), "unit")
+    reps = settle(rows.groupBy("same").agg(F.min("id").alias("cid"), F.first("q").alias("q")), "reps")
+    members = rows.select("id", "same").join(reps.select("same", "cid"), "same").select("id", "cid").distinct()
     return members, reps.select("cid", "q")
 
 
-def neighbours(df: DataFrame, id_col: str, vec_col: str, k: int = 10, dims: int = 64, trees: int = 8, width: int = 1024, min_cos: float = -2.0, seed: int = 2024) -> DataFrame:
+def neighbours(df: DataFrame, id_col: str, vec_col: str, k: int = 10, dims: int = 64, trees: int = 6, width: int = 2048, min_cos: float = -2.0, seed: int = 2024) -> DataFrame:
     """``id``, ``neighbour``, ``cosine``, ``rank``: up to ``k`` rows for each usable vector.
 
     Equal cosines rank the smaller id first.  Vectors that are null, of another length, all
@@ -162,7 +167,8 @@ def neighbours(df: DataFrame, id_col: str, vec_col: str, k: int = 10, dims: int
     members = settle(members, "members")
     strings = settle(_with_strings(reps, rotations(dims, trees, seed), dims), "strings")
     pairs = candidate_pairs(strings, dims, width, k, min_cos)
-    both = pairs.select(F.col("a").alias("cid"), F.col("b").alias("other"), "cosine").unionAll(pairs.select(F.col("b").alias("cid"), F.col("a").alias("other"), "cosine"))
+    ways = F.explode(F.array(F.struct(F.col("a").alias("cid"), F.col("b").alias("other")), F.struct(F.col("b").alias("cid"), F.col("a").alias("other")))).alias("way")
+    both = pairs.select(ways, "cosine").select("way.cid", "way.other", "cosine")  # not a union, which would run the forest twice
     near = both.withColumn("r", F.row_number().over(Window.partitionBy("cid").orderBy(F.desc("cosine"), "other"))).where(F.col("r") <= k).drop("r")
     return _to_ids(near, members, k)
 
@@ -191,7 +197,7 @@ def exact_neighbours(df: DataFrame, id_col: str, vec_col: str, k: int = 10, dims
     The queries travel to every partition in bounded blocks as a broadcast file of their own
     size; the answer has ``id``, ``neighbour``, ``cosine``, ``rank``.
     """
-    rows = settle(quantised(df, id_col, vec_col, dims).distinct(), "exact")
+    rows = settle(quantised(df, id_col, vec_col, dims).drop("same").distinct(), "exact")
     blocks = settle(
         rows.where(F.pmod("id", F.lit(every)) == 0).withColumn("block", F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), F.lit(rows.count() // (every * 2000)))))
         .groupBy("block").agg(F.collect_list("id").alias("ids"), F.collect_list("q").alias("qs")),  # about 2,000 queries in each
