@@ -41,25 +41,30 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class Codes(dict):
+    """Hashes of words, kept as long as there are not too many of them."""
+
+    def __missing__(self, word: str) -> int:
+        code = self[word] = xxhash.xxh64_intdigest(word)
+        return code
+
+    def of(self, words: list[str], remember: int = 200_000) -> np.ndarray:
+        if len(self) > remember:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
+
+
 class Shingler:
-    """Hashed sets of consecutive words; remembers the hashes of words it has seen."""
+    """Hashed sets of consecutive words."""
 
-    def __init__(self, shingle: int, remember: int = 200_000):
-        self.shingle, self.remember, self.known = shingle, remember, {}
+    def __init__(self, shingle: int):
+        self.shingle, self.known = shingle, Codes()
 
     def __call__(self, text: str | None, min_words: int = 0) -> np.ndarray | None:
         words = _WORD.findall(text.lower()) if text else []
         if len(words) < max(min_words, self.shingle):
             return None
-        known = self.known
-        if len(known) > self.remember:
-            known.clear()
-        codes = np.empty(len(words), dtype=np.uint64)
-        for i, w in enumerate(words):
-            code = known.get(w)
-            if code is None:
-                code = known[w] = xxhash.xxh64_intdigest(w)
-            codes[i] = code
+        codes = self.known.of(words)
         n = len(codes) - self.shingle + 1
         mixed = codes[:n].copy()
         for j in range(1, self.shingle):
@@ -83,20 +88,21 @@ def minima(shingles: np.ndarray, seeds: np.ndarray) -> np.ndarray:
 
 
 def anchors(letters: np.ndarray) -> np.ndarray:
-    """The code words within distance 1 of each word, as hashes of (word number, code word).
+    """The code words within distance 1 of each word of each row (rows x letters), as hashes of
+    (word number, corrected place, code word).
 
     The code word in which place ``j`` is corrected is determined by the other places.
     """
-    found = []
-    for w in range(WORDS):
-        word = letters[w * LENGTH : (w + 1) * LENGTH]
+    words = letters.reshape(len(letters), WORDS, LENGTH)
+    found = np.empty_like(words)
+    with np.errstate(over="ignore"):
         for j in range(LENGTH):
-            h = np.uint64(w * LENGTH + j + 1) * _MIX
+            h = np.broadcast_to((np.arange(WORDS, dtype=np.uint64) * np.uint64(LENGTH) + np.uint64(j + 1)) * _MIX, words.shape[:2])
             for i in range(LENGTH):
                 if i != j:
-                    h = _mixed((h + word[i]) * _MIX)
-            found.append(h)
-    return np.array(found, dtype=np.uint64)
+                    h = _mixed((h + words[:, :, i]) * _MIX)
+            found[:, :, j] = h
+    return found.reshape(len(letters), WORDS * LENGTH)
 
 
 def _fingerprints(df: DataFrame, id_col: str, text_col: str, shingle: int, min_words: int) -> DataFrame:
@@ -118,7 +124,7 @@ def _fingerprints(df: DataFrame, id_col: str, text_col: str, shingle: int, min_w
             m = np.array(letters, dtype=np.uint64).reshape(len(ids), WORDS * LENGTH)
             low = (_mixed(m[:, :SKETCH]) & np.uint64(15)).reshape(-1, 2, 16)
             halves = np.bitwise_or.reduce(low << nibbles, axis=2).view(np.int64)
-            places = np.array([anchors(x) for x in m], dtype=np.uint64).reshape(len(ids), WORDS * LENGTH).view(np.int64)
+            places = anchors(m).view(np.int64)
             offsets = np.arange(len(ids) + 1, dtype=np.int32) * (WORDS * LENGTH)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(same, pa.binary()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(places.ravel()))],
