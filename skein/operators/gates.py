@@ -29,11 +29,17 @@ def answerable(score: str, config: EngineConfig = DEFAULT) -> Column:
     return F.coalesce(F.col(score) >= config.veto_score, F.lit(True))
 
 
-def gated(question: str, phrase: str, excerpt: str, value: str, score: str, config: EngineConfig = DEFAULT) -> tuple[Column, Column]:
-    """(confidence, routing) after relevance, scope and veto."""
-    relevance = F.greatest(F.when(F.col(phrase) != "", T.relevance(question, phrase)).otherwise(0.0), F.when(F.col(excerpt) != "", T.relevance(question, excerpt)).otherwise(0.0))
-    c = recalibrate(F.col(value), relevance, config)
+def evidence_relevance(question: str, phrase: str, excerpt: str) -> Column:
+    """The better of the phrase's and the excerpt's relevance; 0 for an empty one."""
+    return F.greatest(F.when(F.col(phrase) != "", T.relevance(question, phrase)).otherwise(0.0), F.when(F.col(excerpt) != "", T.relevance(question, excerpt)).otherwise(0.0))
+
+
+def gated(question: str, phrase: str, relevance: str, value: str, score: str, config: EngineConfig = DEFAULT) -> tuple[Column, Column]:
+    """(confidence, routing) after relevance, scope and veto, from columns by name, so that a
+    costly relevance is computed once."""
+    r = F.col(relevance)
+    c = recalibrate(F.col(value), r, config)
     c = F.when(T.out_of_scope(question).isNotNull(), F.least(c, F.lit(config.scope_cap))).otherwise(c)
     c = F.when(answerable(score, config), c).otherwise(F.least(c, F.lit(config.veto_cap)))
-    stop = (F.trim(F.coalesce(F.col(phrase), F.lit(""))) == "") | (relevance < config.relevance_low) | ~answerable(score, config)
+    stop = (F.trim(F.coalesce(F.col(phrase), F.lit(""))) == "") | (r < config.relevance_low) | ~answerable(score, config)
     return c, F.when(stop, "no_answer").when(c >= config.answer_at, "answer").when(c >= config.partial_at, "partial").otherwise("no_answer")

@@ -537,4 +537,4 @@ def mean_precision(spark, sf_dir):
     return metrics.average_precision(ranking, relevant)
 
 
-from . import ingest_catalog  # noqa: E402,F401  registers the ingestion and conversation queries
+from . import answer_catalog, ingest_catalog  # noqa: E402,F401  they register their queries
