@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, fusion, markup, neardup, packing, repetition, scan, splitting, vectors
+from . import bpe, fusion, markup, neardup, packing, pii, repetition, scan, splitting, vectors
 
 
 def _p7(spark: SparkSession, sf_dir: str, repair: bool) -> DataFrame:
@@ -30,6 +30,18 @@ def p9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def _pii_sources(spark: SparkSession, sf_dir: str):
+    return [("audit_log", table(spark, sf_dir, "audit_log"), "id", "query"), ("feedback", table(spark, sf_dir, "feedback"), "id", "comment"), ("knowledge_gaps", table(spark, sf_dir, "knowledge_gaps"), "id", "query")]
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.found(_pii_sources(spark, sf_dir))
+
+
+def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.redacted(_pii_sources(spark, sf_dir))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.similar_pairs(table(spark, sf_dir, "document_chunks"), "id", "embedding")
 
@@ -94,7 +106,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    found = [p2_found, p2_neighbours, p3_found, p3_ranking, p4_found, p4_clean, p5_found, p5_pieces, p6_found, p6_groups, p7_found, p7_repaired, p8_ids, p9_pack, p10_found, p10_repetition]
+    found = [p1_found, p1_redacted, p2_found, p2_neighbours, p3_found, p3_ranking, p4_found, p4_clean, p5_found, p5_pieces, p6_found, p6_groups, p7_found, p7_repaired, p8_ids, p9_pack, p10_found, p10_repetition]
     return {f.__name__: f for f in found}
 
 
