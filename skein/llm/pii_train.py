@@ -75,8 +75,8 @@ class Maker:
         first, family = self.r.choice(FIRST), self.family()
         if self.r.random() < 0.15:
             family += self.one("-", "-", " ") + self.family()
-        if self.r.random() < 0.1:
-            first = self.family()[:6].capitalize()
+        if self.r.random() < 0.25:
+            first = self.family()[: self.r.randint(4, 8)].capitalize()
         middle = f" {self.r.choice('ABCDEFGHJKLMNPRSTW')}." if self.r.random() < 0.15 else ""
         p = self.r.random()
         if p < 0.6:
@@ -112,7 +112,7 @@ class Maker:
         p = self.r.random()
         nbh = "‑"
         if p < 0.5:
-            made = self.one(f"({area}){ex}-{line}", f"({area}) {ex}-{line}", f"{area}-{ex}-{line}", f"{area} {ex} {line}", f"{area} {ex}{nbh}{line}", f"{area}.{ex}.{line}", f"{area}{ex}{line}", f"+1 {area} {ex} {line}", f"1-{area}-{ex}-{line}", f"{area}/{ex}/{line}", f"{area}/{ex}/{line}", f"{ex}-{line}", f"+1{area}{ex}{line}", f"+1-{area}-{ex}-{line}")
+            made = self.one(f"({area}){ex}-{line}", f"({area}) {ex}-{line}", f"{area}-{ex}-{line}", f"{area} {ex} {line}", f"{area} {ex}{nbh}{line}", f"{area}.{ex}.{line}", f"{area}{ex}{line}", f"+1 {area} {ex} {line}", f"1-{area}-{ex}-{line}", *[f"{area}/{ex}/{line}"] * 4, f"{ex}-{line}", f"+1{area}{ex}{line}", f"+1-{area}-{ex}-{line}")
         elif p < 0.62:
             word = {"0": "zero", "1": "one", "2": "two", "3": "three", "4": "four", "5": "five", "6": "six", "7": "seven", "8": "eight", "9": "nine"}
             spoken = " ".join(word[d] for d in ex)
@@ -460,7 +460,8 @@ def train(batches: int, hidden: int = 28, embedding: int = 16, size: int = 96, b
 
 
 def common_rows(directory: str, rows: int = BACKGROUND_ROWS, least: float = 0.0012) -> list[str]:
-    """Up to ``rows`` distinct texts all of whose words are common, without @ and long numbers."""
+    """Up to ``rows`` distinct texts all of whose words are common and that hold nothing that might
+    be an address or a long number."""
     import pyarrow.parquet as pq
 
     texts = sorted({t for name, column in (("audit_log", "query"), ("feedback", "comment"), ("knowledge_gaps", "query")) for t in pq.read_table(f"{directory}/{name}.parquet", columns=[column]).column(0).to_pylist() if t})
@@ -469,7 +470,8 @@ def common_rows(directory: str, rows: int = BACKGROUND_ROWS, least: float = 0.00
     for t in texts:
         for x in set(re.findall(r"[^\W\d_]+", t.lower())):
             counts[x] = counts.get(x, 0) + 1
-    fit = [t for t in texts if "@" not in t and not re.search(r"\d[\d\-. ]{5,}", t) and all(counts[x] >= least * len(texts) for x in re.findall(r"[^\W\d_]+", t.lower()))]
+    doubtful = re.compile(r"(?i)@| \(?at\)? .*\bdot\b|\d[\d\-. /()\u2011]{4,}\d|\b(?:five|zero) (?:five|zero)|\b\d+[a-z]? .{0,40}\b(?:st|street|road|rd|ave|avenue|lane|ln|court|ct|drive|dr|terrace|close|way|place|blvd|crescent)\b|stra(?:ß|ss)e|\bcalle\b")
+    fit = [t for t in texts if not doubtful.search(t) and all(counts[x] >= least * len(texts) for x in re.findall(r"[^\W\d_]+", t.lower()))]
     return fit[:rows]
 
 

@@ -358,7 +358,6 @@ def line_model(pages: int = 900, seed: int = 8) -> Perceptron:
     return Perceptron().train(rows, rounds=5)
 
 
-_PLAIN = re.compile(r"[a-zà-ÿ][,;]?$|[.!?:][\"')\]]?$")
 
 
 def label_lines(lines: list[str], page: int, pages: int, repeated: Counter, model: Perceptron) -> list[str]:
