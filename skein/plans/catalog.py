@@ -226,7 +226,7 @@ _rbac("rbac_none", "false", role=None)
 SELECT u.user_id, d.doc_id FROM documents d JOIN u ON d.client_id = u.s""")
 def rbac_batch(spark, sf_dir):
     users = table(spark, sf_dir, "users").select(F.col("id").alias("user_id"), "role", "client_id", "assigned_clients")
-    return scope.visible_to_users(table(spark, sf_dir, "documents").select("doc_id", "client_id"), users.withColumnRenamed("client_id", "client_id")).select("user_id", "doc_id")
+    return scope.visible_to_users(table(spark, sf_dir, "documents").select("doc_id", "client_id"), users).select("user_id", "doc_id")
 
 
 @query("SELECT doc_id FROM documents WHERE version >= 2 AND is_active AND is_approved")
@@ -249,7 +249,6 @@ def array_membership(spark, sf_dir):
     return table(spark, sf_dir, "audit_log").where(F.array_contains("retrieved_ids", 10)).select("id").distinct()
 
 
-_OOS = f"regexp_matches(query, '{L.PERSONAL_DATA}')"
 
 
 @query(f"SELECT DISTINCT id, CASE WHEN regexp_matches(query, '{L.PERSONAL_DATA}') THEN 'personal_data' WHEN regexp_matches(query, '{L.FRAUD_VERB}') AND regexp_matches(query, '{L.FRAUD_TARGET}') THEN 'fraud_intent' END AS reason FROM audit_log WHERE reason IS NOT NULL")
