@@ -41,8 +41,10 @@ STEM_SUFFIXES = [
     ("ies", ["y"]), ("tion", ["", "e"]), ("ment", [""]), ("ant", ["", "at"]), ("ent", ["", "et"]), ("es", [""]), ("ing", ["", "e"]), ("ed", ["", "e"]), ("er", [""]), ("or", [""]), ("s", [""]),
 ]
 
+#: Wordings that make a question complex.
 COMPLEX_MARKERS = ["compare", "comparison", "difference", "different", "versus", " vs ", "why", "explain", "trade-off", "tradeoff", "pros and cons", "which is better", "walk me through", "step by step", "impact of"]
 
+#: Keyword -> document type, in order.
 DOC_TYPE_KEYWORDS = [
     ("underwriting", "underwriting"), ("eligibility", "eligibility"), ("compliance", "compliance"), ("policy", "policy"), ("procedure", "procedure"), ("guideline", "policy"), ("requirement", "policy"),
 ]

@@ -101,6 +101,7 @@ def out_of_scope(x: Column | str) -> Column:
     return F.when(q.rlike(L.PERSONAL_DATA), "personal_data").when(q.rlike(L.FRAUD_VERB) & q.rlike(L.FRAUD_TARGET), "fraud_intent")
 
 
+#: Patterns of comparison questions, in order (fixed values).
 _COMPARISONS = [
     r"^(?:what(?:'s| is| are)?\s+the\s+)?difference\s+between\s+(.+?)\s+and\s+(.+)$",
     r"^what\s+is\s+different\s+between\s+(.+?)\s+and\s+(.+)$",

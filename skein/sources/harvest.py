@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.lexicon import CONNECTIVES
 
 _SMALL = frozenset(CONNECTIVES)
+#: How acronyms are introduced (fixed values).
 _BRACKETED = re.compile(r"((?:[A-Z][a-zA-Z']+[\s/-]+|[a-z]{2,3}[\s/-]+){1,10})\(([A-Z][A-Z0-9]{1,10})\)")
 _LEADING = re.compile(r"\b([A-Z][A-Z0-9]{1,10})\b\s*[-—:]\s*([A-Za-z][A-Za-z ,&'/-]{1,160}?)(?=[.!?;]|\n|$)")
 
