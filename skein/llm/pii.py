@@ -116,23 +116,25 @@ class Tagger:
     def decode(self, scores: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """The best paths of a batch (rows, length, TAGS); beyond a row's length the path is 0."""
         n, t, _ = scores.shape
-        best = scores[:, 0] + self.start
-        came, chosen = np.zeros((t, n, TAGS), dtype=np.int8), np.empty((n, TAGS), dtype=np.intp)
-        towards = np.ascontiguousarray(self.trans.T)[None]
+        by_tag = np.ascontiguousarray(scores.transpose(1, 2, 0))  # position, tag, row: rows are the inner loop
+        steps = np.empty((t, TAGS, n), dtype=np.float32)
+        steps[0] = by_tag[0] + self.start[:, None]
+        ways = np.empty((TAGS, TAGS, n), dtype=np.float32)
+        whole = int(lengths.min())
         for i in range(1, t):
-            all_ = best[:, None, :] + towards
-            all_.argmax(axis=2, out=chosen)
-            came[i] = chosen
-            step = all_.max(axis=2) + scores[:, i]
-            best = np.where((i < lengths)[:, None], step, best)
+            np.add(steps[i - 1][:, None, :], self.trans[:, :, None], out=ways)
+            np.max(ways, axis=0, out=steps[i])
+            steps[i] += by_tag[i]
+            if i >= whole:  # rows that have ended keep their sums
+                np.copyto(steps[i], steps[i - 1], where=(i >= lengths)[None])
         path = np.zeros((n, t), dtype=np.int8)
-        rows = np.arange(n)
-        tag = (best + self.end).argmax(axis=1)
+        tag = (steps[-1] + self.end[:, None]).argmax(axis=0)
         for i in range(t - 1, -1, -1):
             inside = i < lengths
             path[inside, i] = tag[inside]
             if i:
-                tag = np.where(inside, came[i][rows, tag], tag)
+                before = (steps[i - 1] + self.trans[:, tag]).argmax(axis=0)
+                tag = np.where(inside, before, tag)
         return path
 
     def may_deviate(self, scores: np.ndarray) -> bool:
