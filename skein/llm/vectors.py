@@ -154,7 +154,7 @@ def _classes(df: DataFrame, id_col: str, vec_col: str, dims: int) -> tuple[DataF
     return members, reps.select("cid", "q")
 
 
-def neighbours(df: DataFrame, id_col: str, vec_col: str, k: int = 10, dims: int = 64, trees: int = 6, width: int = 2048, min_cos: float = -2.0, seed: int = 2024) -> DataFrame:
+def neighbours(df: DataFrame, id_col: str, vec_col: str, k: int = 10, dims: int = 64, trees: int = 6, width: int = 4096, min_cos: float = -2.0, seed: int = 2024) -> DataFrame:
     """``id``, ``neighbour``, ``cosine``, ``rank``: up to ``k`` rows for each usable vector.
 
     Equal cosines rank the smaller id first.  Vectors that are null, of another length, all
