@@ -183,7 +183,7 @@ def render_markdown_table(rows: Column | str) -> Column:
 def guess_title(x: Column | str) -> Column:
     """The first of the first five filled lines that is short and not all lower-case."""
     lines = F.slice(F.filter(F.transform(F.split(F.coalesce(_c(x), F.lit("")), "\n"), lambda s: strip(s)), lambda s: s != ""), 1, 5)
-    fit = F.filter(lines, lambda s: (F.size(words(s)) <= 12) & ~((F.lower(s) == s) & (F.upper(s) != s)))
+    fit = F.filter(lines, lambda s: (F.size(F.split(s, r"(?U)\s+")) <= 12) & ~((F.lower(s) == s) & (F.upper(s) != s)))
     return F.coalesce(F.try_element_at(fit, F.lit(1)), F.substring(F.try_element_at(lines, F.lit(1)), 1, 80))
 
 
