@@ -197,7 +197,7 @@ def guess_doc_type(x: Column | str) -> Column:
 
 def repair_bullets(x: Column | str) -> Column:
     """Misread bullets at line starts become ``- ``."""
-    return F.regexp_replace(_c(x), r"(?m)^[ \t]*[e•·o©][ \t]+(?=\S)", "- ")
+    return F.regexp_replace(_c(x), r"(?dmU)^[ \t]*[e•·o©][ \t]+(?=\S)", "- ")
 
 
 def is_noise_line(x: Column | str) -> Column:

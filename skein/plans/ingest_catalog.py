@@ -50,8 +50,20 @@ def heading_lines(spark, sf_dir):
 
 @query("SELECT file_id, p.n::INT AS page_no, regexp_replace(p.t, '(^|\\n)[ \\t]*[e•·o©][ \\t]+([^\\s])', '\\1- \\2', 'g') AS cleaned FROM (SELECT file_id, unnest(list_transform(pages, lambda t, i: {'t': t, 'n': i})) AS p FROM extracted_texts) WHERE p.t IS NOT NULL AND regexp_full_match(p.t, '[\\x0A\\x20-\\x7E]*')")
 def bullet_repair(spark, sf_dir):
-    p = table(spark, sf_dir, "extracted_texts").select("file_id", F.posexplode("pages").alias("i", "t")).where("t is not null").where(F.col("t").rlike(r"^[\x0A\x20-\x7E]*$"))
-    return p.select("file_id", (F.col("i") + 1).alias("page_no"), T.repair_bullets("t").alias("cleaned"))
+    return _repaired(_pages(spark, sf_dir).where(F.col("t").rlike(r"^[\x0A\x20-\x7E]*$")))
+
+
+@query()
+def bullet_repair_whole(spark, sf_dir):
+    return _repaired(_pages(spark, sf_dir))
+
+
+def _pages(spark, sf_dir):
+    return table(spark, sf_dir, "extracted_texts").select("file_id", F.posexplode("pages").alias("i", "t")).where("t is not null")
+
+
+def _repaired(pages):
+    return pages.select("file_id", (F.col("i") + 1).alias("page_no"), T.repair_bullets("t").alias("cleaned"))
 
 
 @query()

@@ -1,6 +1,7 @@
 """Queries over every row, also those SQL cannot check, against brute force in Python."""
 
 import hashlib
+import re
 
 import pytest
 
@@ -44,3 +45,11 @@ def test_guess_title(spark, tables):
 
     got = catalog.queries()["guess_title_whole"](spark, where).collect()
     assert {r["doc_id"]: r["title"] for r in got} == {i: title(t) for i, t in enumerate(TEXTS) if t is not None}
+
+
+def test_bullet_repair(spark, tables):
+    pages = [f"Liste à puces\n{b} première\n\t{b}  zażółć\r\n{b} third\nword{b} stays\n{b}stays\n{b} \n" for b in "e•·o©"] + ["\u2028• stays\r• stays\n•  stays", "", None]
+    where = tables("extracted_texts", [(7, pages), (8, None)], "file_id bigint, pages array<string>")
+    want = [re.sub(r"(?m)^[ \t]*[e•·o©][ \t]+(?=\S)", "- ", p) for p in pages if p is not None]
+    assert all(p.count("- ") == 3 for p in want[:5])
+    assert run(spark, where, "bullet_repair_whole") == [(7, i, p) for i, p in enumerate(want, 1)]
