@@ -40,7 +40,7 @@ def plain_tokens(x: Column | str) -> Column:
 
 
 def sentences(x: Column | str) -> Column:
-    return F.filter(F.split(strip(x), r"(?<=[.!?])\s+"), lambda s: s != "")
+    return F.filter(F.split(strip(x), r"(?U)(?<=[.!?])\s+"), lambda s: s != "")
 
 
 def normalize(x: Column | str) -> Column:

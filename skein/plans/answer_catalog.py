@@ -57,7 +57,16 @@ def set_algebra(spark, sf_dir):
 
 @query("SELECT id, sha256(to_json({'query': lower(query), 'user': user_id})) AS key FROM (SELECT DISTINCT id, user_id, query FROM audit_log WHERE user_id IS NOT NULL AND regexp_full_match(query, '[a-zA-Z0-9 ?.,]*'))")
 def cache_keys(spark, sf_dir):
-    a = table(spark, sf_dir, "audit_log").where("user_id is not null").where(F.col("query").rlike("^[a-zA-Z0-9 ?.,]*$")).select("id", "user_id", "query").distinct()
+    return _keys(table(spark, sf_dir, "audit_log").where(F.col("query").rlike("^[a-zA-Z0-9 ?.,]*$")))
+
+
+@query()
+def cache_keys_whole(spark, sf_dir):
+    return _keys(table(spark, sf_dir, "audit_log"))
+
+
+def _keys(audited):
+    a = audited.where("user_id is not null and query is not null").select("id", "user_id", "query").distinct()
     return a.select("id", answers.cache_key(query=F.lower("query"), user=F.col("user_id")).alias("key"))
 
 

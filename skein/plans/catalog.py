@@ -439,16 +439,31 @@ def sentence_split_counts(spark, sf_dir):
     return _chunks(spark, sf_dir).where(F.col("content").rlike(r"^[\x00-\x7F£€]*$")).select("id", F.size(T.sentences("content")).alias("n"))
 
 
+@query()
+def sentence_split_counts_whole(spark, sf_dir):
+    return _chunks(spark, sf_dir).where("content is not null").select("id", F.size(T.sentences("content")).alias("n"))
+
+
 @query("SELECT id, regexp_matches(content, '^[ \\t\\n\\r\\f\\x0B]*[A-Z0-9\"''*•|-]') AS clean FROM document_chunks WHERE regexp_full_match(content, '[\\x00-\\x7F£€•]*')")
 def starts_cleanly(spark, sf_dir):
     return _chunks(spark, sf_dir).where(F.col("content").rlike(r"^[\x00-\x7F£€•]*$")).select("id", T.starts_cleanly("content").alias("clean"))
 
 
+@query()
+def starts_cleanly_whole(spark, sf_dir):
+    return _chunks(spark, sf_dir).where("content is not null").select("id", T.starts_cleanly("content").alias("clean"))
+
+
 @query("SELECT id, CASE WHEN length(content) <= 200 THEN content WHEN strpos(h, ' ') > 0 AND length(h) - strpos(reverse(h), ' ') > 100 THEN left(h, length(h) - strpos(reverse(h), ' ')) || '…' ELSE h || '…' END AS excerpt FROM (SELECT id, content, left(content, 199) AS h FROM document_chunks WHERE regexp_full_match(content, '[\\x00-\\x7F£€]*'))")
 def truncate_excerpt(spark, sf_dir):
     return _chunks(spark, sf_dir).where(F.col("content").rlike(r"^[\x00-\x7F£€]*$")).select("id", T.truncate("content", 200).alias("excerpt"))
 
 
+@query()
+def truncate_excerpt_whole(spark, sf_dir):
+    return _chunks(spark, sf_dir).where("content is not null").select("id", T.truncate("content", 200).alias("excerpt"))
+
+
 @query("SELECT id FROM document_chunks WHERE len(list_filter(string_split(content, chr(10)), lambda s: starts_with(trim(s), '|'))) >= 2 OR contains(lower(content), '<table')")
 def markdown_table_chunks(spark, sf_dir):
     return _chunks(spark, sf_dir).where(T.has_markdown_table("content")).select("id")
@@ -483,6 +498,11 @@ def clean_search(spark, sf_dir):
     return table(spark, sf_dir, "audit_log").where(F.col("query").rlike(r"^[\x20-\x7E]*$")).select("id", T.clean_for_search("query").alias("clean")).distinct()
 
 
+@query()
+def clean_search_whole(spark, sf_dir):
+    return table(spark, sf_dir, "audit_log").where("query is not null").select("id", T.clean_for_search("query").alias("clean")).distinct()
+
+
 def _sql_stop() -> str:
     return ", ".join(f"'{w}'" for w in sorted(set(L.QUESTION_STARTERS) | set(L.RELEVANCE_STOP)))
 

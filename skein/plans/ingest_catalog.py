@@ -48,6 +48,11 @@ def heading_lines(spark, sf_dir):
     return table(spark, sf_dir, "document_chunks").where(F.col("content").rlike(r"^[\x0A\x20-\x7E£€]*$")).select("id", F.size(F.filter(F.split("content", "\n"), T.is_short_heading)).alias("headings"))
 
 
+@query()
+def heading_lines_whole(spark, sf_dir):
+    return table(spark, sf_dir, "document_chunks").where("content is not null").select("id", F.size(F.filter(F.split("content", "\n"), T.is_short_heading)).alias("headings"))
+
+
 @query("SELECT file_id, p.n::INT AS page_no, regexp_replace(p.t, '(^|\\n)[ \\t]*[e•·o©][ \\t]+([^\\s])', '\\1- \\2', 'g') AS cleaned FROM (SELECT file_id, unnest(list_transform(pages, lambda t, i: {'t': t, 'n': i})) AS p FROM extracted_texts) WHERE p.t IS NOT NULL AND regexp_full_match(p.t, '[\\x0A\\x20-\\x7E]*')")
 def bullet_repair(spark, sf_dir):
     return _repaired(_pages(spark, sf_dir).where(F.col("t").rlike(r"^[\x0A\x20-\x7E]*$")))

@@ -1,6 +1,7 @@
 """Queries over every row, also those SQL cannot check, against brute force in Python."""
 
 import hashlib
+import json
 import re
 
 import pytest
@@ -53,3 +54,38 @@ def test_bullet_repair(spark, tables):
     want = [re.sub(r"(?m)^[ \t]*[e•·o©][ \t]+(?=\S)", "- ", p) for p in pages if p is not None]
     assert all(p.count("- ") == 3 for p in want[:5])
     assert run(spark, where, "bullet_repair_whole") == [(7, i, p) for i, p in enumerate(want, 1)]
+
+
+CONTENTS = [
+    "Zażółć gęślą. Jaźń!\u00a0Łódź? tak", "“Quoted” start. Next", "合同。内容. 第二", "\u00a0École\nTitre court\nUne phrase.", "łódź mała\n" + "ł" * 81, "• bullet – dash\nÉté !", "٣ أيام. نص", "ऋण. पाठ\n\u3000\nशीर्षक",
+    "é" * 150 + " " + "ü" * 100, "😀" * 201, "😀" * 200, "słowo " * 60, "tab\tand\rreturn. Yes", "", None,
+]
+
+
+def test_chunk_queries(spark, tables):
+    where = tables("document_chunks", list(enumerate(CONTENTS)), "id bigint, content string")
+
+    def short(t):
+        head = t[:199]
+        return t if len(t) <= 200 else (head[: head.rindex(" ")] if head.rfind(" ") > 100 else head) + "…"
+
+    rules = {
+        "sentence_split_counts_whole": lambda t: len([x for x in re.split(r"(?<=[.!?])\s+", t.strip()) if x]),
+        "starts_cleanly_whole": lambda t: (s := t.lstrip()) != "" and (s[0].isupper() or s[0].isdecimal() or s[0] in "\"'*-•|"),
+        "truncate_excerpt_whole": short,
+        "heading_lines_whole": lambda t: sum(0 < len(s) <= 80 and s[-1] not in ".!?" for s in map(str.strip, t.split("\n"))),
+    }
+    for name, rule in rules.items():
+        assert run(spark, where, name) == [(i, rule(t)) for i, t in enumerate(CONTENTS) if t is not None], name
+
+
+ASKED = ["What's the rate-lock/limit?", "$100,000 at 30%", "Kredyt hipoteczny – Łódź?", "合同 期限；", "mean\u00a0“APR”", 'a "quoted" \\ path', "tab\there", "plain", "", None]
+
+
+def test_audit_queries(spark, tables):
+    rows = [(i, 40 + i, t) for i, t in enumerate(ASKED)]
+    where = tables("audit_log", [*rows, rows[0], (99, None, "nobody asks")], "id bigint, user_id bigint, query string")
+    clean = lambda t: re.sub(r"\s+", " ", re.sub(r"[^\w\s%$.\-']+", " ", t)).strip()
+    assert run(spark, where, "clean_search_whole") == [(i, clean(t)) for i, _, t in rows if t is not None] + [(99, "nobody asks")]
+    key = lambda u, t: hashlib.sha256(json.dumps({"query": t.lower(), "user": u}, ensure_ascii=False, separators=(",", ":")).encode()).hexdigest()
+    assert run(spark, where, "cache_keys_whole") == [(i, key(u, t)) for i, u, t in rows if t is not None]
