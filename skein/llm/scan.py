@@ -1,12 +1,15 @@
 """Noise in text from scanned pages: an averaged-perceptron character editor.
 
 The editor predicts an operation for each character: keep it, replace it, delete it, insert a
-character after it, or join the line that ends at it with the next.  It is trained on the
+character after it, or, for a hyphen that ends a line, join the line with the next: without the
+hyphen, with it, or not at all (the hyphen belongs to its word).  It is trained on the
 corpus's own lexicon, corrupted by a table of look-alikes; its features are the characters around, what
 mixture of letters, digits and signs they are, and which operations would make a word of the
 lexicon.  A second perceptron of the same kind labels whole lines as text, list item, running
 header or page number, from their shape, their place on the page and how often the page's file
-repeats them.  Both are linear models over named features, averaged over all updates.
+repeats them.  Both are linear models over named features, averaged over all updates.  Two things
+are left to rules: which bullets are misread (``_is_bullet``), and whether a line that no hyphen
+ends goes on after a space or a line break (``_paragraphs``).
 
 Words repeat, so the editor's operations are remembered by word: characters beyond the word do
 not enter the features of a replacement.
@@ -146,12 +149,109 @@ def _classes(word: str, i: int) -> list[str]:
     return sorted(found)
 
 
+#: Line ends at a hyphen: J joins without it, H joins and keeps it, S is no broken word.
+JOINS = ["J", "H", "S"]
+_SOFT = "¬\xad"
+_ENDING = re.compile(rf"([^\W\d_]+)([{_HYPHEN}])[ \t]*$")
+_OPENING = re.compile(r"[^\W\d_]+")
+#: Words after which a suspended compound goes on, and made words for a corpus without a lexicon (fixed values).
+_LINKS = "and or to but nor as und oder bis et ou y o e i oraz lub".split()
+_PREFIXES = "pre post sub non anti multi re semi co self short long low high two three mid inter micro macro".split()
+_MADE = "harvest meter garden valley river window cable engine ticket museum orchard tunnel lantern basket compass ladder payment document information account statement".split()
+
+
+def _case(word: str) -> str:
+    return "-" if not word else "U" if len(word) > 1 and word.isupper() else "T" if word[0].isupper() else "l"
+
+
+def _join_features(line: str, after: str | None, gap: bool, lexicon) -> list[str]:
+    """Of a line whose end matches ``_ENDING``; ``after`` is the next filled line, ``gap`` a blank between."""
+    end = _ENDING.search(line)
+    left, mark = end.group(1), end.group(2)
+    s = (after or "").strip()
+    begin = _OPENING.match(s)
+    right = begin.group() if begin else ""
+    l, r = left.lower(), right.lower()
+    known = f"{l in lexicon},{r in lexicon},{l + r in lexicon}" if right else f"{l in lexicon}"
+    alone = len(line.split()) == 1 or (len(line.split()) == 2 and bool(_LIST.match(line)))
+    kind = "none" if not s else "list" if _LIST.match(s) else "hyphen" if len(s.split()) == 1 and _ENDING.search(s) else "word" if right else "digit" if s[0].isdigit() else "other"
+    case = _case(left) + _case(right)
+    link = r in _LINKS and s[begin.end() : begin.end() + 1] not in tuple(_HYPHEN)  # not that of buy-to-let
+    return [
+        "bias", f"known={known}", f"whole={bool(right) and l + r in lexicon}", f"case={case}", f"case,known={case},{known}", f"soft={mark in _SOFT}", f"link={r if link else '-'}", f"link={link},{l + r in lexicon}",
+        f"next={kind}", f"next,alone={kind},{alone}", f"list={bool(_LIST.match(line))},{kind},{alone}", f"gap={gap},{case}", f"n={min(len(left), 4)},{kind}", f"next,known={kind},{l in lexicon}",
+    ]
+
+
+def _join_classes(after: str | None) -> list[str]:
+    """Without the hyphen only letters can follow."""
+    return JOINS if not after or _OPENING.match(after.strip()) else JOINS[1:]
+
+
+def _made_ends(rng: random.Random, pool: list[str], lexicon, count: int) -> list[tuple[list[str], str, list[str]]]:
+    """Ends of corrupted lines, and of lines whose hyphen is their own."""
+    rows = []
+    long = [w for w in pool if len(w) > 4] or _MADE
+    pick = lambda k: " ".join(rng.choice(pool) for _ in range(k))
+    for _ in range(count):
+        mark, lead, trail = rng.choice("------‐"), pick(rng.randint(2, 8)) + " ", " " + pick(rng.randint(1, 6))
+        kind, words, gap = rng.random(), lexicon, rng.random() < 0.05
+        if kind < 0.45:  # a broken word, known or not
+            word = rng.choice(long)
+            at = rng.randint(2, len(word) - 2)
+            if rng.random() < 0.1:
+                mark = rng.choice(_SOFT)
+            left, right, label = word[:at], word[at:], "J"
+            p = rng.random()
+            if p < 0.1:
+                left, right = left.upper(), right.upper()
+            elif p < 0.25:
+                left = left.capitalize()
+            if rng.random() < 0.15:
+                lead = ""
+            if rng.random() < 0.05:
+                lead = "- " + lead
+            if rng.random() < 0.25:
+                words = ()
+            after = None if rng.random() < 0.1 else right + trail
+            lead = lead if after or lead else pick(3) + " "
+        elif kind < 0.68:  # a compound broken at its hyphen
+            left, right, label = rng.choice(pool), rng.choice([w for w in rng.sample(pool, min(5, len(pool))) if w not in _LINKS] or _MADE), "H"
+            if rng.random() < 0.3:
+                left = rng.choice(_PREFIXES)
+            if (left + right).lower() in lexicon:
+                continue
+            p = rng.random()
+            if p < 0.35:
+                left, right = left.capitalize() if p < 0.25 else left, right.capitalize()
+            elif p < 0.4:
+                left, right = left.upper(), right.upper()
+            elif p < 0.5:
+                right = str(rng.randint(1, 99))
+            elif p < 0.6:
+                right = rng.choice(_LINKS) + "-" + right
+            if rng.random() < 0.05:
+                words = ()
+            after = right + trail
+        elif kind < 0.84:  # a suspended compound
+            left, label = rng.choice(_PREFIXES + [rng.choice(pool)]), "S"
+            after = rng.choice(_LINKS[:8] if rng.random() < 0.8 else _LINKS) + trail
+        else:  # a list entry, or the last word before other text
+            left, label = rng.choice(_PREFIXES + [rng.choice(pool)]), "S"
+            lead = rng.choice(["", "", "- ", "* ", f"{rng.randint(1, 20)}. "])
+            bullet = lead if lead and not lead[0].isdigit() else f"{rng.randint(2, 21)}. " if lead else ""
+            after = rng.choice([bullet + rng.choice(_PREFIXES) + "-", bullet + rng.choice(_PREFIXES) + "-", (bullet or "- ") + pick(2), None])
+        rows.append((_join_features(lead + left + mark, after, gap, words), label, _join_classes(after)))
+    return rows
+
+
 class CharacterEditor:
     """Operations for words; ``lexicon`` maps words to how many texts have them."""
 
     def __init__(self, lexicon: dict[str, int]):
         self.lexicon = lexicon
         self.model = Perceptron()
+        self.ends = Perceptron()
         self.known: dict[str, str | None] = {}
 
     def _options(self, word: str) -> tuple[dict[int, str], bool]:
@@ -196,8 +296,15 @@ class CharacterEditor:
                 continue
             rows += [(_char_features(text, i, options, known), ops[i], _classes(text, i)) for i in range(len(text))]
         self.model.train(rows)
+        self.ends.train(_made_ends(random.Random(seed + 1), pool or _MADE, self.lexicon or frozenset(_MADE), 4 * words), rounds=5)
         return self
 
+    def join(self, line: str, after: str | None, gap: bool = False) -> str:
+        """The operation at a line's end: J, H or S."""
+        if not _ENDING.search(line):
+            return "S"
+        return self.ends.best(_join_features(line, after, gap, self.lexicon), _join_classes(after))
+
     def edit(self, word: str) -> str | None:
         """The repaired word, or None where every character is kept."""
         if word in self.known:
@@ -393,17 +500,23 @@ def analyse(text: str, editor: CharacterEditor, model: Perceptron, page: int = 0
     kinds: set[str] = {x for x in labels if x != "text"}
     body: list[str] = []
     text_lines = [i for i, x in enumerate(labels) if x == "text"]
+    ends: list[str] = []
     tail = ""  # the first half of a word broken at the end of the line before
     for at, i in enumerate(text_lines):
         line = made = lines[i]
         stripped = line.strip()
         if not stripped:
             body.append(line)
+            ends.append("S")
             continue
         if _is_bullet(lines, i):
             kinds.add("misread")
             made = "- " + stripped[2:]
-        broken = bool(_BROKEN.search(stripped))
+        join = "S"
+        if _BROKEN.search(stripped):
+            after = next((j for j in text_lines[at + 1 :] if lines[j].strip()), None)
+            join = editor.join(made.strip(), None if after is None else lines[after], after is not None and text_lines[at + 1] != after)
+        broken = join == "J"
         words = list(_TOKEN.finditer(made))
         new: list[tuple[int, int, str]] = []
         for n, m in enumerate(words):
@@ -423,32 +536,30 @@ def analyse(text: str, editor: CharacterEditor, model: Perceptron, page: int = 0
             if fixed is not None:
                 kinds.add("misread")
                 new.append((m.start(), m.end(), fixed))
-        if broken:
+        if join != "S":
             kinds.add("hyphen_break")
         tail = words[-1].group() if broken and words else ""
         if repair and new:
             for start, end, fixed in reversed(new):
                 made = made[:start] + fixed + made[end:]
         body.append(made)
-    return kinds, _paragraphs(body, editor) if repair else ""
+        ends.append(join)
+    return kinds, _paragraphs(body, ends) if repair else ""
 
 
-def _paragraphs(lines: list[str], editor: CharacterEditor) -> str:
-    """Lines joined to paragraphs: J joins without the hyphen, H keeps it, S puts a space."""
+def _paragraphs(lines: list[str], ends: list[str]) -> str:
+    """Lines joined to paragraphs by the predicted ``ends``: J joins without the hyphen, H keeps it,
+    after S comes a space, or a line break at list items, tables and marks."""
     out = ""
-    for line in lines:
+    for line, end in zip(lines, ["S", *ends]):
         s = line.strip()
         if not out or out.endswith("\n"):
             out += s if s else "" if out.endswith("\n\n") or not out else "\n"
             continue
         if not s:
             out += "\n\n"
-        elif _BROKEN.search(out):
-            left = re.search(rf"([^\W\d_]+)[{_HYPHEN}][ \t]*$", out)
-            right = re.match(r"[^\W\d_]+", s)
-            whole = (left.group(1) + right.group()).lower() if left and right else ""
-            keep = right and (right.group()[0].isupper() or (whole not in editor.lexicon and left.group(1).lower() in editor.lexicon and right.group().lower() in editor.lexicon))
-            out = out.rstrip()[:-1] + ("-" if keep or not right else "") + s
+        elif end != "S":
+            out = out.rstrip()[:-1] + ("-" if end == "H" else "") + s
         elif _LIST.match(s) or s[:1] in "#|`<=" or " | " in s or _LIST.match(out.rsplit("\n", 1)[-1]) or " | " in out.rsplit("\n", 1)[-1]:
             out += "\n" + s
         else:
