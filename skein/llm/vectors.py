@@ -4,7 +4,10 @@ Each of several trees turns a vector into a long string of hash digits (a digit
 axis of a random rotation on which the vector is longest) and keeps all strings in one sorted
 array.  A vector's neighbours in that array are those with the longest common prefix; going
 outwards shortens the prefix, by as many candidates in every tree, so the trees ascend in step.
-Whatever the data's density, the prefix length adapts to it: there is no bucket to overflow.
+The prefix length adapts to the data's density.  Where more rows than a window holds share a whole
+string (near-copies of one vector), they are ordered by a second string, that of the vector less
+its group's centre; ties of both are broken by a salt that differs from tree to tree.  Windows end
+at the ends of range partitions, which fall elsewhere in each tree.
 
 The sorted array of a tree is a range-partitioned table.  Vectors travel once per tree as 16-bit
 integers (their cosines are off by about 0.000004), blocks of the array are multiplied as
@@ -17,6 +20,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -31,6 +35,10 @@ DIGIT_DIMS = (64, 64, 32, 32, 32, 32)
 KEY_BITS = 38
 ROWS_PER_PARTITION = 32768
 BLOCK = 512
+#: A hot group's centre is the mean of about so many of its rows.
+CENTRE_ROWS = 256
+#: Bits of the salt behind a second string.
+FINE_SALT_BITS = 25
 
 
 def _unit_rows(column: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
@@ -102,13 +110,45 @@ def _block_pairs(ids: np.ndarray, unit: np.ndarray, first: int, last: int, width
     return np.minimum(a, b), np.maximum(a, b), value[keep]
 
 
-def candidate_pairs(strings: DataFrame, dims: int, width: int, k: int, min_cos: float) -> DataFrame:
-    """Pairs of classes that are close in some tree: ``a``, ``b`` and ``cosine``."""
-    # one sort key: the tree, the string, and a salt that lets ranges cut between equal strings
+def _ordered(strings: DataFrame, dims: int, width: int, trees: int, seed: int) -> DataFrame:
+    """``cid`` and ``q`` once a tree with the sort keys ``key``: the tree, the string, and a salt that
+    lets ranges cut between equal strings; and ``fine``: in hot groups, in place of that salt, the
+    string of the vector less the group's centre and a salt, else 0."""
     place = F.posexplode("keys").alias("tree", "key")
-    spread = strings.select("cid", "q", place).select("cid", "q", F.shiftleft(F.col("tree").cast("bigint"), 57).bitwiseOR(F.shiftleft("key", 57 - KEY_BITS)).bitwiseOR(F.pmod(F.xxhash64("cid"), F.lit(1 << (57 - KEY_BITS)))).alias("key"))
+    spread = strings.select("cid", "q", place).select("cid", "q", "tree", F.shiftleft(F.col("tree").cast("bigint"), 57).bitwiseOR(F.shiftleft("key", 57 - KEY_BITS)).alias("at"))
+    salt = lambda bits: F.pmod(F.xxhash64("cid", "tree"), F.lit(1 << bits))
+    plain = lambda df: df.select("cid", "q", F.col("at").bitwiseOR(salt(57 - KEY_BITS)).alias("key"), F.lit(0).cast("bigint").alias("fine"))
+    hot = settle(spread.groupBy("at").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > width), "hot")
+    if hot.isEmpty():
+        return plain(spread)
+
+    @F.pandas_udf("binary")
+    def mean(groups: pd.Series) -> pd.Series:
+        return groups.map(lambda qs: np.frombuffer(b"".join(qs), dtype="<i2").reshape(-1, dims).mean(axis=0).astype("<f4").tobytes())
+
+    some = spread.join(hot, "at").where(F.pmod(F.xxhash64("cid", "tree"), F.col("n")) < CENTRE_ROWS)
+    centres = settle(some.groupBy("at").agg(F.collect_list("q").alias("qs")).select("at", mean("qs").alias("centre")), "centres")
+    spins = rotations(dims, trees, seed)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            q = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype="<i2").reshape(-1, dims)
+            rest = q.astype(np.float32) - np.frombuffer(b"".join(batch.column(4).to_pylist()), dtype="<f4").reshape(-1, dims)
+            of, fine = batch.column(2).to_numpy(), np.zeros(len(q), dtype=np.int64)
+            for t in np.unique(of):
+                fine[of == t] = hash_strings(rest[of == t], spins[t])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(fine)], names=["cid", "q", "tree", "at", "fine"])
+
+    dense = spread.join(centres, "at").select("cid", "q", "tree", "at", "centre").mapInArrow(run, "cid bigint, q binary, tree int, at bigint, fine bigint")
+    dense = dense.select("cid", "q", F.col("at").alias("key"), F.shiftleft("fine", FINE_SALT_BITS).bitwiseOR(salt(FINE_SALT_BITS)).alias("fine"))
+    return plain(spread.join(centres, "at", "left_anti")).unionByName(dense)
+
+
+def candidate_pairs(strings: DataFrame, dims: int, width: int, k: int, min_cos: float, seed: int = 2025) -> DataFrame:
+    """Pairs of classes that are close in some tree: ``a``, ``b`` and ``cosine``."""
     count = strings.count()
     per_row = strings.select(F.size("keys")).first()
+    spread = _ordered(strings, dims, width, per_row[0] if per_row else 1, seed)
     partitions = max(1, -(-count * (per_row[0] if per_row else 1) // ROWS_PER_PARTITION))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,7 +182,7 @@ def candidate_pairs(strings: DataFrame, dims: int, width: int, k: int, min_cos:
         if len(ids) > done:
             yield pairs_of(ids, unit, done, len(ids))
 
-    sorted_arrays = spread.repartitionByRange(partitions, "key").sortWithinPartitions("key").select("key", "cid", "q")
+    sorted_arrays = spread.repartitionByRange(partitions, "key", "fine").sortWithinPartitions("key", "fine").select("key", "cid", "q")
     return sorted_arrays.mapInArrow(run, "a bigint, b bigint, cosine float").groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
 
 
