@@ -1,11 +1,11 @@
-"""Trains the tagger of :mod:`skein.llm.pii` in numpy: ``python -m skein.llm.pii_train``.
-
-Labelled spans come from sentences made here: an item of each type is written in one of its many
-forms, put into a sentence that introduces it, and sentences are joined, misspelt, shouted or
-written in lower case.  Sentences with look-alikes (loan and policy numbers, rates, firms, rules
-named after somebody, first names alone, products) carry no label.  Ordinary texts may be added
-as unlabelled background from a bounded sample (``BACKGROUND_ROWS``) of rows whose words are all
-common, so that no name can be among them.
+"""Trains the tagger of :mod:`skein.llm.pii` in numpy: ``python -m skein.llm.pii_train MINUTES WORKERS``.
+
+Labelled spans come from sentences made here: an item of each type, in one of its many forms,
+between a lead and a tail put together at random; sentences are joined, misspelt, shouted or
+written in lower case.  Their other words are drawn from the vocabularies of two public
+tokenizers, names and streets from general lists, so nothing is taken from any table.  Sentences
+with look-alikes (numbers of loans and policies, rates, firms, rules named after somebody, first
+names alone, products) carry no label.
 """
 
 from __future__ import annotations
@@ -14,38 +14,60 @@ import random
 import re
 import sys
 import time
+from functools import lru_cache
 
 import numpy as np
 
 from .pii import MODEL, SYMBOLS, TAGS, TYPES, WINDOW, symbols
 
-BACKGROUND_ROWS = 12_000
-
+#: Given names and pieces of family names of many countries, from general knowledge.
 FIRST = (
-    "Ada Agnes Aiko Alan Alba Amara Amir Ana Anders Anneke Anselm Arlo Astrid Aurora Ayesha Bela Blythe Boris Bram Brigid Carla Carlos Chiara Chen Clara Conor Dario Dana Devi Diego Dmitri Eilidh Elena "
-    "Elif Emeka Emil Enzo Erik Esme Eva Farah Fatima Femi Finn Fiona Freya Gareth Gia Gita Greta Hana Hassan Hugo Ikaika Imani Ines Ingrid Ioana Isla Ivan Ivo Jakub Jana Jin Joao Jonas Juno Kai Karim Kasia Keiko "
-    "Kofi Kwame Lars Leandra Leila Lena Liam Ling Lior Luca Lucia Lupe Maeve Magnus Maia Malik Marek Mariam Maribel Marta Mateo Mei Milan Mina Mira Nadia Naomi Ngozi Nia Niamh Nikolai Noor Nuria Oisin Olga Olu "
-    "Omar Oskar Otto Ottilie Paavo Pablo Petra Pia Priya Quentin Rafael Rana Ravi Rhys Rosa Rosalba Ruth Sana Sefa Selma Shreya Signe Silas Simone Sofia Solveig Sven Tamsin Tariq Tea Thandi Theo Tobin Uma Vera Viktor "
-    "Wei Willa Wren Xavi Yara Yusuf Zara Zeno Zoë Søren José Noël Chloé Jürgen André Renée"
+    "Aaron Abigail Adam Adriana Ahmed Aisha Albert Alejandro Alexander Alice Amelia Amina Amy Andrew Angela Anna Anthony Antonio Arjun Arthur Barbara Beatrice Benjamin Bernard Bianca Brenda Brian Bruno Camila Caroline Catherine Cecilia Charles "
+    "Charlotte Christian Claire Claudia Cristina Daniel David Deborah Deepak Diana Dimitri Dominic Dorothy Eduardo Edward Eleanor Elizabeth Emily Emma Eric Esther Evelyn Fatou Felix Fernando Florence Francis Frank Gabriel George Gerald Giovanni "
+    "Gloria Grace Gustav Hannah Harold Harry Haruto Heidi Helen Henry Hiroshi Howard Ibrahim Ines Irene Isabel Jack Jacob James Jan Javier Jean Jennifer Jessica Joan John Jorge Joseph Julia Julian Karen Katarzyna Kenneth Kenji Kevin Khalid Klaus Laila "
+    "Laura Lauren Leo Leonard Linda Lisa Louis Lucas Lucy Luis Manuel Marcus Margaret Maria Marie Mark Martin Mary Matthew Maya Mehmet Michael Miguel Mohammed Monica Nancy Natalia Nathan Nicole Nina Oliver Oscar Patricia Paul Pedro Peter Philip "
+    "Rachel Raj Rebecca Richard Robert Roberto Roger Sanjay Sarah Sergei Sofia Stephen Susan Takeshi Teresa Thomas Tomasz Valeria Victor Walter William Wolfgang Xiao Yuki Zofia Jürgen Zoë José René Søren Łukasz Björn"
 ).split()
 _HEADS = (
-    "Ald Ash Bar Bel Ber Bjor Bran Brem Bur Cald Cam Cor Cran Dal Dar Del Den Dor Dren Dun Ed El Esk Fal Far Fen Fer Gal Gar Gren Hal Ham Har Haver Hel Hol Ist Ivar Jar Jor Kal Kar Kel Kil Kor Kov Lan Lar Len Lor Lorim Mal Mar Mel "
-    "Mon Mor Nav Nel Nor Ol Os Ost Pad Pell Pem Per Quil Rad Ram Ras Ren Ros Rud Sab San Sel Sor Stan Sten Sul Tal Tam Tan Thar Tol Tor Ul Val Vel Ven Ver Vin Wal War Wex Wil Wol Yar Zan Zel"
+    "Ack Ad Al Alm And Arm Aug Bach Bal Bart Beck Ben Berg Black Blum Bor Brad Bro Bur Can Car Chan Clay Col Con Cross Cum Dan Dav Dem Dick Don Doug Dra Ed Eck Ell Eng Er Ev Far Ferr Fitz Flet For Fran Fried Gal Gar Gib Gil Gold Gon Grab Gra Gri Gut Had Hag "
+    "Hal Han Hard Har Hen Her Hil Hoff Hol How Hub Hun Ig Ing Iv Jack Jan Jen Joh Jor Kap Kath Kel Ken Kim Kir Kla Kno Koch Kow Kra Lam Land Lang Lar Laz Leb Lew Lind Lom Lop Lud Mac Mal Mann Mar Mart Mat May Mel Mer Mich Mil Mor Mun Nag Nak Nav New Nich Nor Nov "
+    "Ob Ol Ort Pal Par Pat Pav Per Pet Pfe Phil Pol Pop Pres Qui Ram Rei Ren Rich Rob Rod Rom Rosen Roth Rus Sal San Sat Schul Schwar Sch Ser Shah Sil Sim Smir Sod Som Stev Stra Sul Suz Tak Tan Tay Thom Tim Tor Tuck Ul Vas Ver Vog Wag Wall War Web Wein Whit Wil Win Wood Yam Zam Zim"
 ).split()
 _TAILS = (
-    "adze aila akis ald ander anth ar asti avar avio bar beck beke berg bo by cott dale den dez dine don ek elani ell ello en enko er es esen etta ez feld ford gard gate grove ham hart haus i ia iak ic idge iere imoto in ine ini ino is issen itz "
-    "kin ko la land lander ley lin low lund man mann mark mere moran mor moto ner nov off olano oni or ora ossian ov ova ovic quist rade ran rell ridge rin ros rup sen shaw ska ski sley son stad stead sted stein stone strand strom tavio ton ubeke uk ulla une va vale vedt venn vic ville wal ward wick wood worth wyn yan za zadeh"
+    "ada aker akis ala aldi aldo ano arczyk ard aro as auer aux bach bauer berg berger berry bourne burn by chuk cki croft dahl den der do dorf dottir dson dt e eau einen el ela elli ello en enko er erman ero ers erson ert es escu esen ett ette ev ez feld fer ffer field ford gard gen ger ges ham hart heim "
+    "herd holm house huis hurst i ia iak ic ich idis ien ier iev in ina ine ing ingham ini ino inski io is ishi itch itz ke kel ken ker kin kins ko kov kowski kar la ley li lin ling lis lund man mann mark mas mayer mer meyer mond mons mont more moto mura nak nen ner ney o off oglu oko olan on one oni opoulos or ora ori os "
+    "osa otti ov ova ova ovic owicz quez quist rell ren ri rick ries rin ro ros rup sch sen ser shima ski sky smith son sson stad stein ster stone strom ta ter ters thal ti ton tz ucci ul va ville vist wald wala ward well wen wick win wood worth y yan yama zadeh zak zano zer"
 ).split()
-_STREETS = "Abbey Alder Anchor Ash Bell Birch Bridge Brook Canal Castle Cedar Chapel Cherry Clay Copper Cross Dock Elm Falcon Fern Ferry Field Forge Foundry Fox Garden Glen Grange Green Grove Hazel Heron High Hill Hollow Ivy Juniper Kiln King Lake Larch Lark Linden Lock Maple Market Meadow Mill Mint Moss North Oak Old Orchard Otter Paper Park Pine Poplar Quarry Queen Redfern Ridge River Rose Rowan Saddle Salt School Sexton Spring Station Stone Summer Sutton Tannery Thistle Tower Vine Wall Water Weir Well West Willow Windlass Wood Yew".split()
-_ENDS = "Street St St. Road Rd Rd. Avenue Ave Lane Ln Drive Dr Court Ct Close Terrace Way Place Boulevard Blvd Crescent Gardens Row Hill Square Mews Walk Parade".split()
-_TOWNS = "Ashmere Brackford Coldmouth Dunport Eastwick Fallow Greyhaven Harlow Inverley Kingsmere Lowfield Marston Netherby Oldport Penwick Quayside Ravenholt Saltby Thornfield Upwell Westmoor Wexford".split()
-_DOCS = "loan estimate|bank statement|payslip|gift letter|credit report|escrow account|rate lock|tax return|insurance binder|closing disclosure|property survey|condo questionnaire|identity check|audit sample|exception request|lease extension|hazard policy|offer letter|income worksheet|household budget|purchase agreement|title commitment|arrears note|stress test|fact find|repayment plan|inspection log|product transfer|drawdown request|rental ledger".split("|")
-_ADJ = "signed|revised|joint|provisional|archived|final|missing|initial|annual|redacted|late|internal|regional|expired|approved|||||".split("|")
-_PRODUCTS = "Harbour Tracker|Orchard Flex|Slate Offset|Pine Rural|Copper Reserve|Juniper Fixed|Meadow Lifetime|Lantern Bridge|Willow Starter|Beacon Jumbo|Tern Portfolio|Quarry Buy-to-Let|Cobalt Second Charge|Saffron Interest-Only|River Saver|Maple Equity".split("|")
-_FIRMS = "Velder Bank|Harrow & Pell Mutual|Fernmoor Lending|Oakhaven Building Society|Tidewell Home Finance|Greyholm Capital|Stonebeck Trust|Northquay Credit|Larkfield Savings|Bellwick Mortgages|Barton & Lowe Partners|Kestrel Insurance|Moor Finance".split("|")
-_SPANISH = "anexo firmado|recibo de nómina|informe de tasación|expediente del cliente|formulario de quejas|registro de llamadas|historial de crédito|extracto bancario|préstamo puente|seguro de hogar|saldo pendiente|plan de pagos|contrato de compraventa|certificado de ingresos|aval conjunto|cuadro de cuotas".split("|")
-_SPANISH_ADJ = "archivado|firmado|definitivo|provisional|incompleto|escaneado|pendiente|vencido|duplicado|anual|reciente|anterior|corregido".split("|")
-_ROLES = "loan officer|underwriter|case adviser|credit analyst|branch manager|title examiner|closing agent|duty manager|file auditor|processor|Broker Support|Customer Care|Post-Completion|Funding Desk|Escrow Team".split("|")
+_STREETS = "Acacia Airport Albert Amber Aspen Bay Beach Beech Boundary Bright Broad Burton Cathedral Central Chestnut Church Cliff College Commerce Coral County Cricket Crown Cypress Dale Diamond Dogwood Eagle East Factory Farm Fir First Forest Fourth Garfield George Granite Hampton Harbor Harrison Hawthorn Highland Holly Hospital Industrial Jackson Jasmine Jefferson Jubilee Lakeview Laurel Liberty Lincoln London Long Magnolia Main Manor Mary Mayfair Monroe Mountain Museum New Nightingale Northern Ocean Oxford Palm Park Peach Pearl Pioneer Prince Prospect Railway Regent Ridge Royal Sandy Second Shore Silver Smith South Spruce Stanley Sunset Sycamore Temple Third Union University Valley Victoria View Village Walnut Washington Wellington White Wilson Windsor York".split()
+_ENDS = "Street St St. Road Rd Rd. Avenue Ave Ave. Lane Ln Drive Dr Court Ct Close Terrace Way Place Pl Boulevard Blvd Crescent Gardens Row Hill Square Mews Walk Parade Highway Circle Trail Grove Quay".split()
+#: Words that people stand beside in a sentence, and words that make a title-case run a firm, a team, a product, a rule (written without a look at any table).
+_TITLES = "Mr Mrs Ms Dr Mr. Mrs. Ms. Dr. Miss Prof. Professor Sir".split()
+_FIRM = "Bank|Ltd|Group|Partners|& Co|Insurance|University|Clinic|Holdings|Logistics|Software|Savings|Hospital|Foundation|Capital|Mutual|Services|Trust|Finance|Society|Union|Lending|Mortgages|Homes|Agency|Authority|Council|Inc|GmbH|LLP|Building Society|Credit Union".split("|")
+_PRODUCT = "Plus|Flex|Saver|Tracker|Basic|Premium|Starter|Fixed|Account|Card|Cover|Plan|Bundle|Edition|Scheme|Guide|Manual|Portal|Report|Form|Package|Line|Pro|Reserve|Bridge|Offset|Bond|Fund|Loan|Programme|Product|Suite".split("|")
+_ROLE = "officer|manager|analyst|adviser|assistant|clerk|agent|inspector|supervisor|engineer|nurse|director|specialist|coordinator|auditor|desk|team|department|support|helpdesk|unit|committee|office|reviewer|owner|lead|intern|secretary|teller|broker|examiner|processor".split("|")
+_RULE = "rule|ratio|test|clause|index|method|act|standard|formula|model|theorem|principle|scale|effect|directive|table|report|amendment|convention|protocol|office|branch|portfolio|list|project|plan|policy".split("|")
+_OF_PERSON = "applicant|customer|client|patient|guest|tenant|borrower|member|student|colleague|passenger|neighbour|husband|wife|mother|father|brother|sister|partner|guarantor|witness|lawyer|landlord|buyer|seller|visitor|user|employee|co-signer|contact|caller|owner|spouse".split("|")
+_VERBS = "asks about|wants|called about|sent|signed|lost|needs|complained about|paid for|cancelled|uploaded|is waiting for|left without|was told about|booked|forgot|has questions on|wrote twice about|did not get|moved before|submitted|still owes|is listed on|already has|qualifies for|got".split("|")
+_WHERE = "please|today|again|yesterday|this week|as discussed|on the phone|by mail|at once|thanks||||||".split("|")
+_GLUE = "the a an of for to in on with is are was and or not this that my our your it can how what when why does do we i you which who where if by from as at be have has will should there".split()
+
+
+@lru_cache(maxsize=2)
+def vocabulary(directory: str | None = None) -> tuple[list[str], list[str]]:
+    """(English words, words of other languages): lower-case tokens of two public vocabularies."""
+    import base64
+    import os
+
+    from .bpe import TOKENIZER_DIR
+
+    found = []
+    for name, least in (("byte_bpe_50k.tiktoken", 4), ("byte_bpe_multi_50k.tiktoken", 3)):
+        with open(os.path.join(directory or TOKENIZER_DIR, name), "rb") as lines:
+            tokens = [base64.b64decode(x.split()[0]).decode("utf-8", "replace") for x in lines]
+        found.append([t[1:] for t in tokens if t[:1] == " " and len(t) > least and t[1:].isalpha() and t[1:] == t[1:].lower()])
+    english, others = found
+    known = set(english)
+    return english, [w for w in others if w not in known]
 
 
 class Maker:
@@ -58,9 +80,49 @@ class Maker:
     def digits(self, n: int) -> str:
         return "".join(self.r.choice("0123456789") for _ in range(n))
 
+    def letters(self, n: int) -> str:
+        return "".join(self.r.choice("ABCDEFGHJKLMNOPQRSTVWXYZ") for _ in range(n))
+
+    def word(self) -> str:
+        """A word of the public vocabulary, common ones more often."""
+        english = vocabulary()[0]
+        return english[int(len(english) * self.r.random() ** 2.2)]
+
+    def words(self, least: int, most: int) -> str:
+        return " ".join(self.word() for _ in range(self.r.randint(least, most)))
+
     def doc(self) -> str:
-        a = self.r.choice(_ADJ)
-        return f"{a} {self.r.choice(_DOCS)}".strip()
+        return self.words(1, 3)
+
+    def titled(self, least: int, most: int) -> str:
+        return self.words(least, most).title()
+
+    def firm(self) -> str:
+        p = self.r.random()
+        head = self.family() if p < 0.25 else f"{self.family()} & {self.one(self.family(), self.titled(1, 1))}" if p < 0.4 else self.titled(1, 2)
+        return f"{head} {self.r.choice(_FIRM)}"
+
+    def product(self) -> str:
+        p = self.r.random()
+        if p < 0.35:
+            return self.titled(2, 2)
+        return f"{self.titled(1, 2)} {self.r.choice(_PRODUCT)}" if p < 0.8 else f"{self.titled(1, 1)} {self.one('Second', 'Interest-Only', 'Buy-to-Let', 'Low-Cost', 'Self-Service', 'All-in-One')} {self.one(self.r.choice(_PRODUCT), '')}".strip()
+
+    def role(self) -> str:
+        made = f"{self.word()} {self.r.choice(_ROLE)}"
+        return made.title() if self.r.random() < 0.35 else made
+
+    def plain(self) -> str:
+        """A sentence without an item, in English or a mixture of other languages' words."""
+        p = self.r.random()
+        if p < 0.2:
+            others = vocabulary()[1]
+            made = [self.r.choice(others) if self.r.random() < 0.85 else self.word() for _ in range(self.r.randint(3, 9))]
+        else:
+            made = [self.r.choice(_GLUE) if self.r.random() < 0.45 else self.word() for _ in range(self.r.randint(2, 10))]
+            if self.r.random() < 0.2:
+                made.insert(self.r.randrange(len(made)), self.one(self.product(), self.firm(), self.role(), self.product(), self.titled(1, 1)))
+        return " ".join(made) + self.one("", "", "?", ".", "!", " " + self.digits(2), f" {self.digits(1)}.{self.digits(2)}%")
 
     def family(self) -> str:
         if self.r.random() < 0.2:
@@ -92,8 +154,8 @@ class Maker:
         family = re.sub(r"[^a-z]", "", self.family().lower())
         local = self.one(f"{first}.{family}", f"{family}.{first}", f"{first[0]}{family}", f"{first[0]}-{family}", f"{first}{self.digits(2)}", f"{first}_{family}{self.digits(2)}", f"{family}{self.digits(1)}", f"{first}.{family}-{re.sub(r'[^a-z]', '', self.family().lower())}")
         if self.r.random() < 0.12:
-            local += self.one("+loan", "+bank", "+" + self.digits(3), "+home")
-        domain = self.one("mail", "post", "inbox", "home", "example", self.r.choice(_TOWNS).lower(), "bank-" + self.r.choice(_TOWNS).lower(), "fernmoor") + self.one(".example", ".test", ".invalid", ".example.org", ".com", ".net", ".org", ".co.uk")
+            local += self.one("+" + self.word(), "+" + self.digits(3))
+        domain = self.one("mail", "post", "inbox", "home", "example", self.word(), f"{self.word()}-{self.word()}", self.word() + self.word()) + self.one(".example", ".test", ".invalid", ".example.org", ".com", ".net", ".org", ".co.uk")
         if self.r.random() < 0.15:
             domain = self.one("example", "example", "mail.example") + self.one(".com", ".org", ".net", "")
             domain = domain if "." in domain else domain + ".com"
@@ -124,7 +186,7 @@ class Maker:
     def id_number(self) -> tuple[str, str]:
         """(words before the number, the number)."""
         s = self.digits
-        qq = self.one("QQ", "QQ", self.r.choice("ABCEGHJ") + self.r.choice("ABCEGHJ"))
+        qq = self.letters(2)
         kind = self.r.random()
         ssn = self.one(f"{s(3)}-{s(2)}-{s(4)}", f"{s(3)} {s(2)} {s(4)}", f"{s(3)}.{s(2)}.{s(4)}", s(9))
         if kind < 0.34:
@@ -136,10 +198,10 @@ class Maker:
             ni = self.one(f"{qq}{body}{self.r.choice('ABCD')}", f"{qq} {body[:2]} {body[2:4]} {body[4:]} {self.r.choice('ABCD')}", f"{qq}-{body[:2]}-{body[2:4]}-{body[4:]}-{self.r.choice('ABCD')}")
             return ("" if self.r.random() < 0.35 else f"{self.one('NI number', 'national insurance no.', 'national insurance number', 'NINO', 'NI no')} "), ni
         if kind < 0.72:
-            return f"{self.one('passport', 'passport no:', 'passport number', 'passport no.', 'passport #')} ", self.one('ZZ' + s(6), 'X' + s(7), self.r.choice('ABCDX') + s(8), s(9), 'ZZ' + s(7))
+            return f"{self.one('passport', 'passport no:', 'passport number', 'passport no.', 'passport #')} ", self.one(self.letters(2) + s(6), self.letters(1) + s(7), self.letters(1) + s(8), s(9), self.letters(2) + s(7))
         if kind < 0.88:
             ch = self.r.choice
-            return self.one("driver's license ", "driving licence ", "driver license ", "driving license ", "licence no ", "DL "), self.one(f"QZ-{s(3)}-{s(3)}-{s(2)}", f"QZXQZ{s(6)}Q9ZX", ch("ABDQ") + s(7), f"{ch('QA')}{s(3)}-{s(4)}-{s(4)}", f"MORGA{s(6)}SM9IJ")
+            return self.one("driver's license ", "driving licence ", "driver license ", "driving license ", "licence no ", "DL "), self.one(f"{self.letters(2)}-{s(3)}-{s(3)}-{s(2)}", f"{self.letters(5)}{s(6)}{self.letters(2)}{s(1)}{self.letters(2)}", f"{self.letters(5)}{s(6)}{self.letters(1)}{s(1)}{self.letters(2)}", ch("ABDQSTW") + s(7), f"{self.letters(1)}{s(3)}-{s(4)}-{s(4)}", self.letters(2) + s(6))
         return f"{self.one('tax id (ITIN)', 'tax id', 'ITIN', 'TIN', 'UTR', 'tax number', 'tax reference', 'taxpayer id')} ", self.one(s(9), f'9{s(2)}-{s(2)}-{s(4)}', s(10))
 
     def address(self) -> str:
@@ -163,65 +225,56 @@ class Maker:
             elif q < 0.35:
                 made += f"{self.one(' ', ', ')}{self.one('Apt', 'Apt', 'Unit', '#')} {self.r.randint(1, 30)}{self.one('', 'A', 'B', 'C')}"
         if self.r.random() < 0.65:
-            town = self.r.choice(_TOWNS) if self.r.random() < 0.6 else self.one("Port ", "Saint ", "Cold ", "Nether ", "Old ", "Upper ", "") + self.one(self.r.choice(_STREETS + _TOWNS), self.family(), self.r.choice(_HEADS) + self.one("haven", "mere", "ford", "marrow", "ley", "ton", " Falls", " Bay"))
+            town = self.one("", "", "Port ", "Saint ", "San ", "New ", "Old ", "Upper ", "Bad ") + self.one(self.r.choice(_STREETS), self.family(), self.titled(1, 1), self.r.choice(_HEADS) + self.one("haven", "mere", "ford", "ley", "ton", "burg", "ville", "stadt", "port", " Falls", " Bay", " Springs"))
             made += f", {town}"
             if self.r.random() < 0.25:
-                made += f", {self.one('ZZ', 'QQ', 'XA')} {self.digits(5)}"
+                made += f", {self.letters(2)} {self.digits(5)}"
         return made
 
     def sentence(self, kind: str) -> list[tuple[str, str]]:
-        """Pieces (text, type or "")."""
-        d, prod = self.doc(), self.r.choice(_PRODUCTS)
-        n = lambda s, t: (s, t)
+        """Pieces (text, type or ""): an item between a lead and a tail of many makes."""
+        d, r, one = self.doc(), self.r, self.one
+        thing = one(d, d, self.product(), "the " + d, "a " + d)
+        tail = one("", "", f" {one('about', 're', 'for', 'on', 'with', 'and', '-', 'because of')} {thing}", f" {r.choice(_WHERE)}", f", {self.plain()}", f"? {self.plain()}", f"; {self.words(1, 2)}={self.word()}")
+        lead = one("", "", f"{self.plain()} ", f"{self.words(1, 3)}: ", f"{self.words(1, 2)}=", f"{thing} for ", f"{self.words(1, 4)} ")
         if kind == "person_name":
-            x = n(self.name(), kind)
-            return self.r.choice([
-                [("does ", ""), x, (f" qualify for {prod}", "")], [("I am ", ""), x, (f", the answer about the {d} did not help.", "")], [("what docs does borrower ", ""), x, (" still owe", "")],
-                [("status of ", ""), x, (f"'s {d}", "")], [("spoke with ", ""), x, (f" about the {d}, what next?", "")], [("my name is ", ""), x, (f" and I need a copy of the {d}", "")],
-                [("applicant name ", ""), x, (f", {prod} case", "")], [("client: ", ""), x, (f" - is the {d} needed?", "")], [("cc ", ""), x], [("joint case with ", ""), x, (f", which {d} is used", "")],
-                [("Ask for ", ""), x, (" next time.", "")], [("Signed, ", ""), x], [("regards\n", ""), x], [("please tell ", ""), x, (f" that the {d} was wrong.", "")], [x, (" in the branch was very helpful.", "")],
-                [x, (f" is the co-signer, does the {d} count", "")], [("can you pull the file for ", ""), x], [(f"my {self.one('husband', 'wife', 'mother', 'brother', 'neighbour')} ", ""), x, (f" got another answer on {prod}.", "")],
-                [("el cliente ", ""), x, (f" pide el {self.r.choice(_SPANISH)} {self.r.choice(_SPANISH_ADJ)}", "")], [("ask for ", ""), x, (" if unclear.", "")], [("- ", ""), x], [("Thanks, ", ""), x], [("borrower ", ""), x, (f" sent the {d}", "")], [("call ", ""), x, (f" about the {d}", "")], [("the file of ", ""), x, (" is open", "")],
-                [(f"{d} for ", ""), x, (" please", "")], [x, (f" asked for the {d}", "")], [("guarantor ", ""), x, (" moved", "")], [x, (f" uploaded the {d} twice", "")], [("le client ", ""), x, (" attend", "")], [("Kunde ", ""), x, (" fragt", "")],
-                [(self.one("Thanks ", "Helped a lot. ", "Good answer. ", "gracias, ", "merci ", "danke, "), ""), x], [x, (f" and the {d}, any news", "")], [("tell ", ""), x, (" please", "")], [("name on file is ", ""), x], [("meeting with ", ""), x, (" tomorrow", "")], [("is ", ""), x, (f" the owner of the {d}", "")],
+            x = (self.name(), kind)
+            who = r.choice(_OF_PERSON)
+            return r.choice([
+                [(f"{one('', 'my ', 'the ', 'our ', 'does ', 'did ', 'has ', 'docs of ', 'file of ')}{who}{one(' ', ' ', ': ', ' name ', ' is ', ', ')}", ""), x, (one("", f" {r.choice(_VERBS)} {thing}", tail), "")],
+                [(one("I am ", "my name is ", "i'm ", "this is ", "name: ", "signed, ", "Regards, ", "regards\n", "cc ", "- ", "from ", "thanks, ", "Thank you ", "Best wishes\n", "kind regards ", "me llamo ", "gracias, ", "merci ", "ich bin ", "Danke ", "soy "), ""), x, (one("", "", tail), "")],
+                [(one("spoke with ", "ask for ", "call ", "tell ", "speak to ", "meeting with ", "helped by ", "met ", "advice from ", "status of ", "update for ", "file for ", "case of ", "on behalf of ", "joint with ", "sent by ", "assigned to ", "thanks to ", "letter for ", "is this for ", "contact ", "did ", "does ", "can ", "when will ", "why was ", "where is ", "pull up ", "change to ", "name on it is ", "listed as "), ""), x, (one("", "'s " + d, f" {r.choice(_VERBS)} {thing}", tail), "")],
+                [x, (one(f" {r.choice(_VERBS)} {thing}", " was very helpful.", " is my " + who, " and " + thing, " here", ", " + self.plain(), f" from {self.firm()} {r.choice(_VERBS)} {thing}", " explained it well", " never rang back", tail), "")],
+                [(lead, ""), x, (tail, "")],
+                [(f"{one('el', 'la', 'le', 'der', 'die', 'o', 'il')} {one('cliente', 'señora', 'client', 'Kunde', 'Frau', 'dossier de', 'signor', 'pan')} ", ""), x, (" " + self.plain(), "")],
             ])
         if kind == "email":
-            x = n(self.email(), kind)
-            return self.r.choice([
-                [("is ", ""), x, (f" on the {prod} list", "")], [("who handles ", ""), x], [("contact=", ""), x, (f"; topic={d}", "")], [("resend portal invite ", ""), x], [("sent twice to ", ""), x, (", nothing came back.", "")],
-                [("my mail is ", ""), x], [("(", ""), x, (")", "")], [("<", ""), x, (">", "")], [(f"send the {d} to ", ""), x], [("reply to ", ""), x, (" please", "")], [("is <", ""), x, (f"> on the {prod} list", "")], [("email ", ""), x, (" bounced", "")], [x], [("Write to ", ""), x, (".", "")], [("from: ", ""), x],
-            ])
+            x = (self.email(), kind)
+            return r.choice([[(lead, ""), x, (tail, "")], [(one("my mail is ", "mail ", "write to ", "reply to ", "send it to ", "email: ", "e-mail ", "contact ", "from: ", "cc ", "invite ", "copy to ", "is ", "who is ", "forward to ", "account of ", "(", "<", "login ", "correo "), ""), x, (one("", tail, ")", ">", "."), "")], [x, (tail, "")], [(f"{self.plain()} ", ""), x]])
         if kind == "phone":
-            x = n(self.phone(), kind)
-            return self.r.choice([
-                [("call back ", ""), x, (f" re {d}", "")], [("cell ", ""), x], [("Please call me on ", ""), x, (".", "")], [("caller on ", ""), x, (f" asks about {prod}", "")], [("number on file is ", ""), x, (f", update the {d}", "")],
-                [("text ", ""), x, (f" when the {d} is ready", "")], [("tel:", ""), x, (f" {d}", "")], [("Tel. ", ""), x, ("!", "")], [("can you ring me at ", ""), x, (f" about the {d}", "")], [("nobody rang ", ""), x, (" as promised.", "")],
-                [(f"If the {self.r.choice(_ROLES)} has a question about the {d}, my number is ", ""), x, (", mornings only.", "")], [("Reach me under ", ""), x, (" after five.", "")], [("mobile ", ""), x], [("phone: ", ""), x], [("fax ", ""), x], [("whatsapp ", ""), x, (" works", "")], [("ph ", ""), x],
-            ])
+            x = (self.phone(), kind)
+            return r.choice([[(lead, ""), x, (tail, "")], [(one("call me on ", "ring ", "tel ", "Tel. ", "tel:", "phone ", "phone: ", "mobile ", "cell ", "my number is ", "number is ", "text ", "reach me at ", "fax ", "caller ", "dial ", "whatsapp ", "ph ", "call back ", "nobody answers ", "teléfono ", "contact number "), ""), x, (one("", tail, ".", "!", " after five", ", mornings only", " does not work"), "")], [(f"{self.plain()} ", ""), x, (tail, "")]])
         if kind == "id_number":
             label, number = self.id_number()
             x = [(label, ""), (number, kind)] if label else [(number, kind)]
-            return self.r.choice([
-                [("applicant has ", ""), *x, (f", is the {d} ok", "")], [("I gave ", ""), *x, (f" on the {d}, is that right", "")], [("I had to type ", ""), *x, (" three times.", "")], [("My ", ""), *x, (" was in the answer, that is not ok.", "")],
-                [("It even showed my ", ""), *x, (".", "")], [("verify ", ""), *x, (f" for {prod}", "")], [("does ", ""), *x, (f" need a {d}", "")], [("record ", ""), *x, (" is not mine.", "")], [*x, (f" does not match the {d}", "")], [("update ", ""), *x, (" on file", "")], [("why is ", ""), *x, (" rejected", "")],
-            ])
+            return r.choice([[(lead, ""), *x, (tail, "")], [(one("my ", "the ", "his ", "her ", "", "with ", "has ", "gave ", "typed ", "verify ", "check ", "record ", "update ", "wrong ", "is ", "why is ", "does ", "it showed my "), ""), *x, (one("", tail, ".", " is wrong", " on file", " does not match " + thing, " ok"), "")]])
         if kind == "street_address":
-            x = n(self.address(), kind)
-            return self.r.choice([
-                [("property at ", ""), x, (f" - do we need a {d}", "")], [("moving to ", ""), x, (f", does the {d} change", "")], [("I live at ", ""), x, (f" and want {prod}", "")], [("valuation for ", ""), x], [("We bought ", ""), x, (" last month and this did not apply.", "")],
-                [("is ", ""), x, (f" eligible for {prod}", "")], [("Letters still go to ", ""), x, (".", "")], [("Post it to ", ""), x, (" please.", "")], [("The property is ", ""), x, (".", "")], [("send it to ", ""), x], [("the house at ", ""), x, (" was sold", "")], [("deliver to ", ""), x, (" after nine", "")], [("address: ", ""), x],
-            ])
-        s, r = self.digits, self.r
-        firm, role, first = r.choice(_FIRMS), r.choice(_ROLES), r.choice(FIRST)
+            x = (self.address(), kind)
+            return r.choice([[(lead, ""), x, (tail, "")], [(one("I live at ", "property at ", "house at ", "moving to ", "send it to ", "post to ", "address: ", "address ", "letters go to ", "deliver to ", "located at ", "we bought ", "flood at ", "valuation of ", "is ", "visit ", "the flat on ", "near ", "registered at ", "new home ", "vivo en ", "wohne "), ""), x, (one("", tail, ".", " was sold", " is empty", " last month", f" - {thing}"), "")]])
+        s = self.digits
+        number = one(s(10), s(9), s(8), s(7), f"{s(3)}-{s(3)}-{s(4)}", f"{s(3)}-{s(2)}-{s(4)}", f"{s(3)} {s(2)} {s(4)}", f"{s(3)} {s(3)} {s(4)}", f"{s(4)}-{s(5)}", f"{self.letters(2)}-{s(4)}-{s(5)}", f"{self.letters(2)}{s(6)}", f"{s(3)}.{s(2)}.{s(4)}", f"{s(3)}-{s(7)}", f"{s(4)}-{s(2)}-{s(2)}", f"{s(4)} {s(4)}", f"#{s(7)}", f"0x{s(6)}")
+        what = one("loan", "ticket", "case", "policy", "policy no", "invoice", "account", "account no", "order", "ref", "reference", "claim", "file", "loan no.", "batch", "batch no", "escrow ref", "docket", "template", "doc id", "version", "error", "account ending", "contract", "booking", "form", "serial", "item", "row", "page", "section", "case no.", "ticket #", "invoice no", "tracking", "member no", "folio", "expediente", "poliza", "Rechnung")
+        place = one(self.titled(1, 2), self.titled(1, 1), r.choice(_STREETS))
         return [(r.choice([
-            f"loan {s(10)} shows a {d}", f"ticket #{s(7)} about the {d}", f"escrow ref {s(3)} {s(2)} {s(4)}", f"policy no {s(3)}-{s(3)}-{s(4)} covers the {d}", f"case CN-{s(4)}-{s(5)} still needs the {d}", f"error 0x{s(6)} when I open the {d}",
-            f"invoice {s(9)} for the {d}", f"account ending {s(4)}, is the {d} ok", f"rate@{s(1)}.{s(2)} or @{s(1)}.{s(3)} for {prod}", f"is {prod} priced @ {s(1)}.{s(3)} today", f"ping @{self.one('closing', 'funding', 'broker', 'escrow')}-{self.one('desk', 'team')} on the {d}",
-            f"hours 08:30-17:{s(2)} for the {firm} desk", f"max €{s(3)},{s(3)} or ${s(3)},{s(3)} for {prod}", f"£{s(3)},{s(3)}.{s(2)} on {s(2)}.{s(2)}.2024 for the {d}", f"{prod} fees over £{s(3)},{s(3)}", f"limit of {s(2)}.{s(2)}% on {d}",
-            f"the {self.family()} {self.one('ratio', 'rule', 'test', 'clause', 'index', 'method')} of a {d}", f"does the {self.family()} {self.one('Clause', 'Act', 'Rule', 'Standard')} change the {d}", f"{self.family()} {self.one('test', 'rule', 'ratio', 'formula', 'table')} for {prod}", f"who is the {role.title()} at {firm}", f"ask {role} at {firm}",
-            f"does {firm} accept the {d}", f"sort code of {firm} for the {d}", f"doc id {s(3)}-{s(2)}-{s(4)}{self.one('X', 'Z')} of the {d}", f"form {s(4)} or form {s(4)}-{s(2)} for the {d}", f"units {s(2)}-{s(2)} of the {d}, lot {s(4)}", f"batch {s(4)}-{s(2)}-{s(2)} failed on the {d}",
-            f"the {s(2)} Month Statement Way product vs {prod}", f"what is a 2-4 unit limit on {prod}", f"how to check {d} within {s(2)} hours", f"account no {s(8)} for {prod}", f"order {s(3)}-{s(7)} is late", f"thanks {first}", f"can the {role} check a {d}", f"{first} from {role} said so", f"what if {first} is late",
-            f"case {s(3)}-{s(2)}-{s(4)} is closed", f"ref {s(9)}", f"reference {s(3)} {s(3)} {s(4)} on the {d}", f"claim {s(3)}-{s(3)}-{s(4)} of {firm}", f"step {s(1)} of the {d} on page {s(2)}", f"what is a {d}", f"who signs the {d}", f"why was the {d} released", f"difference between {d} and {self.doc()}", f"{prod} minimum score {s(3)}",
-            f"the {self.r.choice(_STREETS)} {self.one('Way', 'Road', 'Street')} {self.one('plan', 'scheme', 'product', 'policy')} fees", f"Main Street lending guide {s(4)}", f"{self.family()} & {self.family()} {self.one('Ltd', 'LLP', 'Partners', 'Bank')} sent the {d}", f"the {self.family()} {self.one('office', 'branch', 'team', 'portfolio', 'model')} uses the {d}", f"loan no. {s(3)}-{s(2)}-{s(4)} needs the {d}", f"batch no {s(9)}", f"template {s(3)}.{s(2)}.{s(4)} of the {d}", f"policy {self.one('QZ', 'AB')}{s(6)}", f"ticket {s(3)} {s(3)} {s(4)}", f"room {s(3)}, floor {s(1)} of {firm}", f"borrower file {self.one('above the cap', 'in another name', 'already funded', 'not legible', 'on hold')} and {d}", f"Regulation {self.one('Z', 'B', 'X')} and the {d}", f"¿qué pasa con el {r.choice(_SPANISH)} {r.choice(_SPANISH_ADJ)}?", f"respuesta correcta sobre el {r.choice(_SPANISH)} {r.choice(_SPANISH_ADJ)}", f"rate on {s(2)}/{s(2)}/20{s(2)} for {prod}", f"when does the {role} check it", f"why has the {role} not {self.one('queued', 'withdrawn', 'forwarded', 're-ordered', 'escalated', 'uploaded')} it at month end", f"client file {self.one('is open', 'was closed', 'needs a ' + d)}", f"{d} vs {self.doc()}, which comes first", f"what if the borrower has {d}", f"does the borrower need a {d}", f"{role} and {self.r.choice(_ROLES)} both check the {d}", f"section {s(2)} of the {firm} guide", f"the {d} of {s(2)} {self.one('May', 'June', 'March')} 2024 at {s(2)}:{s(2)}",
+            f"{lead}{what} {number}{tail}", f"{what} {number} {self.plain()}", f"{what} {number}", f"{self.plain()}", f"{self.plain()}", f"{lead}{thing}{tail}",
+            f"{one('is', 'does', 'did', 'ask', 'at', 'by', 'from', 'for', 'why is', 'who runs')} {self.firm()} {self.plain()}", f"{self.role()} {r.choice(_VERBS)} {thing}", f"ask {one('the', 'our', 'a', '')} {self.role()} at {self.firm()}", f"{self.role()} and {self.role()} {self.plain()}",
+            f"the {self.family()} {r.choice(_RULE)}{tail}", f"{one('the', 'does the', 'is the', 'under', 'see the')} {self.family()} {r.choice(_RULE).title()}{tail}", f"{self.family()} {one(r.choice(_RULE), r.choice(_PRODUCT))} {self.plain()}", f"{self.family()}-{self.family()} {r.choice(_RULE)}{tail}",
+            f"{one('thanks', 'hi', 'hello', 'ask', 'what if', 'because')} {r.choice(FIRST)}{one('', ' ' + self.plain(), ' from the ' + self.role(), ', ' + self.plain())}", f"{r.choice(FIRST)} {one('said', 'told me', 'is late', r.choice(_VERBS))} {thing}", f"{r.choice(FIRST)} from {self.role()} {self.plain()}",
+            f"{self.product()} {one('vs', 'or', 'and', 'versus', 'with')} {self.product()}{tail}", f"{one('is', 'why', 'what is', 'how much is', 'limit of', 'fees of', 'for', 'about', 'rate on', 'difference between')} {self.product()} {self.plain()}", f"{lead}{self.product()}{tail}", f"{self.product()} {one('fees', 'limits', 'terms', 'product', 'guide', 'case', 'plan')}{tail}",
+            f"rate@{s(1)}.{s(2)} or @ {s(1)}.{s(3)}{tail}", f"priced @{s(1)}.{s(3)} for {thing}", f"ping @{self.word()}-{self.word()}{tail}", f"see @{self.word()}{tail}", f"hours {s(2)}:{s(2)}-{s(2)}:{s(2)}{tail}", f"max {one('€', '$', '£')}{s(3)},{s(3)} or {one('€', '$', '£')}{s(3)},{s(3)}.{s(2)}{tail}", f"{s(2)}.{s(2)}% of {thing} within {s(2)} {one('days', 'hours', 'months')}",
+            f"{one('on', 'by', 'from', 'since')} {s(2)}{one('/', '.', '-')}{s(2)}{one('/', '.', '-')}20{s(2)}{tail}", f"{thing} of {s(2)} {one('January', 'May', 'June', 'March', 'October')} 20{s(2)} at {s(2)}:{s(2)}", f"form {s(4)} or {s(4)}-{s(2)}{tail}", f"units {s(2)}-{s(2)} of {thing}, lot {s(4)}", f"room {s(3)}, floor {s(1)}{tail}", f"step {s(1)} on page {s(2)}{tail}",
+            f"{one('a', 'the', 'our', 'is the')} {s(2)} {self.titled(1, 2)} {one('Way', 'Street', 'Road', 'Drive', 'Court', 'Place', 'Lane')} {one('plan', 'product', 'scheme', 'guide', 'policy', 'fees', 'method')}{tail}", f"{place} {one('Way', 'Road', 'Street', 'Lane', 'Square')} {one('plan', 'scheme', 'product', 'policy', 'guide', 'office', 'branch', 'lending')}{tail}", f"{s(1)}-{s(1)} {self.word()} {self.word()} of {thing}", f"{s(2)} {self.word()} {one('court', 'drive', 'way', 'close', 'place', 'hill')} {self.word()}{tail}",
+            f"{one('Regulation', 'Article', 'Annex', 'Schedule', 'Class', 'Tier')} {self.letters(1)}{tail}", f"{r.choice(_OF_PERSON)} {one('file', 'data', 'letter', 'number', 'name', 'address', 'and ' + r.choice(_OF_PERSON))} {self.plain()}", f"{one('does', 'can', 'if', 'what if', 'when')} {one('the', 'a')} {r.choice(_OF_PERSON)} {self.plain()}", f"{one('email', 'phone number', 'address', 'name', 'passport', 'SSN', 'driving licence', 'tax id', 'telephone')} {one('missing', 'of the ' + r.choice(_OF_PERSON), 'needed', 'wrong', 'for ' + thing)}{tail}",
         ]), "")]
 
     def misspell(self, text: str) -> str:
@@ -231,15 +284,15 @@ class Maker:
             return text
         return text[:i] + text[i + 1 :] if p < 0.4 else text[:i] + text[i] + text[i:] if p < 0.6 else text[:i] + text[i + 1 : i + 2] + text[i] + text[i + 2 :]
 
-    def text(self, background: list[str]) -> tuple[str, list[tuple[int, int, int]]]:
+    def text(self) -> tuple[str, list[tuple[int, int, int]]]:
         pieces: list[tuple[str, str]] = []
         for k in range(self.one(1, 1, 1, 2, 2, 3)):
             if k:
                 pieces.append((self.one(". ", "; ", ", ", "\n", " ", "? ", "! "), ""))
             p = self.r.random()
-            if p < 0.36 and background:
-                made = [(self.misspell(self.r.choice(background)) if self.r.random() < 0.2 else self.r.choice(background), "")]
-            elif p < 0.55:
+            if p < 0.25:
+                made = [(self.plain(), "")]
+            elif p < 0.52:
                 made = self.sentence("")
             else:
                 made = self.sentence(self.one(*TYPES, "person_name", "id_number", "street_address"))
@@ -397,13 +450,13 @@ def batch_of(samples: list[tuple[str, list[tuple[int, int, int]]]]) -> tuple[np.
 class Feed:
     """Endless batches of made texts, cut to the window, each batch of like lengths."""
 
-    def __init__(self, seed: int, size: int, background: list[str]):
-        self.maker, self.size, self.background, self.pool = Maker(seed), size, background, []
+    def __init__(self, seed: int, size: int):
+        self.maker, self.size, self.pool = Maker(seed), size, []
         self.rng = random.Random(seed)
 
     def __call__(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if not self.pool:
-            many = [self.maker.text(self.background) for _ in range(self.size * 16)]
+            many = [self.maker.text() for _ in range(self.size * 16)]
             many = sorted(((t[:WINDOW], [(a, min(b, WINDOW), k) for a, b, k in s if a < WINDOW]) for t, s in many if t), key=lambda x: len(x[0]))
             self.pool = [many[i : i + self.size] for i in range(0, len(many) - self.size + 1, self.size)]
             self.rng.shuffle(self.pool)
@@ -413,16 +466,16 @@ class Feed:
 _FEED: Feed | None = None
 
 
-def _start(seeds, size: int, background: list[str]) -> None:
+def _start(seeds, size: int) -> None:
     global _FEED
-    _FEED = Feed(seeds.get(), size, background)
+    _FEED = Feed(seeds.get(), size)
 
 
 def _shard(w: dict[str, np.ndarray]) -> tuple[float, dict[str, np.ndarray]]:
     return loss_and_gradients(w, *_FEED())
 
 
-def train(batches: int, hidden: int = 28, embedding: int = 16, size: int = 96, background: list[str] | None = None, seed: int = 0, minutes: float = 1e9, report: int = 0, workers: int = 1, start: dict[str, np.ndarray] | None = None, top_rate: float = 0.008) -> dict[str, np.ndarray]:
+def train(batches: int, hidden: int = 28, embedding: int = 16, size: int = 96, seed: int = 0, minutes: float = 1e9, report: int = 0, workers: int = 1, start: dict[str, np.ndarray] | None = None, top_rate: float = 0.008) -> dict[str, np.ndarray]:
     """Adam with a falling rate; each step averages the gradients of ``workers`` batches."""
     import multiprocessing
 
@@ -434,10 +487,10 @@ def train(batches: int, hidden: int = 28, embedding: int = 16, size: int = 96, b
         seeds = context.Queue()
         for i in range(workers):
             seeds.put(seed * 100 + i + 1)
-        crew = context.Pool(workers, _start, (seeds, size, background or []))
+        crew = context.Pool(workers, _start, (seeds, size))
         shards = lambda: crew.map(_shard, [w] * workers, 1)
     else:
-        feed = Feed(seed + 1, size, background or [])
+        feed = Feed(seed + 1, size)
         shards = lambda: [loss_and_gradients(w, *feed())]
     for step in range(1, batches + 1):
         parts = shards()
@@ -459,26 +512,8 @@ def train(batches: int, hidden: int = 28, embedding: int = 16, size: int = 96, b
     return w
 
 
-def common_rows(directory: str, rows: int = BACKGROUND_ROWS, least: float = 0.0012) -> list[str]:
-    """Up to ``rows`` distinct texts all of whose words are common and that hold nothing that might
-    be an address or a long number."""
-    import pyarrow.parquet as pq
-
-    texts = sorted({t for name, column in (("audit_log", "query"), ("feedback", "comment"), ("knowledge_gaps", "query")) for t in pq.read_table(f"{directory}/{name}.parquet", columns=[column]).column(0).to_pylist() if t})
-    random.Random(4).shuffle(texts)
-    counts: dict[str, int] = {}
-    for t in texts:
-        for x in set(re.findall(r"[^\W\d_]+", t.lower())):
-            counts[x] = counts.get(x, 0) + 1
-    doubtful = re.compile(r"(?i)@| \(?at\)? .*\bdot\b|\d[\d\-. /()\u2011]{4,}\d|\b(?:five|zero) (?:five|zero)|\b\d+[a-z]? .{0,40}\b(?:st|street|road|rd|ave|avenue|lane|ln|court|ct|drive|dr|terrace|close|way|place|blvd|crescent)\b|stra(?:ß|ss)e|\bcalle\b")
-    fit = [t for t in texts if not doubtful.search(t) and all(counts[x] >= least * len(texts) for x in re.findall(r"[^\W\d_]+", t.lower()))]
-    return fit[:rows]
-
-
 if __name__ == "__main__":
-    directory, minutes = (sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.1"), float(sys.argv[2] if len(sys.argv) > 2 else 8)
-    plain = common_rows(directory)
-    print(len(plain), "background rows", flush=True)
-    start = dict(np.load(sys.argv[4])) if len(sys.argv) > 4 else None  # a model to go on from
-    learned = train(100_000, background=plain, minutes=minutes, report=50, workers=int(sys.argv[3]) if len(sys.argv) > 3 else 1, start=start, top_rate=0.004 if start else 0.008, seed=1 if start else 0)
+    minutes = float(sys.argv[1] if len(sys.argv) > 1 else 8)
+    start = dict(np.load(sys.argv[3])) if len(sys.argv) > 3 else None  # a model to go on from
+    learned = train(100_000, minutes=minutes, report=100, workers=int(sys.argv[2]) if len(sys.argv) > 2 else 1, start=start, top_rate=0.004 if start else 0.008, seed=1 if start else 0)
     np.savez_compressed(MODEL, **{k: x.astype(np.float16) if x.ndim > 1 and k != "trans" else x for k, x in learned.items()})

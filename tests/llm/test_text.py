@@ -134,7 +134,7 @@ def test_pii_held_out():
     from skein.llm.pii_train import Maker
 
     maker = Maker(987654)
-    samples = [maker.text([]) for _ in range(1500)]
+    samples = [maker.text() for _ in range(1500)]
     found = pii.find([t for t, _ in samples])
     tp = fp = fn = 0
     for (_, spans), items in zip(samples, found):
@@ -168,7 +168,7 @@ def test_viterbi_against_all_paths():
 def test_gradients():
     from skein.llm import pii_train as P
 
-    w, batch = P.new_weights(5, 4), P.batch_of([P.Maker(2).text([]) for _ in range(3)])
+    w, batch = P.new_weights(5, 4), P.batch_of([P.Maker(2).text() for _ in range(3)])
     loss, grad = P.loss_and_gradients(w, *batch)
     for key, at in (("u", (1, 2, 7)), ("trans", (3, 4)), ("w", (0, 1, 9)), ("end", (0,))):
         kept = w[key][at]
