@@ -6,11 +6,14 @@ away count, and one Viterbi pass with the CRF's transitions decodes the whole te
 never cut by a window.  A text whose best scores prove that no path can beat "all outside" skips
 that pass; nothing else is skipped.
 
-The weights in ``pii_model.npz`` are trained by ``pii_train`` on labelled spans made there.
+Besides the character, the network reads whether its word stands in a public tokenizer's vocabulary,
+as names of things do and most names of people do not.  The weights in ``pii_model.npz`` are trained by ``pii_train`` on labelled spans made there.
 """
 
 from __future__ import annotations
 
+import base64
+import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -21,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import TOKENIZER_DIR
+
 TYPES = ("email", "phone", "id_number", "street_address", "person_name")
 #: O, then B and I of each type.
 TAGS = 1 + 2 * len(TYPES)
@@ -31,8 +36,13 @@ MODEL = Path(__file__).with_name("pii_model.npz")
 
 _DIRECT = {c: i + 1 for i, c in enumerate([chr(x) for x in range(32, 127)] + ["\n"] + [chr(x) for x in range(0xA0, 0x100)])}
 _FIRST_CLASS = len(_DIRECT) + 1
-#: Symbols: 0 padding, single characters, then classes of all others.
-SYMBOLS = _FIRST_CLASS + 7
+#: Characters: 0 padding, single characters, then classes of all others.
+CHARACTERS = _FIRST_CLASS + 7
+#: What the word around a character is: none, a word of a public vocabulary, one that stands there
+#: with a capital letter only, or neither.
+WORD_KINDS = 4
+#: Symbols of the network: a character beside the kind of its word.
+SYMBOLS = CHARACTERS * WORD_KINDS
 
 
 def _class_of(code: int) -> int:
@@ -56,10 +66,26 @@ def _symbol_table() -> np.ndarray:
     return table
 
 
+@lru_cache(maxsize=2)
+def known_words(directory: str = TOKENIZER_DIR) -> dict[str, int]:
+    """Words that are tokens of a public vocabulary: 1 in lower case, 2 with a capital letter only."""
+    with open(os.path.join(directory, "byte_bpe_50k.tiktoken"), "rb") as lines:
+        tokens = [base64.b64decode(x.split()[0]).decode("utf-8", "replace") for x in lines]
+    whole = [t[1:] for t in tokens if t[:1] == " " and len(t) > 2 and t[1:].isalpha()]
+    return {**{w.lower(): 2 for w in whole}, **{w: 1 for w in whole if w == w.lower()}}
+
+
+_LETTERS = re.compile(r"[^\W\d_]+")
+
+
 def symbols(text: str) -> np.ndarray:
     codes = np.frombuffer(text.encode("utf-32-le", "replace"), dtype="<u4")
     table = _symbol_table()
-    return np.where(codes < len(table), table[np.minimum(codes, len(table) - 1)], _FIRST_CLASS + 4)
+    found = np.where(codes < len(table), table[np.minimum(codes, len(table) - 1)], _FIRST_CLASS + 4)
+    known = known_words()
+    for m in _LETTERS.finditer(text):
+        found[m.start() : m.end()] += CHARACTERS * known.get(m.group().lower(), 3)
+    return found
 
 
 # --- the network ---------------------------------------------------------------------------

@@ -18,7 +18,7 @@ from functools import lru_cache
 
 import numpy as np
 
-from .pii import MODEL, SYMBOLS, TAGS, TYPES, WINDOW, symbols
+from .pii import CHARACTERS, MODEL, TAGS, TYPES, WINDOW, WORD_KINDS, symbols
 
 #: Given names and pieces of family names of many countries, from general knowledge.
 FIRST = (
@@ -49,6 +49,8 @@ _RULE = "rule|ratio|test|clause|index|method|act|standard|formula|model|theorem|
 _OF_PERSON = "applicant|customer|client|patient|guest|tenant|borrower|member|student|colleague|passenger|neighbour|husband|wife|mother|father|brother|sister|partner|guarantor|witness|lawyer|landlord|buyer|seller|visitor|user|employee|co-signer|contact|caller|owner|spouse".split("|")
 _VERBS = "asks about|wants|called about|sent|signed|lost|needs|complained about|paid for|cancelled|uploaded|is waiting for|left without|was told about|booked|forgot|has questions on|wrote twice about|did not get|moved before|submitted|still owes|is listed on|already has|qualifies for|got".split("|")
 _WHERE = "please|today|again|yesterday|this week|as discussed|on the phone|by mail|at once|thanks||||||".split("|")
+_UNITS = "hours|days|weeks|months|years|minutes|working days|business days|calendar days|thousand|million|hundred|percent|points|pages|copies|users|rooms|miles|euros|dollars|pounds|units|people|times|lines|items|cases|weeks now|basis points|per cent|in total|or more|plus tax".split("|")
+_OTHER_GLUE = "el la los las de del con para por que es un una y en le les des du et est pour avec der die das und mit für ist ein i z na w do jest o os da".split()
 _GLUE = "the a an of for to in on with is are was and or not this that my our your it can how what when why does do we i you which who where if by from as at be have has will should there".split()
 
 
@@ -117,7 +119,9 @@ class Maker:
         p = self.r.random()
         if p < 0.2:
             others = vocabulary()[1]
-            made = [self.r.choice(others) if self.r.random() < 0.85 else self.word() for _ in range(self.r.randint(3, 9))]
+            made = [self.r.choice(_OTHER_GLUE) if self.r.random() < 0.35 else self.r.choice(others) if self.r.random() < 0.85 else self.word() for _ in range(self.r.randint(3, 9))]
+            if self.r.random() < 0.3:
+                made.insert(0, self.one("¿qué", "¿cómo", "el", "la", "le", "der", "die", "quel", "wie", "jak", "¿dónde está el", "¿qué es el"))
         else:
             made = [self.r.choice(_GLUE) if self.r.random() < 0.45 else self.word() for _ in range(self.r.randint(2, 10))]
             if self.r.random() < 0.2:
@@ -262,10 +266,15 @@ class Maker:
             x = (self.address(), kind)
             return r.choice([[(lead, ""), x, (tail, "")], [(one("I live at ", "property at ", "house at ", "moving to ", "send it to ", "post to ", "address: ", "address ", "letters go to ", "deliver to ", "located at ", "we bought ", "flood at ", "valuation of ", "is ", "visit ", "the flat on ", "near ", "registered at ", "new home ", "vivo en ", "wohne "), ""), x, (one("", tail, ".", " was sold", " is empty", " last month", f" - {thing}"), "")]])
         s = self.digits
-        number = one(s(10), s(9), s(8), s(7), f"{s(3)}-{s(3)}-{s(4)}", f"{s(3)}-{s(2)}-{s(4)}", f"{s(3)} {s(2)} {s(4)}", f"{s(3)} {s(3)} {s(4)}", f"{s(4)}-{s(5)}", f"{self.letters(2)}-{s(4)}-{s(5)}", f"{self.letters(2)}{s(6)}", f"{s(3)}.{s(2)}.{s(4)}", f"{s(3)}-{s(7)}", f"{s(4)}-{s(2)}-{s(2)}", f"{s(4)} {s(4)}", f"#{s(7)}", f"0x{s(6)}")
+        number = one(s(10), s(9), s(8), s(7), f"{s(3)}-{s(3)}-{s(4)}", f"{s(3)}-{s(2)}-{s(4)}", f"{s(3)} {s(2)} {s(4)}", f"{s(3)} {s(3)} {s(4)}", f"{s(4)}-{s(5)}", f"{self.letters(2)}-{s(4)}-{s(5)}", f"{self.letters(2)}{s(6)}", f"{s(3)}.{s(2)}.{s(4)}", f"{s(3)}-{s(7)}", f"{s(4)}-{s(2)}-{s(2)}", f"{s(4)} {s(4)}", f"#{s(7)}", f"0x{s(6)}", f"{s(3)}-{s(2)}-{s(4)}{self.letters(1)}", f"{s(3)}-{s(2)}-{s(4)}-{s(1)}")
         what = one("loan", "ticket", "case", "policy", "policy no", "invoice", "account", "account no", "order", "ref", "reference", "claim", "file", "loan no.", "batch", "batch no", "escrow ref", "docket", "template", "doc id", "version", "error", "account ending", "contract", "booking", "form", "serial", "item", "row", "page", "section", "case no.", "ticket #", "invoice no", "tracking", "member no", "folio", "expediente", "poliza", "Rechnung")
         place = one(self.titled(1, 2), self.titled(1, 1), r.choice(_STREETS))
+        some = self.one(s(1), s(2), s(2), s(3), s(3), f"{s(3)},{s(3)}", s(4))
+        shown = self.one(self.titled(2, 2), self.titled(2, 2), self.product(), self.product(), self.titled(1, 3), self.firm(), self.titled(1, 1))
+        if r.random() < 0.3:  # names of things where names of people may stand
+            return [(self.one(f"{one('does', 'is', 'can', 'why is', 'what is', 'has', 'will', 'are')} {shown} {r.choice(_VERBS + ['open', 'for', 'available', 'right', 'priced', 'and', 'or'])} {thing}", f"{self.plain()} {one('for', 'on', 'of', 'with', 'from', 'about', 'vs', 'in', 'under', 'and', 'the')} {shown}{one('', '', tail)}", f"{shown} {one('fees', 'limits', 'terms', 'rate', 'minimum', 'case', 'list', 'guide', 'sheet', r.choice(_VERBS))} {self.plain()}", f"the {one('', 'old ', 'new ', self.word() + ' ')}{shown} {self.word()}{tail}", f"{one('want', 'need', 'about', 'use', 'prefer', 'read', 'compare', 'open', 'max', 'min', 'limit of')} {shown}{tail}"), "")]
         return [(r.choice([
+            f"{lead}{some} {r.choice(_UNITS)}{tail}", f"{self.plain()} {one('within', 'in', 'after', 'over', 'under', 'is', 'of', 'for', 'about', 'at least')} {some} {r.choice(_UNITS)}{one('', tail)}", f"{self.plain()} {some} {self.word()} {self.word()}{one('', tail)}", f"{one('within', 'over', 'max')} {some} {r.choice(_UNITS)} and {s(2)} {r.choice(_UNITS)}{tail}",
             f"{lead}{what} {number}{tail}", f"{what} {number} {self.plain()}", f"{what} {number}", f"{self.plain()}", f"{self.plain()}", f"{lead}{thing}{tail}",
             f"{one('is', 'does', 'did', 'ask', 'at', 'by', 'from', 'for', 'why is', 'who runs')} {self.firm()} {self.plain()}", f"{self.role()} {r.choice(_VERBS)} {thing}", f"ask {one('the', 'our', 'a', '')} {self.role()} at {self.firm()}", f"{self.role()} and {self.role()} {self.plain()}",
             f"the {self.family()} {r.choice(_RULE)}{tail}", f"{one('the', 'does the', 'is the', 'under', 'see the')} {self.family()} {r.choice(_RULE).title()}{tail}", f"{self.family()} {one(r.choice(_RULE), r.choice(_PRODUCT))} {self.plain()}", f"{self.family()}-{self.family()} {r.choice(_RULE)}{tail}",
@@ -292,7 +301,7 @@ class Maker:
             p = self.r.random()
             if p < 0.25:
                 made = [(self.plain(), "")]
-            elif p < 0.52:
+            elif p < 0.6:
                 made = self.sentence("")
             else:
                 made = self.sentence(self.one(*TYPES, "person_name", "id_number", "street_address"))
@@ -333,7 +342,7 @@ def new_weights(hidden: int, embedding: int, seed: int = 0) -> dict[str, np.ndar
     bias = np.zeros((2, 4 * hidden), dtype=np.float32)
     bias[:, hidden : 2 * hidden] = 1.0
     return {
-        "emb": (rng.standard_normal((SYMBOLS, embedding)) * 0.5).astype(np.float32), "w": init(2, embedding, 4 * hidden), "u": init(2, hidden, 4 * hidden), "b": bias, "out": init(2 * hidden, TAGS), "out_b": np.zeros(TAGS, np.float32),
+        "emb": np.tile(rng.standard_normal((CHARACTERS, embedding)) * 0.5, (WORD_KINDS, 1)).astype(np.float32), "w": init(2, embedding, 4 * hidden), "u": init(2, hidden, 4 * hidden), "b": bias, "out": init(2 * hidden, TAGS), "out_b": np.zeros(TAGS, np.float32),
         "trans": np.zeros((TAGS, TAGS), np.float32), "start": np.zeros(TAGS, np.float32), "end": np.zeros(TAGS, np.float32),
     }
 
@@ -515,5 +524,7 @@ def train(batches: int, hidden: int = 28, embedding: int = 16, size: int = 96, s
 if __name__ == "__main__":
     minutes = float(sys.argv[1] if len(sys.argv) > 1 else 8)
     start = dict(np.load(sys.argv[3])) if len(sys.argv) > 3 else None  # a model to go on from
+    if start and len(start["emb"]) == CHARACTERS:  # of a network that did not read the kinds of words
+        start["emb"] = np.tile(start["emb"], (WORD_KINDS, 1))
     learned = train(100_000, minutes=minutes, report=100, workers=int(sys.argv[2]) if len(sys.argv) > 2 else 1, start=start, top_rate=0.004 if start else 0.008, seed=1 if start else 0)
     np.savez_compressed(MODEL, **{k: x.astype(np.float16) if x.ndim > 1 and k != "trans" else x for k, x in learned.items()})
