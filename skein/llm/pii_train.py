@@ -97,7 +97,9 @@ class Maker:
         return self.words(1, 3)
 
     def titled(self, least: int, most: int) -> str:
-        return self.words(least, most).title()
+        """Words with capitals; some of them stand in no vocabulary, as names of products often do."""
+        made = [self.word() if self.r.random() < 0.78 else self.one(self.word()[:6] + self.word()[-5:], self.r.choice(_HEADS).lower() + self.word()[-4:], self.misspell(self.word())) for _ in range(self.r.randint(least, most))]
+        return " ".join(made).title()
 
     def firm(self) -> str:
         p = self.r.random()
