@@ -196,7 +196,7 @@ def _valid(kind: int, s: str) -> bool:
         return digits >= 5
     if TYPES[kind] == "street_address":
         return digits >= 1 and sum(map(str.isalpha, s)) >= 3
-    return sum(map(str.isalpha, s)) >= 3 and digits == 0
+    return sum(map(str.isalpha, s)) >= 3 and digits == 0 and len(_LETTERS.findall(s)) >= 2  # a family name and something before it
 
 
 def _whole_words(kind: int, text: str, a: int, b: int) -> bool:
