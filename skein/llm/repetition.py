@@ -2,9 +2,9 @@
 
 One pass computes rule statistics of each document, above all the share of its words that lie in
 a sequence of five words occurring more than once in it.  An isolation forest, grown in numpy on
-a bounded sample of the statistics, scores how few random splits set a document apart; the score
-from which a document counts as repetitive is calibrated on labelled rows: the sample's rows,
-labelled by the rule, and documents made here with known repetition.
+the ordinary rows of a bounded labelled sample, scores how few random splits set a document apart
+from those.  The score from which a document counts as repetitive is calibrated on labelled rows:
+on all of them, by the best F1 over a histogram of scores.  The score alone decides.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from .neardup import Codes
 
 GRAM = 5
 STATS = ("share", "top_gram", "line_share", "poor_words", "run_share")
+#: The forest's trees, and the ordinary rows each is grown on.
+TREES, TREE_ROWS = 100, 4096
 _WORD = re.compile(r"[^ \t\r\n]+")
 _LINE = re.compile(r"[\r\n]+|(?<=[.!?])[ \t]+")
 #: At most so many rows of statistics are brought to the driver to grow and calibrate the forest.
@@ -72,7 +74,7 @@ def statistics(text: str | None, known: Codes | None = None) -> tuple[int, ...]:
 class IsolationForest:
     """Random split trees; ``score`` is near 1 for rows that few splits set apart."""
 
-    def __init__(self, trees: int = 64, sample: int = 512, seed: int = 11):
+    def __init__(self, trees: int = TREES, sample: int = TREE_ROWS, seed: int = 11):
         self.trees, self.sample, self.seed, self.grown = trees, sample, seed, []
 
     def fit(self, rows: np.ndarray) -> "IsolationForest":
@@ -139,13 +141,34 @@ def made_texts(count: int = 300, seed: int = 5) -> list[str]:
     return found
 
 
-def calibrated(sample: np.ndarray, least_share: float, least_words: int, margin: float = 0.03) -> tuple[IsolationForest, float]:
-    """The forest, and the least score of a labelled repetitive row less ``margin``."""
-    made = np.array([statistics(t) for t in made_texts()])
-    labelled = np.concatenate([made, sample]) if len(sample) else made
-    forest = IsolationForest().fit(labelled[:, 1:])
-    positive = (labelled[:, 1] >= least_share) & (labelled[:, 0] >= least_words)
-    return forest, float(forest.score(labelled[positive][:, 1:]).min() - margin)
+def seen(values: np.ndarray, least_words: int) -> np.ndarray:
+    """What the forest looks at, of rows (n_words, *STATS): the share of repeated words, none for short texts."""
+    return np.where(values[:, 0] >= least_words, values[:, 1], 0.0)[:, None]
+
+
+def labels(values: np.ndarray, least_share: float, least_words: int) -> np.ndarray:
+    return (values[:, 1] >= least_share) & (values[:, 0] >= least_words)
+
+
+def fitted(sample: np.ndarray, made: np.ndarray, least_share: float, least_words: int) -> IsolationForest:
+    """A forest over the ordinary ones of the sample's rows and of the made texts."""
+    rows = np.concatenate([made, sample]) if len(sample) else made
+    return IsolationForest().fit(seen(rows[~labels(rows, least_share, least_words)], least_words))
+
+
+def threshold(counts: list[tuple[float, bool, int]]) -> float:
+    """The score with the best F1 over rows (score, whether repetitive, how many), between it and the next."""
+    scores = sorted({s for s, *_ in counts}, reverse=True)
+    right, every = dict.fromkeys(scores, 0), dict.fromkeys(scores, 0)
+    for s, label, n in counts:
+        every[s] += n
+        right[s] += n if label else 0
+    positives, best, at, tp, found = sum(right.values()), 0.0, float("inf"), 0, 0
+    for i, s in enumerate(scores):
+        tp, found = tp + right[s], found + every[s]
+        if positives and 2 * tp / (positives + found) > best:
+            best, at = 2 * tp / (positives + found), (s + scores[i + 1]) / 2 if i + 1 < len(scores) else s
+    return at
 
 
 def measure(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -166,19 +189,25 @@ def repetition(df: DataFrame, id_col: str, text_col: str, least_share: float = 0
     """One row for each row of ``df``: ``id_col``, ``n_words``, ``share`` of repeated words,
     the forest's ``score`` and whether the document ``repeats``.
 
-    ``repeats`` needs a score from the calibrated threshold on and then the rule itself: at
-    least ``least_words`` words and ``least_share`` of them repeated.  Null, empty and blank
-    texts have share 0; repeated rows are all kept; extra columns are not read.
+    ``repeats`` is decided by the score: from the threshold on, calibrated on rows labelled by the
+    rule (at least ``least_words`` words and ``least_share`` of them repeated).  Null, empty and
+    blank texts have share 0; repeated rows are all kept; extra columns are not read.  The made
+    texts count beside a table's rows, so that a table without repetitive rows has a threshold too.
     """
     stats = settle(measure(df, id_col, text_col), "stats")
     rows = stats.count()
     # an even sample by hash, bounded whatever the table's size
     part = stats.where(F.pmod(F.xxhash64(*stats.columns), F.lit(1_000_000)) < int(1_000_000 * min(1.0, fit_rows / max(1, rows)))).select("n_words", *STATS).limit(2 * fit_rows).toPandas().to_numpy(dtype=np.float64)
-    forest, least = calibrated(part, least_share, least_words)
+    made = np.array([statistics(t) for t in made_texts()])
+    forest = fitted(part, made, least_share, least_words)
 
     @F.pandas_udf("double")
     def score(*columns: pd.Series) -> pd.Series:
-        return pd.Series(forest.score(np.stack([c.to_numpy(dtype=np.float64) for c in columns], axis=1)))
-
-    scored = stats.withColumn("score", score(*STATS))
-    return scored.select(id_col, "n_words", F.round("share", 6).alias("share"), F.round("score", 6).alias("score"), ((F.col("score") >= least) & (F.col("n_words") >= least_words) & (F.col("share") >= least_share)).alias("repeats"))
+        return pd.Series(forest.score(seen(np.stack([c.to_numpy(dtype=np.float64) for c in columns], axis=1), least_words)).round(5))
+
+    scored = settle(stats.withColumn("score", score("n_words", *STATS)), "scored")
+    label = (F.col("n_words") >= least_words) & (F.col("share") >= least_share)
+    counts = scored.groupBy("score", label.alias("label")).agg(F.count(F.lit(1)).alias("n")).collect()  # scores have five places: a bounded histogram
+    of_made = zip(forest.score(seen(made, least_words)).round(5).tolist(), labels(made, least_share, least_words).tolist())
+    least = threshold([*(tuple(r) for r in counts), *((s, label, 1) for s, label in of_made)])
+    return scored.select(id_col, "n_words", F.round("share", 6).alias("share"), "score", (F.col("score") >= least).alias("repeats"))

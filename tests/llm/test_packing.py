@@ -44,31 +44,44 @@ def test_encode_rows(spark):
 
 
 def test_bounds_minimise_padding():
+    """Against every choice of bounds."""
     from itertools import combinations
 
-    hist = {3: 5, 4: 1, 9: 7, 10: 2, 15: 4}
+    rng = random.Random(4)
+    for _ in range(20):
+        hist = {rng.randint(1, 40): rng.randint(1, 9) for _ in range(6)}
+        sizes = sorted(hist)
 
-    def padding(bounds):
-        return sum(n * (min(b for b in bounds if b >= s) - s) for s, n in hist.items())
+        def cost(bounds):
+            parts = [packing._inside(hist, low, high) for low, high in zip([0, *bounds], bounds)]
+            return sum(packing.empty_room(packing._batches(p, 40), 40) for p in parts) + packing.PAD_WEIGHT * sum(n * (min(b for b in bounds if b >= s) - s) for s, n in hist.items())
 
-    sizes = sorted(hist)
-    best = min(padding([*c, sizes[-1]]) for c in combinations(sizes[:-1], 2))
-    assert padding(packing.bucket_bounds(hist, 3)) == best
+        best = min(cost([*c, sizes[-1]]) for k in range(3) for c in combinations(sizes[:-1], k))
+        assert cost(packing.bucket_bounds(hist, 40, 3, cuts=1000)) == pytest.approx(best)
 
 
-@pytest.mark.parametrize("top_up", [True, False])
-def test_plan_uses_every_item(top_up):
+@pytest.mark.parametrize("buckets", [1, 4, 8])
+def test_plan_uses_every_item_inside_buckets(buckets):
     rng = random.Random(1)
     hist = {rng.randint(1, 100): rng.randint(1, 50) for _ in range(60)}
-    plan = packing.batch_plan(hist, 100, 8, top_up)
+    plan, bounds = packing.batch_plan(hist, 100, buckets), packing.bucket_bounds(hist, 100, buckets)
     used = {}
     for times, uses in plan:
         assert sum(s * n for s, n in uses.items()) <= 100
+        assert len({min(b for b in bounds if b >= s) for s in uses}) == 1
         for s, n in uses.items():
             used[s] = used.get(s, 0) + n * times
     assert used == hist
 
 
+def test_buckets_change_the_plan():
+    """Where a cut costs no room it is made; where fillers are needed there is one bucket."""
+    hist = {100: 41, 200: 41}
+    one, two = packing.batch_plan(hist, 400, 1), packing.batch_plan(hist, 400, 2)
+    assert packing.bucket_bounds(hist, 400, 2) == [100, 200] and one != two
+    assert packing.bucket_bounds({100: 50, 300: 50}, 400, 2) == [300]
+
+
 def test_pack_rows(spark):
     sizes = [(i, s, "x") for i, s in enumerate([10] * 40 + [3] * 30 + [0, None, 25, 7, 7])]
     df = spark.createDataFrame(sizes, "doc_id bigint, n_tokens bigint, container string")

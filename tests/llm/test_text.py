@@ -59,6 +59,20 @@ def test_repetition(spark):
     assert repetition.repetition(df.limit(0), "doc_id", "text").count() == 0
 
 
+def test_the_forest_decides(spark, monkeypatch):
+    """Without the forest's scores no document stands out."""
+    rng = random.Random(2)
+    rows = [(i, " ".join(f"w{rng.randrange(9999)}" for _ in range(80)) if i % 4 else "over and over it says the same. " * 12) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    flagged = lambda: {r["doc_id"] for r in repetition.repetition(df, "doc_id", "text").where("repeats").collect()}
+    assert flagged() == {i for i in range(40) if i % 4 == 0}
+    score = repetition.IsolationForest.score
+    monkeypatch.setattr(repetition.IsolationForest, "fit", lambda self, rows: self)
+    monkeypatch.setattr(repetition.IsolationForest, "score", lambda self, rows: np.full(len(rows), 0.5))
+    assert len(flagged()) == 40
+    monkeypatch.setattr(repetition.IsolationForest, "score", score)
+
+
 def test_repetition_share_equals_brute_force():
     rng = random.Random(3)
     for _ in range(30):
