@@ -66,11 +66,10 @@ def test_the_forest_decides(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     flagged = lambda: {r["doc_id"] for r in repetition.repetition(df, "doc_id", "text").where("repeats").collect()}
     assert flagged() == {i for i in range(40) if i % 4 == 0}
-    score = repetition.IsolationForest.score
-    monkeypatch.setattr(repetition.IsolationForest, "fit", lambda self, rows: self)
-    monkeypatch.setattr(repetition.IsolationForest, "score", lambda self, rows: np.full(len(rows), 0.5))
+    blind = repetition.IsolationForest()
+    blind.grown, blind.size = [np.array([[-1.0, 0.0, 0.0, 0.0, 5.0]])], 2  # one leaf: every row has one score
+    monkeypatch.setattr(repetition, "fitted", lambda *_: blind)
     assert len(flagged()) == 40
-    monkeypatch.setattr(repetition.IsolationForest, "score", score)
 
 
 def test_repetition_share_equals_brute_force():
