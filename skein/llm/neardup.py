@@ -197,14 +197,14 @@ def near_pairs(df: DataFrame, id_col: str, text_col: str, **params) -> DataFrame
     return between.unionAll(within).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
 
-def components(links: DataFrame, nodes: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
     """``node``, ``group_id``: the least node of each connected component.
 
     Alternating large-star and small-star steps, each written to the shared folder; ends when
     a round changes nothing.
     """
     edges = settle(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    for _ in range(rounds):
+    while True:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()

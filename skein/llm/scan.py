@@ -7,9 +7,9 @@ corpus's own lexicon, corrupted by a table of look-alikes; its features are the
 mixture of letters, digits and signs they are, and which operations would make a word of the
 lexicon.  A second perceptron of the same kind labels whole lines as text, list item, running
 header or page number, from their shape, their place on the page and how often the page's file
-repeats them.  Both are linear models over named features, averaged over all updates.  Two things
-are left to rules: which bullets are misread (``_is_bullet``), and whether a line that no hyphen
-ends goes on after a space or a line break (``_paragraphs``).
+repeats them.  At a line's start the editor predicts whether its first character is a misread bullet.
+All are linear models over named features, averaged over all updates.  One thing is left to rules:
+whether a line that no hyphen ends goes on after a space or a line break (``_paragraphs``).
 
 Words repeat, so the editor's operations are remembered by word: characters beyond the word do
 not enter the features of a replacement.
@@ -38,6 +38,7 @@ _TOKEN = re.compile(r"[^\W_](?:[^\W_]|[|!@†€$¢](?=[^\W_]))*[|†]?|[|†@](
 _HYPHEN = "-‐¬­"
 _BROKEN = re.compile(rf"[^\W\d_][{_HYPHEN}][ \t]*$")
 BULLETS = frozenset("oe«©•·°¤»*")
+_PROPER = frozenset("*•·")
 #: A word belongs to the lexicon if at least this share of the texts have it ...
 LEXICON_SHARE = 2e-4
 #: ... and no word that looks like it is so many times more common.
@@ -106,12 +107,11 @@ def repairs(word: str, lexicon: dict[str, int] | set[str]) -> list[tuple[str, tu
         one = word[:i] + right + word[i + len(seen) :]
         if one in lexicon:
             single.append((one, (edits[n],)))
-        if len(edits) <= 14:
-            for j, seen2, right2 in edits[n + 1 :]:
-                if j >= i + len(seen):
-                    two = word[:i] + right + word[i + len(seen) : j] + right2 + word[j + len(seen2) :]
-                    if two in lexicon:
-                        double.append((two, ((i, seen, right), (j, seen2, right2))))
+        for j, seen2, right2 in edits[n + 1 :] if not single else ():
+            if j >= i + len(seen):
+                two = word[:i] + right + word[i + len(seen) : j] + right2 + word[j + len(seen2) :]
+                if two in lexicon:
+                    double.append((two, ((i, seen, right), (j, seen2, right2))))
     return single or double
 
 
@@ -245,13 +245,60 @@ def _made_ends(rng: random.Random, pool: list[str], lexicon, count: int) -> list
     return rows
 
 
+#: Operations at a line's start whose first character may be a misread bullet.
+BULLET_CLASSES = ["R", "K"]
+_BULLET_START = re.compile(r"[ \t]*(\S)[ \t]+(?=[^\W\d_])")
+
+
+def _bullet_features(lines: list[str], i: int) -> list[str]:
+    s = lines[i].strip()
+    sign, rest = s[0], s[1:].split()
+    stop = s.endswith((".", ",", ";", ":", "?", "!"))
+    size = "1-3" if len(rest) < 4 else "4-6" if len(rest) < 7 else "7-11" if len(rest) < 12 else "12+"
+    kind = "letter" if sign.isalpha() else "mark"
+    near = []
+    for j in (i - 1, i + 1):
+        t = lines[j].strip() if 0 <= j < len(lines) else ""
+        item = len(t) > 3 and t[1] == " " and (t[0] in BULLETS or t[0] in "-")
+        near.append("none" if not t else "same" if item and t[0] == sign else "item" if item or _LIST.match(t) else "open" if t[-1] not in ".!?:;" else "colon" if t[-1] == ":" else "closed")
+    return [
+        "bias", f"sign={sign}", f"kind={kind},{size}", f"kind={kind},{size},{stop}", f"near={near[0]},{near[1]}", f"before={near[0]},{kind},{size}", f"after={near[1]},{kind},{size}", f"stop={stop},{kind}",
+        f"case={rest[0][:1].isupper() if rest else False},{kind},{size}", f"long={len(s) > 70},{kind}", f"list={'same' in near or 'item' in near},{kind},{stop}",
+    ]
+
+
+def _made_bullets(rng: random.Random, pool: list[str], count: int) -> list[tuple[list[str], str, list[str]]]:
+    """Lists whose bullets were misread, and lines that begin with such a character of their own."""
+    rows = []
+    words = lambda a, b: " ".join(rng.choice(pool) for _ in range(rng.randint(a, b)))
+    prose = lambda: words(5, 11) + rng.choice(["", "", ".", ",", ";"])
+    misread = sorted(BULLETS - _PROPER)
+    for _ in range(count):
+        if rng.random() < 0.6:  # a list, all or some of its bullets misread, or one item between other lines
+            alone = rng.random() < 0.25
+            items = [rng.choice(["cap", "low"]) and (words(1, 7).capitalize() if rng.random() < 0.5 else words(1, 7)) for _ in range(1 if alone else rng.randint(2, 6))]
+            sign, some = rng.choice(misread), rng.random() < 0.3
+            marks = [(rng.choice([sign, "-"]) if some else sign) for _ in items]
+            lines = [prose() if rng.random() < 0.6 else rng.choice([words(1, 4).capitalize() + ":", ""])] + [f"{m} {x}" for m, x in zip(marks, items)] + [rng.choice(["", prose(), prose()])]
+            rows += [(_bullet_features(lines, i + 1), "R", BULLET_CLASSES) for i, m in enumerate(marks) if m != "-"]
+        else:  # a wrapped sentence, or a note, that begins so
+            p = rng.random()
+            sign = rng.choice("oe") if p < 0.6 else rng.choice("©°»")
+            own = f"{sign} " + (words(7, 14) + rng.choice([".", ",", "", "."]) if p < 0.75 else words(2, 6) + rng.choice([".", ";", ",", ":"]))
+            lines = [prose(), own, rng.choice(["", prose()])]
+            rows.append((_bullet_features(lines, 1), "K", BULLET_CLASSES))
+    return rows
+
+
 class CharacterEditor:
     """Operations for words; ``lexicon`` maps words to how many texts have them."""
 
     def __init__(self, lexicon: dict[str, int]):
         self.lexicon = lexicon
+        self.longest = max(map(len, lexicon), default=0)
         self.model = Perceptron()
         self.ends = Perceptron()
+        self.starts = Perceptron()
         self.known: dict[str, str | None] = {}
 
     def _options(self, word: str) -> tuple[dict[int, str], bool]:
@@ -297,8 +344,16 @@ class CharacterEditor:
             rows += [(_char_features(text, i, options, known), ops[i], _classes(text, i)) for i in range(len(text))]
         self.model.train(rows)
         self.ends.train(_made_ends(random.Random(seed + 1), pool or _MADE, self.lexicon or frozenset(_MADE), 4 * words), rounds=5)
+        self.starts.train(_made_bullets(random.Random(seed + 2), pool or _MADE, words), rounds=5)
         return self
 
+    def bullet(self, lines: list[str], i: int) -> str:
+        """The operation at a line's start: R (the bullet ``-`` was read as another character) or K."""
+        found = _BULLET_START.match(lines[i])
+        if not found or found.group(1) not in BULLETS - _PROPER:
+            return "K"
+        return self.starts.best(_bullet_features(lines, i), BULLET_CLASSES)
+
     def join(self, line: str, after: str | None, gap: bool = False) -> str:
         """The operation at a line's end: J, H or S."""
         if not _ENDING.search(line):
@@ -313,7 +368,8 @@ class CharacterEditor:
             self.known.clear()
         lower = word.lower()
         found = None
-        if len(lower) > 1 and len(lower) < 40 and lower not in self.lexicon and not word.isdigit():
+        # two look-alikes shorten a word by two letters at most: a longer one has no repair
+        if 1 < len(lower) <= self.longest + 2 and lower not in self.lexicon and not word.isdigit():
             options, known = self._options(lower)
             if options:
                 out = []
@@ -348,17 +404,25 @@ def _line_key(line: str) -> str:
 
 
 def _shouted(text: str) -> bool:
-    """Whether a whole text is in capitals, so that capitals say nothing about a line of it."""
-    return sum(map(str.isupper, text)) > 3 * sum(map(str.islower, text))
+    """Whether a whole text is in capitals, or all its words begin with one, so that capitals say nothing about a line of it."""
+    if sum(map(str.isupper, text)) > 3 * sum(map(str.islower, text)):
+        return True
+    words = [w for w in text.split() if w[0].isalpha()]
+    return len(words) > 30 and sum(w[0].isupper() for w in words) > 0.9 * len(words)
+
 
+def _filled(lines: list[str]) -> list[tuple[int, str, str]]:
+    """(place, the filled line before, the one after) of every filled line; "" where there is none."""
+    at = [i for i, x in enumerate(lines) if x.strip()]
+    shown = ["", *(lines[i].strip() for i in at), ""]
+    return [(i, shown[n], shown[n + 2]) for n, i in enumerate(at)]
 
-def line_features(lines: list[str], i: int, page: int, pages: int, repeated: Counter, shouted: bool = False) -> list[str]:
+
+def line_features(lines: list[str], i: int, before: str, after: str, page: int, pages: int, repeated: Counter, shouted: bool = False) -> list[str]:
     s = lines[i].strip()
     words = s.split()
-    before = next((lines[j].strip() for j in range(i - 1, -1, -1) if lines[j].strip()), "")
-    after = next((lines[j].strip() for j in range(i + 1, len(lines)) if lines[j].strip()), "")
     blank_before, blank_after = i > 0 and not lines[i - 1].strip(), i + 1 < len(lines) and not lines[i + 1].strip()
-    first, last = not any(x.strip() for x in lines[:i]), not any(x.strip() for x in lines[i + 1 :])
+    first, last = not before, not after
     letters = [c for c in s if c.isalpha()]
     upper = sum(c.isupper() for c in letters) / (len(letters) or 1)
     long_words = [w for w in words if len(w) > 2 and any(c.isalpha() for c in w)]
@@ -377,6 +441,7 @@ def line_features(lines: list[str], i: int, page: int, pages: int, repeated: Cou
         f"cuts={not ended and after[:1].islower()},{kind}", f"blank={blank_before},{blank_after},{kind}",
         f"bars={min(bars, 3)},{bool(before.count(' | ') or after.count(' | '))},{kind}", f"code={bool(_CODE.search(s))},{kind},{size}",
         f"list={bool(_LIST.match(s))}", f"mark={s[:1] in '#<{=*>|`!' or s[:1] == chr(92)}", f"money={bool(re.search('[€£$%]', s))},{kind}", f"version={bool(re.search(r'(?i)rev[.] ?[0-9]|version', s))},{kind}",
+        f"length={'60-' if len(s) < 60 else '140-' if len(s) < 140 else '140+'},{kind}", f"lower={s[:1].islower()},{len(s) > 8},{number}", f"lower,again={s[:1].islower()},{min(2, repeated[_line_key(s)] - 1)},{size}",
         f"dashes={' - ' in s or ' — ' in s},{kind}", f"bracket={s[:1] in '[(' and number},{place}",
     ]
 
@@ -389,7 +454,7 @@ def _made_page(rng: random.Random) -> tuple[list[str], list[str], int, int, Coun
     nouns = "harvest meter garden valve river window cable engine ticket museum orchard tunnel lantern basket compass ladder".split()
     w = lambda k: " ".join(rng.choice(nouns) for _ in range(k))
     n = rng.randint
-    title = w(n(3, 6)).title() + rng.choice(["", "", f" {rng.choice(['AB', 'XY', 'Q', 'DOC'])}-{n(10, 9999)}"])
+    title = w(n(3, 6) if rng.random() < 0.8 else n(7, 22)).title() + rng.choice(["", "", f" {rng.choice(['AB', 'XY', 'Q', 'DOC'])}-{n(10, 9999)}"])
     firm = w(2).title()
     base = rng.choice([f"{title}", f"{firm} | {title} | For staff only", f"{firm.upper()} — {title}", f"RESTRICTED - {firm} - {title}", f"{title.upper()}", f"{title}   Rev. {n(1, 9)}", f"{title} (version {n(1, 9)}.{n(0, 9)})"])
     header = base.upper() if rng.random() < 0.25 else base
@@ -416,7 +481,8 @@ def _made_page(rng: random.Random) -> tuple[list[str], list[str], int, int, Coun
         if rng.random() < 0.4:
             put(number, "page_number")
     for _ in range(n(2, 9)):
-        text = w(n(6, 10)).capitalize()
+        text = w(n(6, 10) if rng.random() < 0.8 else n(15, 70))
+        text = text if rng.random() < 0.1 else text.capitalize()
         if rng.random() < 0.2:
             text += f" {rng.choice('€£$')}{n(100, 99999)}"
         put(text + ("." if not wrapped or rng.random() < 0.3 else ""))
@@ -444,51 +510,42 @@ def _made_page(rng: random.Random) -> tuple[list[str], list[str], int, int, Coun
             put(rng.choice([f"Total: €{n(10, 999)},{n(100, 999)}", f"£{n(10, 999)},{n(100, 999)}", f"{n(1, 90)}.5%.", f"{n(2, 900)} days.", f"## {w(2).title()}", f"=== {w(3).title()} ===", f"AB-{n(10, 9999)}.", f"x_1 = {n(1, 99)}"]))
         elif p < 0.42:
             put("")
+        elif p < 0.47:  # text that repeats itself is no header
+            put(rng.choice([x for x, kind in zip(lines, labels) if kind == "text" and x] or [text]))
     if pages and not at_top:
         if rng.random() < 0.5:
             put(header, "running_header")
         if rng.random() < 0.7:
             put(number, "page_number")
-    repeated = Counter({_line_key(x): 1 for x in lines if x.strip()})
+    repeated = Counter(_line_key(x) for x in (lines if not pages else set(lines)) if x.strip())
     if pages > 1:
         repeated[_line_key(header)] += n(1, 3)
     return lines, labels, page, pages, repeated
 
 
 @lru_cache(maxsize=2)
-def line_model(pages: int = 900, seed: int = 8) -> Perceptron:
+def line_model(pages: int = 1200, seed: int = 8) -> Perceptron:
     rng = random.Random(seed)
     rows = []
     for _ in range(pages):
         lines, labels, page, of, repeated = _made_page(rng)
-        rows += [(line_features(lines, i, page, of, repeated), labels[i], LINE_CLASSES) for i in range(len(lines)) if lines[i].strip()]
+        rows += [(line_features(lines, i, before, after, page, of, repeated), labels[i], LINE_CLASSES) for i, before, after in _filled(lines)]
     return Perceptron().train(rows, rounds=5)
 
 
 
 
 def label_lines(lines: list[str], page: int, pages: int, repeated: Counter, model: Perceptron) -> list[str]:
-    found = []
-    shouted = _shouted("".join(lines))
-    for i, line in enumerate(lines):
-        s = line.strip()
-        # long lines that end as sentences and lines, and begin in lower case, are text; saves time
-        if not s or len(s) > 140 or (s[0].islower() and len(s) > 8 and not s.startswith("p")) or (len(s) > 60 and s[-1] in ".,;"):
-            found.append("text")
-        else:
-            found.append(model.best(line_features(lines, i, page, pages, repeated, shouted), LINE_CLASSES))
+    found = ["text"] * len(lines)
+    shouted = _shouted("\n".join(lines))
+    for i, before, after in _filled(lines):
+        found[i] = _best_line(model, tuple(line_features(lines, i, before, after, page, pages, repeated, shouted)))
     return found
 
 
-def _is_bullet(lines: list[str], i: int) -> bool:
-    """A list bullet read as another character: the line is short, has no end, and a neighbour
-    is an item as well or the text around it goes on without it."""
-    s = lines[i].strip()
-    if len(s) < 4 or s[0] not in BULLETS or s[0] in "*•·" or s[1] != " " or not s[2].isalpha() or len(s) > 70 or s.endswith((".", ",", ";", ":")):
-        return False
-    item = lambda x: len(x) > 3 and x[1] == " " and x[0] in BULLETS | {"-"} and len(x) < 70
-    near = [lines[j].strip() for j in (i - 1, i + 1) if 0 <= j < len(lines)]
-    return s[0] in "«©°¤»" or any(item(x) for x in near) or len(s.split()) <= 6
+@lru_cache(maxsize=100_000)
+def _best_line(model: Perceptron, features: tuple[str, ...]) -> str:
+    return model.best(features, LINE_CLASSES)
 
 
 def analyse(text: str, editor: CharacterEditor, model: Perceptron, page: int = 0, pages: int = 0, repeated: Counter | None = None, repair: bool = False) -> tuple[set[str], str]:
@@ -509,7 +566,7 @@ def analyse(text: str, editor: CharacterEditor, model: Perceptron, page: int = 0
             body.append(line)
             ends.append("S")
             continue
-        if _is_bullet(lines, i):
+        if editor.bullet(lines, i) == "R":
             kinds.add("misread")
             made = "- " + stripped[2:]
         join = "S"
@@ -601,7 +658,7 @@ def lexicon(texts: DataFrame, share: float = LEXICON_SHARE) -> dict[str, int]:
 
     counts = settle(word_counts(texts), "words")
     total = (counts.where("word = ''").select("n").first() or [0])[0]
-    rows = counts.where((F.length("word") > 1) & (F.length("word") < 40) & (F.col("n") >= max(3.0, share * total))).collect()
+    rows = counts.where((F.length("word") > 1) & (F.col("n") >= max(3.0, share * total))).collect()
     found = {r["word"]: r["n"] for r in rows}
     return {w: n for w, n in found.items() if not any(found[x] > OUTSHONE * n for x, _ in repairs(w, found) if x != w)}
 

@@ -35,3 +35,30 @@ def test_made_ends(editor):
 )
 def test_line_ends(editor, page, kinds, text):
     assert scan.analyse(page, editor, scan.line_model(), repair=True) == (kinds, text)
+
+
+def test_bullets_are_predicted():
+    words = {w: 9 for w in "payment document information account statement copy signed letter recent of the".split()}
+    editor = scan.CharacterEditor(words).fit(600)
+    lines = ["Please bring:", "e signed letter", "e recent statement", "e copy of the account", ""]
+    assert [editor.bullet(lines, i) for i in range(5)] == ["K", "R", "R", "R", "K"]
+    assert scan.analyse("\n".join(lines), editor, scan.line_model(), repair=True)[1].count("- ") == 3
+    assert editor.bullet(["* signed letter", "* recent statement"], 0) == "K"
+    blind = scan.CharacterEditor(words)  # not fitted: nothing is found
+    blind.starts.best = lambda *_: "K"
+    assert "misread" not in scan.analyse("\n".join(lines), blind, scan.line_model())[0]
+
+
+def test_long_lines_and_words():
+    model = scan.line_model()
+    header = "Northern Meters And Gardens Company Limited | Handbook For The Winter Season And All Of Its Valves | For Staff Only In All Of The Regional Offices And Depots Of The Firm"
+    assert len(header) > 150
+    body = "The garden was long and the river ran by the window of the museum."
+    pages = [f"{header}\n{body}\n{body}" for _ in range(4)]
+    repeated = scan.Counter({scan._line_key(header): 4, scan._line_key(body): 1})
+    assert scan.label_lines(pages[1].split("\n"), 2, 4, repeated, model)[0] == "running_header"
+    long_word = "information" * 5
+    editor = scan.CharacterEditor({long_word: 9, "account": 5}).fit(300)
+    assert dict(scan.repairs("0" + long_word[1:].replace("o", "0", 1), {"o" + long_word[1:]: 1}))
+    assert scan.repairs("1nf0rm1t10n11", {"informition1l": 1}) == []  # four edits are too many
+    assert editor.longest == len(long_word)
