@@ -3,9 +3,10 @@
 Scanning a text gives candidate marks (a tag, an entity, ``**bold**``, ``[[link]]``,
 ``\\\\command{}`` ...).  A logistic classifier, fitted on texts made here with known marks and
 look-alikes, gives each candidate a cost of being and of not being markup of a kind.  For each
-kind the candidates of a text are labelled by a minimum cut: the costs are the capacities to the
-two terminals; neighbours in the text, and marks that belong together (an opening and a closing
-tag, the ends of an environment), are joined by smoothness edges that weaken with distance.  The
+kind the candidates of a text, and the lines that hold them, are labelled by a minimum cut: the costs
+are the capacities to the two terminals; neighbours in the text, marks and their line, and marks that
+belong together (an opening and a closing tag, the ends of an environment), are joined by smoothness
+edges that weaken with distance.  The
 cut of maximum flow separates marks from content, so a mark that several kinds share goes with
 the kind of its surroundings, and a lone look-alike stays content.
 """
@@ -13,6 +14,7 @@ the kind of its surroundings, and a lone look-alike stays content.
 from __future__ import annotations
 
 import html
+import html.entities
 import random
 import re
 from collections import deque
@@ -36,27 +38,27 @@ ELEMENTS = frozenset(
 #: Marks by name: the kinds a mark can belong to, and its pattern.  Order decides ties.
 MARKS: list[tuple[str, tuple[str, ...], str]] = [
     ("md_fence", ("markdown",), r"^[ \t]*(?:```|~~~)[^\n`]*$"),
-    ("html_comment", ("html",), r"<!--.*?(?:-->|$)"),
-    ("html_escaped", ("html",), r"&lt;/?[A-Za-z][^&\n<>]{0,80}?&gt;"),
+    ("html_comment", ("html",), r"<!--(?:[\s\S]*?-->|[^\n]*)"),
+    ("html_escaped", ("html",), r"&lt;/?[A-Za-z][^&\n<>]*?&gt;"),
     ("md_autolink", ("markdown",), r"<(?:https?://|mailto:)[^>\s]+>"),
     ("wiki_ref", ("wiki",), r"</?(?:ref|nowiki|gallery|noinclude|references)\b[^<>\n]*>"),
     ("html_tag", ("html",), r"</?[A-Za-z][A-Za-z0-9]*(?:[ \t\n]+[A-Za-z-]+(?:=(?:\"[^\"<>]*\"|'[^'<>]*'|[^\s\"'<>]+))?)*[ \t]*/?>"),
     ("html_broken", ("html",), r"</?[A-Za-z][A-Za-z0-9]*(?:[ \t]+[A-Za-z-]+=(?:\"[^\"<>\n]*\"?|'[^'<>\n]*'?))+|</[A-Za-z][A-Za-z0-9]*\b"),
-    ("html_entity", ("html",), r"&(?:#\d{2,6}|#[xX][0-9A-Fa-f]{2,5});?|&(?:nbsp|amp|lt|gt|quot|apos|rsquo|lsquo|rdquo|ldquo|ndash|mdash|hellip|bull|middot|euro|pound|cent|copy|reg|trade|times|divide|deg|eacute|auml|ouml|uuml|szlig|sect|para|laquo|raquo|frac12|le|ge)\b;?"),
+    ("html_entity", ("html",), r"&(?:#\d{2,7}|#[xX][0-9A-Fa-f]{2,6}|[A-Za-z][A-Za-z0-9]+);?"),
     ("tex_env", ("latex",), r"\\(?:begin|end)\{[A-Za-z]+\*?\}(?:\{[^{}\n]*\})?|\\(?:begin|end)\b"),
     ("tex_argument", ("latex",), r"\\[A-Za-z]+\*?(?:\[[^\]\n]*\])?\{(?:[^{}]|\{[^{}]*\})*\}"),
     ("tex_open", ("latex",), r"\\[A-Za-z]+\*?\{|\{\\[A-Za-z]+\b"),
     ("tex_command", ("latex",), r"\\[A-Za-z]+\b"),
-    ("tex_math", ("latex",), r"\$(?=[^$\n]*[\\^_=])[^$\n\d][^$\n]{0,120}\$|\$\$[^$]+\$\$"),
+    ("tex_math", ("latex",), r"\$(?=[^$\n]*[\\^_=])[^$\n\d][^$\n]*\$|\$\$[^$]+\$\$"),
     ("tex_bracket", ("latex",), r"\\[()\[\]]"),
     ("tex_break", ("latex",), r"\\\\"),
     ("tex_escape", ("latex",), r"\\[%&$#_{}]"),
     ("wiki_table", ("wiki",), r"^\{\|[^\n]*$|^\|\}|^\|-[ \t]*$|^\|\+[^\n]*$"),
     ("wiki_cells", ("wiki",), r"^[|!][^\n]*(?:\|\||!!)[^\n]*$"),
     ("wiki_head", ("wiki",), r"^={2,6}[ \t]*[^=\n]+?[ \t]*={2,6}[ \t]*$"),
-    ("wiki_link", ("wiki",), r"\[\[[^\[\]\n]+\]\]|\[\[[^\[\]\n]{1,60}\]?(?!\])"),
+    ("wiki_link", ("wiki",), r"\[\[[^\[\]\n]+\]\]|\[\[[^\[\]\n]+\]?(?!\])"),
     ("wiki_outer", ("wiki",), r"\[https?://[^\s\]]+(?: [^\]\n]*)?\]"),
-    ("wiki_template", ("wiki",), r"\{\{[^{}\n]+\}\}|\{\{[a-z]+(?:\|[^{}\n]{0,40})?"),
+    ("wiki_template", ("wiki",), r"\{\{[^{}\n]+\}\}|\{\{[a-z]+(?:\|[^{}\n]*)?"),
     ("wiki_quotes", ("wiki",), r"'{2,5}(?=\S)[^'\n]+?'{2,5}"),
     ("wiki_word", ("wiki",), r"__(?:TOC|NOTOC|FORCETOC|NOEDITSECTION|NOINDEX)__|~~~~"),
     ("md_refdef", ("markdown",), r"^[ \t]*\[[^\]\n]+\]:[ \t]*\S+[^\n]*$"),
@@ -82,6 +84,14 @@ _SCAN = re.compile(r"(?:(?=[<&\\$|!={\['_~*#>`\-:+\n])|(?=^[ \t])|(?=[ \t]+\n[=-
 #: Texts without any of these characters cannot hold a mark; tested before scanning.
 _MAY = re.compile(r"[<>\\`*_#~{}\[]|&[#A-Za-z]|''|\$[A-Za-z\\$]|^[|!=]|^-{3,}|\n={3,}", re.M)
 _KINDS_OF = {name: kinds for name, kinds, _ in MARKS}
+#: Names that an entity may have without its semicolon: the standard's own, and common ones of text.
+_BARE_ENTITIES = {k for k in html.entities.html5 if not k.endswith(";")} | set("ndash mdash hellip bull rsquo lsquo rdquo ldquo trade euro le ge".split())
+
+
+def _is_entity(s: str) -> bool:
+    """A character reference by number, or by a name of the public standard."""
+    name = s[1:].rstrip(";")
+    return name[0] == "#" or (f"{name};" in html.entities.html5 if s.endswith(";") else name in _BARE_ENTITIES)
 
 
 class Mark:
@@ -91,6 +101,19 @@ class Mark:
         self.start, self.end, self.name, self.features, self.tag = start, end, name, features, tag
 
 
+_BRACES = re.compile(r"[{}]")
+
+
+def _closing(text: str, start: int) -> int:
+    """Behind the brace that closes the one before ``start``; 0 if none does."""
+    depth = 1
+    for m in _BRACES.finditer(text, start):
+        depth += 1 if m.group() == "{" else -1
+        if not depth:
+            return m.end()
+    return 0
+
+
 def scan(text: str) -> list[Mark]:
     """Candidates of all kinds in order, each with its features."""
     found = []
@@ -98,7 +121,13 @@ def scan(text: str) -> list[Mark]:
         return found
     pos = 0
     while m := _SCAN.search(text, pos):
-        name, s = m.lastgroup, m.group()
+        name, s, end = m.lastgroup, m.group(), m.end()
+        if name == "tex_open" and s[0] == "\\" and (close := _closing(text, end)) > 0:  # arguments nested deeper than the pattern goes
+            name, end = "tex_argument", close
+            s = text[m.start() : end]
+        if name == "html_entity" and not _is_entity(s):
+            pos = m.start() + 1
+            continue
         features, tag = [name], ""
         if name in ("html_tag", "html_broken", "html_escaped"):
             tag = re.search(r"[A-Za-z][A-Za-z0-9]*", s[4:] if name == "html_escaped" else s).group().lower()
@@ -110,24 +139,60 @@ def scan(text: str) -> list[Mark]:
         elif name == "tex_break":
             features.append("break:" + ("end" if text[m.end() : m.end() + 1] in ("", " ", "\n", "[") else "path"))
         elif name == "one_hash":
-            after = text[m.end() : m.end() + 60].split("\n")[0]
+            after = text[m.end() :].split("\n", 1)[0]
             features.append("hash:" + ("of" if after.startswith("of ") else "upper" if after[:1].isupper() else "lower"))
             features.append("hash:" + ("short" if len(after) < 45 and not after.rstrip().endswith((".", ":", ",")) else "long"))
         elif name in ("md_italic", "md_under", "md_bold", "md_strong", "wiki_quotes", "md_code"):
             features.append(f"{name}:{'short' if len(s) < 60 else 'long'}")
-        found.append(Mark(m.start(), m.end(), name, features, tag))
-        pos = max(m.end(), m.start() + 1)
+        found.append(Mark(m.start(), end, name, features, tag))
+        pos = max(end, m.start() + 1)
         if name in ("tex_argument",):  # what is inside may hold marks of its own
             pos = m.start() + s.index("{") + 1
     return found
 
 
 def min_cut(costs: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
-    """Which nodes stay with the source.
+    """Which nodes stay with the source, in the minimum cut with the fewest of them.
 
     ``costs[i]`` > 0 is the capacity from the source to ``i``, < 0 that from ``i`` to the sink;
-    ``edges`` are undirected.  Augments along shortest paths until the flow is maximal.
+    ``edges`` are undirected.  A node whose own cost outweighs all its edges lies on its side in every
+    such cut; its edges then add to its neighbours' costs.  What is left undecided goes through
+    maximum flow, one connected part at a time.
     """
+    n, c = len(costs), list(costs)
+    near: list[dict[int, float]] = [{} for _ in range(n)]
+    for i, j, w in edges:
+        near[i][j] = near[i].get(j, 0.0) + w
+        near[j][i] = near[j].get(i, 0.0) + w
+    held = [sum(x.values()) for x in near]
+    side: list[bool | None] = [None] * n
+    queue = deque(range(n))
+    while queue:
+        i = queue.popleft()
+        if side[i] is not None or -held[i] < c[i] <= held[i]:
+            continue
+        side[i] = c[i] > held[i]
+        for j, w in near[i].items():
+            if side[j] is None:
+                c[j] += w if side[i] else -w
+                held[j] -= w
+                queue.append(j)
+    for i in range(n):
+        if side[i] is None:
+            part, stack = {i: 0}, [i]
+            while stack:
+                for j in near[stack.pop()]:
+                    if side[j] is None and j not in part:
+                        part[j] = len(part)
+                        stack.append(j)
+            inner = [(part[u], part[v], w) for u in part for v, w in near[u].items() if u < v and v in part]
+            for u, with_source in zip(part, _max_flow([c[u] for u in part], inner)):
+                side[u] = with_source
+    return side
+
+
+def _max_flow(costs: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
+    """The source's side after a maximum flow by blocking flows in level graphs."""
     n = len(costs)
     source, sink = n, n + 1
     to: list[int] = []
@@ -150,29 +215,64 @@ def min_cut(costs: list[float], edges: list[tuple[int, int, float]]) -> list[boo
     for i, j, w in edges:
         add(i, j, w, w)
     while True:
-        came = [-1] * (n + 2)
-        came[source] = -2
+        level = [-1] * (n + 2)
+        level[source] = 0
         queue = deque([source])
-        while queue and came[sink] == -1:
+        while queue:
             u = queue.popleft()
             for e in out[u]:
-                if room[e] > 1e-9 and came[to[e]] == -1:
-                    came[to[e]] = e
+                if room[e] > 1e-9 and level[to[e]] < 0:
+                    level[to[e]] = level[u] + 1
                     queue.append(to[e])
-        if came[sink] == -1:
-            return [came[i] != -1 for i in range(n)]
-        flow, v = float("inf"), sink
-        while v != source:
-            flow = min(flow, room[came[v]])
-            v = to[came[v] ^ 1]
-        v = sink
-        while v != source:
-            room[came[v]] -= flow
-            room[came[v] ^ 1] += flow
-            v = to[came[v] ^ 1]
+        if level[sink] < 0:
+            return [level[i] >= 0 for i in range(n)]
+        tried, path, u = [0] * (n + 2), [], source
+        while True:
+            if u == sink:
+                flow = min(room[e] for e in path)
+                for e in path:
+                    room[e] -= flow
+                    room[e ^ 1] += flow
+                full = next(k for k, e in enumerate(path) if room[e] <= 1e-9)
+                u = to[path[full] ^ 1]
+                del path[full:]
+                continue
+            while tried[u] < len(out[u]):
+                e = out[u][tried[u]]
+                if room[e] > 1e-9 and level[to[e]] == level[u] + 1:
+                    break
+                tried[u] += 1
+            if tried[u] < len(out[u]):
+                path.append(out[u][tried[u]])
+                u = to[path[-1]]
+            elif path:
+                u = to[path.pop() ^ 1]
+                tried[u] += 1
+            else:
+                break
 
 
-SMOOTH, NEAR, PAIRED = 1.2, 400.0, 2.5
+SMOOTH, NEAR, PAIRED, WITHIN = 1.2, 400.0, 2.5, 0.3
+
+
+def _blocks(text: str, marks: list[Mark]) -> tuple[list[list[str]], list[int], list[tuple[int, int]]]:
+    """The lines that hold marks, as features of each, which one each mark begins in, and their places."""
+    rows, of, places = [], [], []
+    at, start, end = -1, -1, -1
+    for m in marks:
+        if m.start >= end:
+            start, at = text.rfind("\n", 0, m.start) + 1, at + 1
+            end = text.find("\n", m.start) + 1 or len(text) + 1
+            places.append((start, end))
+            rows.append([0, 0])
+        rows[at][0] += 1
+        rows[at][1] += min(m.end, end) - m.start
+        of.append(at)
+    features = []
+    for (count, covered), (a, b) in zip(rows, places):
+        line = text[a:b].rstrip()
+        features.append([f"block:{min(count, 3)}", f"covered:{int(4 * covered / max(1, len(line)))}", f"ended:{line.endswith(('.', '!', '?', ':'))},{min(count, 3)}"])
+    return features, of, places
 
 
 def _edges(marks: list[Mark]) -> list[tuple[int, int, float]]:
@@ -207,8 +307,12 @@ def label(text: str, weights: dict[str, dict[str, float]] | None = None) -> list
             kept = [True] * len(own)
         elif all(c <= 0 for c in costs):
             kept = [False] * len(own)
-        else:
-            kept = min_cut(costs, _edges(nodes))
+        else:  # marks, then the lines that hold them
+            lines, of, places = _blocks(text, nodes)
+            b, n = weights["block:" + kind], len(nodes)
+            of_lines = [b[""] + sum(b.get(f, 0.0) for f in fs) for fs in lines]
+            edges = _edges(nodes) + [(i, n + k, WITHIN) for i, k in enumerate(of)] + [(n + k, n + k + 1, WITHIN * float(np.exp(-(places[k + 1][0] - places[k][1]) / NEAR))) for k in range(len(lines) - 1)]
+            kept = min_cut(costs + of_lines, edges)[:n]
         # a shared mark goes to the kind with the most evidence around it
         evidence = sum(c for c, m in zip(costs, nodes) if len(_KINDS_OF[m.name]) == 1 and c > 0)
         for i, keep in zip(own, kept):
@@ -255,14 +359,20 @@ def _made(rng: random.Random) -> tuple[str, list[tuple[int, int, str]]]:
 
 @lru_cache(maxsize=2)
 def classifier(texts: int = 3000, seed: int = 9) -> dict[str, dict[str, float]]:
-    """Logistic weights by kind and feature ("" is the bias), fitted by gradient descent."""
+    """Logistic weights by kind and feature ("" is the bias), of marks and of the lines ("block:" and
+    the kind) that hold them, fitted by gradient descent."""
     rng = random.Random(seed)
-    rows: dict[str, list[tuple[list[str], int]]] = {k: [] for k in KINDS}
+    rows: dict[str, list[tuple[list[str], int]]] = {k: [] for kind in KINDS for k in (kind, "block:" + kind)}
     for _ in range(texts):
         text, spans = _made(rng)
-        for m in scan(text):
+        marks = scan(text)
+        meets = lambda start, end, kind: int(any(a < end and start < b and k == kind for a, b, k in spans))
+        for m in marks:
             for kind in _KINDS_OF[m.name]:
-                rows[kind].append((m.features, int(any(a < m.end and m.start < b and k == kind for a, b, k in spans))))
+                rows[kind].append((m.features, meets(m.start, m.end, kind)))
+        for kind in KINDS:
+            features, _, places = _blocks(text, [m for m in marks if kind in _KINDS_OF[m.name]])
+            rows["block:" + kind] += [(fs, meets(a, b, kind)) for fs, (a, b) in zip(features, places)]
     found = {}
     for kind, data in rows.items():
         names = sorted({f for fs, _ in data for f in fs})
@@ -375,15 +485,15 @@ def _replacement(m: Mark, kind: str, s: str) -> str | None:
     return None
 
 
-def clean(text: str | None, rounds: int = 3) -> str | None:
+def clean(text: str | None, weights: dict[str, dict[str, float]] | None = None) -> str | None:
     """Clean text: headings as ``# ``, items as ``- ``, table cells split by `` | ``, code in
     backticks or fences, formulas between dollar signs; all other marks are gone.  Null stays
     null; a text without markup comes back unchanged."""
     if not text:
         return text
     touched = False
-    for _ in range(rounds):  # marks inside the argument of another come out one by one
-        marks = label(text)
+    while True:  # marks inside the argument of another come out one by one, each time from a shorter text
+        marks, length = label(text, weights), len(text)
         parts, at, changed = [], 0, False
         for m, kind in marks:
             if m.start < at:
@@ -396,6 +506,8 @@ def clean(text: str | None, rounds: int = 3) -> str | None:
         if not changed:
             break
         text, touched = "".join(parts) + text[at:], True
+        if len(text) >= length:
+            break
     if not touched:
         return text
     text = re.sub(r"[ \t]+\n", "\n", re.sub(r" \| *(?=\n|$)", "", text))
@@ -408,8 +520,8 @@ def kinds_of(text: str | None) -> list[str]:
     return [k for k in KINDS if k in held]
 
 
-def markup(df: DataFrame, id_col: str, text_col: str, weights: dict | None = None) -> DataFrame:
-    """``row_id``, ``kinds`` (array) and ``clean_text`` of every row.
+def markup(df: DataFrame, id_col: str, text_col: str, weights: dict | None = None, cleaned: bool = True) -> DataFrame:
+    """``row_id``, ``kinds`` (array) and ``clean_text`` (null unless ``cleaned``) of every row.
 
     Null and empty texts have no kinds and stay as they are; repeated rows are all kept; other
     columns are not read.  No shuffle.
@@ -423,7 +535,7 @@ def markup(df: DataFrame, id_col: str, text_col: str, weights: dict | None = Non
             for t in batch.column(1).to_pylist():
                 held = {k for _, k in label(t, weights)} if t else set()
                 kinds.append([k for k in KINDS if k in held])
-                texts.append(clean(t) if held else t)
+                texts.append(None if not cleaned else clean(t, weights) if held else t)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kinds, pa.list_(pa.string())), pa.array(texts, pa.string())], names=["row_id", "kinds", "clean_text"])
 
     return source.mapInArrow(run, f"row_id {source.schema['k'].dataType.simpleString()}, kinds array<string>, clean_text string")

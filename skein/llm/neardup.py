@@ -27,10 +27,7 @@ from pyspark.sql import functions as F
 
 from ..session import settle
 
-WORDS, LENGTH, SKETCH = 10, 4, 32
-#: Pairs that agree on fewer of the 32 sketch nibbles are not compared further: at similarity
-#: 0.6 that is one pair in 5,000, above 0.7 one in a million.
-LEAST_NIBBLES = 10
+WORDS, LENGTH = 10, 4
 _WORD = re.compile(r"[^\W_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -106,11 +103,10 @@ def anchors(letters: np.ndarray) -> np.ndarray:
 
 
 def _fingerprints(df: DataFrame, id_col: str, text_col: str, shingle: int, min_words: int) -> DataFrame:
-    """``id``, ``n`` shingles, ``same`` (digest of the set), two sketch halves and anchors."""
+    """``id``, ``n`` shingles, ``same`` (digest of the set) and anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, seeds = Shingler(shingle), _seeds(WORDS * LENGTH)
-        nibbles = (np.uint64(4) * np.arange(16, dtype=np.uint64)).reshape(1, 16)
         for batch in batches:
             ids, sizes, same, letters = [], [], [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -122,25 +118,15 @@ def _fingerprints(df: DataFrame, id_col: str, text_col: str, shingle: int, min_w
                 same.append(xxhash.xxh3_128_digest(found.tobytes()))
                 letters.append(minima(found, seeds))
             m = np.array(letters, dtype=np.uint64).reshape(len(ids), WORDS * LENGTH)
-            low = (_mixed(m[:, :SKETCH]) & np.uint64(15)).reshape(-1, 2, 16)
-            halves = np.bitwise_or.reduce(low << nibbles, axis=2).view(np.int64)
             places = anchors(m).view(np.int64)
             offsets = np.arange(len(ids) + 1, dtype=np.int32) * (WORDS * LENGTH)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(same, pa.binary()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(places.ravel()))],
-                names=["id", "n", "same", "s0", "s1", "anchors"],
+                [pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(same, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(places.ravel()))],
+                names=["id", "n", "same", "anchors"],
             )
 
     source = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("t")).where("id is not null and t is not null")
-    return source.mapInArrow(run, "id bigint, n int, same binary, s0 bigint, s1 bigint, anchors array<bigint>")
-
-
-def _equal_nibbles(a: str, b: str):
-    """How many of 16 nibbles are equal in two bigint columns, by bit arithmetic."""
-    x = F.col(a).bitwiseXOR(F.col(b))
-    x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-    x = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x1111111111111111))
-    return F.lit(16) - F.bit_count(x)
+    return source.mapInArrow(run, "id bigint, n int, same binary, anchors array<bigint>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, threshold: float) -> DataFrame:
@@ -180,10 +166,10 @@ def near_classes(df: DataFrame, id_col: str, text_col: str, threshold: float = 0
     prints = settle(_fingerprints(df, id_col, text_col, shingle, min_words), "prints")
     classes = prints.groupBy("same").agg(F.min("id").alias("cid"))
     members = prints.select("id", "same").join(classes, "same").select("id", "cid").distinct()
-    reps = prints.join(classes, (prints["id"] == classes["cid"]) & (prints["same"] == classes["same"]), "left_semi").select("id", "n", "s0", "s1", F.explode("anchors").alias("anchor"))
-    left = reps.select("anchor", F.col("id").alias("a"), F.col("n").alias("na"), F.col("s0").alias("a0"), F.col("s1").alias("a1"))
-    right = reps.select("anchor", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("s0").alias("b0"), F.col("s1").alias("b1"))
-    met = left.join(right, "anchor").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold) & (_equal_nibbles("a0", "b0") + _equal_nibbles("a1", "b1") >= LEAST_NIBBLES))
+    reps = prints.join(classes, (prints["id"] == classes["cid"]) & (prints["same"] == classes["same"]), "left_semi").select("id", "n", F.explode("anchors").alias("anchor"))
+    left = reps.select("anchor", F.col("id").alias("a"), F.col("n").alias("na"))
+    right = reps.select("anchor", F.col("id").alias("b"), F.col("n").alias("nb"))
+    met = left.join(right, "anchor").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold))
     pairs = settle(met.select("a", "b").distinct(), "candidates")
     return settle(members, "members"), settle(_verified(pairs, texts, shingle, threshold).distinct(), "links")
 

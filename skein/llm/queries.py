@@ -85,7 +85,7 @@ def p4_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = [markup.markup(table(spark, sf_dir, t), i, c).select(F.lit(t).alias("source_table"), "row_id", F.explode("kinds").alias("markup_kind")) for t, i, c in MARKED_UP]
+    parts = [markup.markup(table(spark, sf_dir, t), i, c, cleaned=False).select(F.lit(t).alias("source_table"), "row_id", F.explode("kinds").alias("markup_kind")) for t, i, c in MARKED_UP]
     return parts[0].unionByName(parts[1]).distinct()
 
 

@@ -191,3 +191,34 @@ def test_gradients():
         down = P.loss_and_gradients(w, *batch)[0]
         w[key][at] = kept
         assert (up - down) / 2e-2 == pytest.approx(float(grad[key][at]), abs=5e-3, rel=5e-2)
+
+
+def test_minimum_cut_against_all_cuts():
+    rng = random.Random(6)
+    for _ in range(60):
+        n = rng.randint(1, 9)
+        costs = [rng.choice([-3, -2, -1, 0, 1, 2, 3]) * 1.0 for _ in range(n)]
+        edges = [(a, b, rng.choice([0.5, 1.0, 2.0])) for a in range(n) for b in range(a + 1, n) if rng.random() < 0.4]
+
+        def value(side):
+            return sum(c for c, x in zip(costs, side) if c > 0 and not x) - sum(c for c, x in zip(costs, side) if c < 0 and x) + sum(w for a, b, w in edges if side[a] != side[b])
+
+        sides = [[bool(k >> i & 1) for i in range(n)] for k in range(2**n)]
+        least = min(map(value, sides))
+        best = min((x for x in sides if value(x) == least), key=sum)
+        assert markup.min_cut(costs, edges) == markup._max_flow(costs, edges) == best
+
+
+def test_markup_has_no_limits():
+    import time
+
+    assert markup.kinds_of("$x_1 + " + "y + " * 60 + "z_2$") == ["latex"] and markup.kinds_of("a &alpha; &rarr; b") == ["html"] and markup.kinds_of("R&D; and AT&T&x; here") == []
+    assert markup.kinds_of("&lt;p title='" + "x" * 300 + "'&gt;") == ["html"] and markup.kinds_of("[[" + "long page name " * 9) == ["wiki"]
+    assert markup.clean("a <!-- x\ny\nz --> b") == "a  b"
+    nested = "deep"
+    for i in range(9):
+        nested = ("\\textbf{", "\\emph{")[i % 2] + nested + "}"
+    assert markup.clean(nested) == "deep"
+    began = time.time()
+    text = "5 < 7 <b>x</b> &amp; [[a]] # of rooms **c** <your name> C:\\section \\textbf{x}\n" * 1500
+    assert len(markup.label(text)) > 7000 and time.time() - began < 3
