@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import re
+import unicodedata
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..config import DEFAULT
 from . import lexicon as L
@@ -43,17 +45,30 @@ def sentences(x: Column | str) -> Column:
     return F.filter(F.split(strip(x), r"(?U)(?<=[.!?])\s+"), lambda s: s != "")
 
 
+@F.pandas_udf(StringType())
+def _composed(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: unicodedata.normalize("NFC", t) if isinstance(t, str) else t)
+
+
 def normalize(x: Column | str) -> Column:
-    """Case, quotes, dashes, contractions, repeated marks and words, and spacing of marks."""
-    s = F.coalesce(_c(x), F.lit(""))
-    s = F.lower(F.translate(s, "‘’“”–—", "''\"\"--"))
-    for short, long in L.CONTRACTIONS.items():
-        s = F.regexp_replace(s, rf"(?U)\b{re.escape(short)}\b", long)
-    for pattern, to in ((r"(?U)\s+", " "), (r"\?{2,}", "?"), (r"!{2,}", "!"), (r"\.{2,}", "."), (r",{2,}", ","), (r"(?U)\b(\w+)(\s+\1\b)+", "$1"), (r"\s+([?!.,;])", "$1"), (r"(?U)([?!.,;])(\w)", "$1 $2")):
+    """Composed characters, case, quotes, dashes, contractions, repeated marks and words, and spacing of marks.
+
+    The contractions are looked up word by word in one pass, not one after the other.
+    """
+    s = F.lower(F.translate(_composed(F.coalesce(_c(x), F.lit(""))), "‘’“”–—", "''\"\"--"))
+    long = F.create_map(*[F.lit(w) for pair in L.CONTRACTIONS.items() for w in pair])
+    # words with their apostrophes, and what stands between them, by turns
+    parts = F.regexp_extract_all(s, F.lit(r"(?U)([\w]+(?:'\w+)*|[^\w]+)"), F.lit(1))
+    s = F.array_join(F.transform(parts, lambda w: F.coalesce(F.try_element_at(long, w), w)), "")
+    for pattern, to in _REPEATS:
         s = F.regexp_replace(s, pattern, to)
     return F.trim(s)
 
 
+#: Repeated and misplaced marks (fixed values: their order matters).
+_REPEATS = ((r"(?U)\s+", " "), (r"\?{2,}", "?"), (r"!{2,}", "!"), (r"\.{2,}", "."), (r",{2,}", ","), (r"(?U)\b(\w+)(\s+\1\b)+", "$1"), (r"\s+([?!.,;])", "$1"), (r"(?U)([?!.,;])(\w)", "$1 $2"))
+
+
 def clean_for_search(x: Column | str) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(_c(x), r"(?U)[^\w\s%$.\-']+", " "), r"(?U)\s+", " "))
 
@@ -216,10 +231,12 @@ def join_wrapped_lines(x: Column | str) -> Column:
 
 
 def is_complex(x: Column | str) -> Column:
-    """Comparison or causal wording, or several questions in one."""
+    """Comparison or causal wording, several questions in one, or more than six content words."""
     q = F.concat(F.lit(" "), F.lower(F.trim(_c(x))), F.lit(" "))
     marked = reduce(lambda a, b: a | b, [F.contains(q, F.lit(m)) for m in L.COMPLEX_MARKERS])
-    return marked | (F.length(_c(x)) - F.length(F.replace(_c(x), F.lit("?"), F.lit(""))) > 1) | F.contains(_c(x), F.lit(";"))
+    skipped = F.array(*[F.lit(w) for w in sorted({*L.QUESTION_STARTERS, *L.RELEVANCE_STOP, *L.COMPLEX_MARKERS})])
+    content = F.filter(F.regexp_extract_all(q, F.lit("([a-z']+)"), F.lit(1)), lambda w: ~F.array_contains(skipped, w))
+    return marked | (F.length(_c(x)) - F.length(F.replace(_c(x), F.lit("?"), F.lit(""))) > 1) | F.contains(_c(x), F.lit(";")) | (F.size(content) > 6)
 
 
 def grounded(answer: Column | str, evidence: Column | str, soft: list[str] | None = None) -> Column:

@@ -84,3 +84,18 @@ def has_answer(questions: DataFrame, corpus: DataFrame, phrase: str, content: st
     met = corpus.select(F.lower(F.col(content)).alias("t")).where("t is not null").join(batch, F.lit(True))
     hits = met.select(F.explode(F.transform(F.filter("batch", lambda q: F.contains(F.col("t"), F.lower(q[phrase]))), lambda q: q["query_id"])).alias("query_id")).distinct()
     return questions.join(hits, "query_id", "left_semi")
+
+
+def primary(blocks: Column | str) -> Column:
+    """The best of a question's blocks (structs of ``routing`` and ``confidence``): answered ones first, then by
+    confidence, then by place."""
+    key = lambda b, i: F.struct(b["routing"].isin("answer", "partial").cast("int").alias("answered"), b["confidence"].alias("confidence"), (-i).alias("place"), b.alias("block"))
+    return F.array_max(F.transform(_col(blocks), key))["block"]
+
+
+def retried(first: Column | str, second: Column | str, config: EngineConfig = DEFAULT) -> Column:
+    """The second attempt (structs of ``score``) if the first one's evidence is rejected and its own is not, and
+    scores better; a missing score rejects nothing."""
+    a, b = _col(first), _col(second)
+    better = (a["score"] < config.veto_score) & (b["score"] >= config.veto_score) & (b["score"] > a["score"])
+    return F.when(F.coalesce(better, F.lit(False)), b).otherwise(a)

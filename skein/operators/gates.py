@@ -43,3 +43,22 @@ def gated(question: str, phrase: str, relevance: str, value: str, score: str, co
     c = F.when(answerable(score, config), c).otherwise(F.least(c, F.lit(config.veto_cap)))
     stop = (F.trim(F.coalesce(F.col(phrase), F.lit(""))) == "") | (r < config.relevance_low) | ~answerable(score, config)
     return c, F.when(stop, "no_answer").when(c >= config.answer_at, "answer").when(c >= config.partial_at, "partial").otherwise("no_answer")
+
+
+def dampened(value: Column | str, generic: Column | str, has_topic: Column | str, shares_word: Column | str, config: EngineConfig = DEFAULT) -> Column:
+    """A cap for questions without a subject: generic ones, and those without a known topic none of whose
+    content words the evidence has (``shares_word`` is null where there are no content words)."""
+    c, g, t, w = (F.col(x) if isinstance(x, str) else x for x in (value, generic, has_topic, shares_word))
+    return F.when(g | (~t & ~F.coalesce(w, F.lit(True))), F.least(c, F.lit(config.generic_cap))).otherwise(c)
+
+
+def package_error(role: Column, client_id: Column, assigned: Column, excerpts: Column) -> Column:
+    """Null for a package its reader may see, else why not: ``excerpts`` are structs of ``client_id``,
+    ``is_approved`` and ``version``.  The safety net behind the scopes of retrieval."""
+    admin = F.coalesce(role.isin("admin", "super_admin"), F.lit(False))
+    foreign = F.exists(excerpts, lambda e: ~e["client_id"].eqNullSafe(client_id))
+    unassigned = F.exists(excerpts, lambda e: e["client_id"].isNotNull() & ~F.coalesce(F.array_contains(assigned, e["client_id"]), F.lit(False)))
+    return (
+        F.when(~admin & (role == "client") & foreign, "not the reader's client").when(~admin & ~F.coalesce(role == "client", F.lit(False)) & unassigned, "client not assigned")
+        .when(F.exists(excerpts, lambda e: ~F.coalesce(e["is_approved"], F.lit(False))), "not approved").when(F.exists(excerpts, lambda e: F.coalesce(e["version"], F.lit(0)) < 1), "invalid version")
+    )

@@ -40,3 +40,24 @@ def average_precision(ranking: DataFrame, relevant: DataFrame) -> DataFrame:
     marked = ranking.join(relevant.select("query_id", "chunk_id", F.lit(1).alias("rel")).distinct(), ["query_id", "chunk_id"], "left").fillna(0, ["rel"])
     run = F.sum("rel").over(Window.partitionBy("query_id").orderBy("place"))
     return marked.withColumn("p", F.when(F.col("rel") == 1, run / F.col("place")).otherwise(0.0)).groupBy("query_id").agg(F.round(F.sum("p") / F.count(F.lit(1)), 6).alias("mean_precision"))
+
+
+def processing_accuracy(answers: DataFrame) -> DataFrame:
+    """Shares of questions processed as expected: ``intents`` all equal to ``expected_intent`` (unless that
+    is "general"), ``entities`` that hold all of ``expected_entities``, and as many parts as expected."""
+    intent = (F.col("expected_intent") == "general") | F.forall("intents", lambda x: x == F.col("expected_intent"))
+    entity = F.size(F.array_except("expected_entities", "entities")) == 0
+    parts = F.size("intents") == F.col("expected_parts")
+    share = lambda c: F.round(F.avg(c.cast("int")), 6)
+    return answers.agg(F.count(F.lit(1)).alias("n"), share(intent).alias("intent"), share(entity).alias("entity"), share(parts).alias("parts"), share(intent & entity & parts).alias("all"))
+
+
+def graded(cases: DataFrame) -> DataFrame:
+    """``cases`` with ``passed``: ``kind`` "none" wants no block answered, "each" every pattern in some
+    answered block, "all" every pattern in the first answered block; ``blocks`` are structs of ``routing``
+    and ``text``, patterns meet any case."""
+    texts = F.transform(F.filter("blocks", lambda b: b["routing"].isin("answer", "partial")), lambda b: b["text"])
+    meets = lambda t, p: F.regexp_like(t, F.concat(F.lit("(?i)"), p))
+    each = F.forall("patterns", lambda p: F.exists(texts, lambda t: meets(t, p)))
+    every = (F.size(texts) > 0) & F.forall("patterns", lambda p: F.coalesce(meets(F.try_element_at(texts, F.lit(1)), p), F.lit(False)))
+    return cases.withColumn("passed", F.when(F.col("kind") == "none", F.size(texts) == 0).when(F.col("kind") == "each", each).otherwise(every))

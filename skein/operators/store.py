@@ -13,7 +13,9 @@ def insert_new(store: DataFrame, rows: DataFrame, key: list[str], order: list[st
 
 
 def first_by_hash(rows: DataFrame, hash_col: str, order: list[str]) -> DataFrame:
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(hash_col).orderBy(*order))).where("_n = 1").drop("_n")
+    """The first row of each hash; combined before the shuffle, so a hash that most rows share is no hot key."""
+    rest = [c for c in rows.columns if c != hash_col]
+    return rows.groupBy(hash_col).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(*[F.col(c) if c == hash_col else F.col(f"_r.{c}").alias(c) for c in rows.columns])
 
 
 def upsert(store: DataFrame, rows: DataFrame, key: list[str], newest: str) -> DataFrame:
@@ -54,3 +56,19 @@ def append_distinct(column: str, value: Column) -> Column:
 
 def remove(column: str, value: str) -> Column:
     return F.array_remove(F.col(column), value)
+
+
+def user_error(email: Column, role: Column, department: Column, taken: Column, actor_role: Column, departments: list[str]) -> Column:
+    """Null for a user that may be created, else why not."""
+    return (
+        F.when(~F.coalesce(department.isin(departments), F.lit(False)), "unknown department").when((role != "processor") & ~F.coalesce(actor_role == "super_admin", F.lit(False)), "role not allowed")
+        .when(~F.contains(F.trim(F.coalesce(email, F.lit(""))), F.lit("@")), "invalid address").when(taken, "address taken")
+    )
+
+
+def create_users(users: DataFrame, requests: DataFrame, departments: list[str]) -> DataFrame:
+    """``requests`` (``email``, ``role``, ``department``, ``actor_role``) with the address in lower case and ``error``."""
+    tidy = requests.withColumn("email", F.lower(F.trim("email")))
+    there = users.select(F.lower("email").alias("email")).distinct().withColumn("_taken", F.lit(True))
+    joined = tidy.join(there, "email", "left")
+    return joined.withColumn("error", user_error(F.col("email"), F.col("role"), F.col("department"), F.coalesce("_taken", F.lit(False)), F.col("actor_role"), departments)).drop("_taken")

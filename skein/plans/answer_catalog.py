@@ -55,13 +55,8 @@ def set_algebra(spark, sf_dir):
     return table(spark, sf_dir, "users").select("id", F.size(F.array_intersect(own, F.array(F.lit("CL-0001"), F.lit("CL-0002")))).alias("shared"), F.size(F.array_union(own, F.array(F.lit("CL-0001")))).alias("either"))
 
 
-@query("SELECT id, sha256(to_json({'query': lower(query), 'user': user_id})) AS key FROM (SELECT DISTINCT id, user_id, query FROM audit_log WHERE user_id IS NOT NULL AND regexp_full_match(query, '[a-zA-Z0-9 ?.,]*'))")
+@query("SELECT id, sha256(to_json({'query': lower(query), 'user': user_id})) AS key FROM (SELECT DISTINCT id, user_id, query FROM audit_log WHERE user_id IS NOT NULL AND query IS NOT NULL)")
 def cache_keys(spark, sf_dir):
-    return _keys(table(spark, sf_dir, "audit_log").where(F.col("query").rlike("^[a-zA-Z0-9 ?.,]*$")))
-
-
-@query()
-def cache_keys_whole(spark, sf_dir):
     return _keys(table(spark, sf_dir, "audit_log"))
 
 

@@ -1,9 +1,4 @@
-"""The query catalogue of the core engine, with its SQL oracles.
-
-Queries are over whole tables, but for those whose SQL leaves out rows because DuckDB folds Unicode
-otherwise: each of them is the part that SQL can check of the query NAME_whole, which covers every
-row and is tested against brute force.
-"""
+"""The query catalogue of the core engine, with its SQL oracles; every query is over whole tables."""
 
 from __future__ import annotations
 
@@ -15,7 +10,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT
 from ..functions import lexicon as L
 from ..functions import text as T
-from ..operators import gates, metrics, retrieval, scope, store
+from ..operators import gates, ingest, metrics, retrieval, scope, store
 from ..session import table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,11 +35,19 @@ def oracle_sql() -> dict[str, str]:
     return dict(_ORACLES)
 
 
+#: White space in SQL patterns, as the Unicode property has it.
+WS = r"\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+
+
+def sql_strip(column: str) -> str:
+    return f"regexp_replace({column}, '^[{WS}]+|[{WS}]+$', '', 'g')"
+
+
 # --- a batch of questions ------------------------------------------------------------------
 
 QUESTIONS = [
     (1, "who signs the payslip and the bank statement"), (2, "steps to review a gift letter"), (3, "difference between rate lock and loan estimate"), (4, "what is the limit of an escrow account"),
-    (5, "documents for a drawdown request"), (6, "how long is an appraisal report valid"), (7, "zzyzx qwxv"), (8, ""),
+    (5, "documents for an aml check and a dip"), (6, "how long is an appraisal report valid"), (7, "zzyzx qwxv"), (8, ""),
 ]
 _QUESTION_ROWS = ", ".join(f"({i}, '{t}')" for i, t in QUESTIONS)
 QUESTIONS_SQL = f"SELECT CAST(c0 AS BIGINT) AS query_id, c1 AS text FROM (VALUES {_QUESTION_ROWS}) v(c0, c1)"
@@ -91,9 +94,19 @@ def _vec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.vector_hits(_examples(spark, sf_dir), usable, "id", "embedding")
 
 
+def _ent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities that chunks share with the questions, by the dictionary."""
+    asked = retrieval.entity_edges(questions(spark), "query_id", "text", table(spark, sf_dir, "term_aliases")).withColumnRenamed("chunk_id", "query_id")
+    return retrieval.entity_hits(asked, _edges(spark, sf_dir))
+
+
+def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.hybrid_candidates(_lex(spark, sf_dir), _vec(spark, sf_dir), _ent(spark, sf_dir))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A batch of questions end to end: lanes, fused ranks, confidence, routing, top evidence."""
-    fused = retrieval.hybrid_candidates(_lex(spark, sf_dir), _vec(spark, sf_dir))
+    fused = _fused(spark, sf_dir)
     best = 1 / (DEFAULT.rank_constant + 1) * (DEFAULT.lexical_weight + DEFAULT.vector_weight)
     routed = fused.where(F.col("place") <= DEFAULT.evidence).withColumn("confidence", F.bround(F.least(F.lit(100.0), F.col("score") / best * 100), 1))
     return routed.select("query_id", "chunk_id", "place", "score", "confidence", gates.route("confidence").alias("routing"))
@@ -123,17 +136,28 @@ def vector_topk(spark, sf_dir):
     return _vec(spark, sf_dir).withColumn("place", F.row_number().over(w)).where("place <= 10").select("query_id", "chunk_id", "place")
 
 
-_HYBRID_SQL = f"""WITH {_LEX_SQL}, {_VEC_SQL},
-j AS (SELECT query_id, chunk_id, round(coalesce(lex, 0), 9) AS lex, round(coalesce(vec, -1), 9) AS vec FROM lex FULL JOIN vec USING (query_id, chunk_id)),
-a AS (SELECT * FROM j WHERE lex > 0 OR vec >= 0.65),
-r AS (SELECT *, rank() OVER (PARTITION BY query_id ORDER BY lex DESC) AS rl, rank() OVER (PARTITION BY query_id ORDER BY vec DESC) AS rv FROM a),
-s AS (SELECT *, round(0.3::DOUBLE / (60 + rl) + 0.7::DOUBLE / (60 + rv), 12) AS score FROM r),
+_GRAMS = "list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9]+'), lambda w: w <> '')"
+_EDGE_SQL = f"""t AS (SELECT id AS chunk_id, {_GRAMS.format('content')} AS t FROM document_chunks WHERE content IS NOT NULL),
+g AS (SELECT chunk_id, unnest(list_concat(t, list_transform(generate_series(1, greatest(len(t) - 1, 0)), lambda i: t[i] || ' ' || t[i + 1]), list_transform(generate_series(1, greatest(len(t) - 2, 0)), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2]))) AS alias FROM t),
+a_ AS (SELECT DISTINCT array_to_string({_GRAMS.format('alias')}, ' ') AS alias, canonical FROM term_aliases),
+e AS (SELECT DISTINCT chunk_id, canonical FROM g JOIN a_ USING (alias) WHERE alias <> '')"""
+
+
+_HYBRID_SQL = f"""WITH {_LEX_SQL}, {_VEC_SQL}, {_EDGE_SQL},
+qt AS (SELECT query_id, {_GRAMS.format('text')} AS t FROM q),
+qg AS (SELECT query_id, unnest(list_concat(t, list_transform(generate_series(1, greatest(len(t) - 1, 0)), lambda i: t[i] || ' ' || t[i + 1]), list_transform(generate_series(1, greatest(len(t) - 2, 0)), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2]))) AS alias FROM qt),
+qe AS (SELECT DISTINCT query_id, canonical FROM qg JOIN a_ USING (alias) WHERE alias <> ''),
+ent AS (SELECT query_id, chunk_id, count(*) AS ent FROM qe JOIN e USING (canonical) GROUP BY ALL),
+j AS (SELECT query_id, chunk_id, round(coalesce(lex, 0), 9) AS lex, round(coalesce(vec, -1), 9) AS vec, coalesce(ent, 0) AS ent FROM lex FULL JOIN vec USING (query_id, chunk_id) LEFT JOIN ent USING (query_id, chunk_id)),
+ad AS (SELECT * FROM j WHERE lex > 0 OR vec >= 0.65),
+r AS (SELECT *, rank() OVER (PARTITION BY query_id ORDER BY lex DESC) AS rl, rank() OVER (PARTITION BY query_id ORDER BY vec DESC) AS rv, rank() OVER (PARTITION BY query_id ORDER BY ent DESC) AS re FROM ad),
+s AS (SELECT *, round(0.3::DOUBLE / (60 + rl) + 0.7::DOUBLE / (60 + rv) + CASE WHEN ent > 0 THEN 0.15::DOUBLE / (60 + re) ELSE 0 END, 12) AS score FROM r),
 fused AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS place FROM s) WHERE place <= 100)"""
 
 
 @query(f"{_HYBRID_SQL} SELECT query_id, chunk_id, round(score, 9) AS score, place::INT AS place FROM fused")
 def hybrid_candidates(spark, sf_dir):
-    return retrieval.hybrid_candidates(_lex(spark, sf_dir), _vec(spark, sf_dir)).select("query_id", "chunk_id", F.round("score", 9).alias("score"), "place")
+    return _fused(spark, sf_dir).select("query_id", "chunk_id", F.round("score", 9).alias("score"), "place")
 
 
 @query(f"{_HYBRID_SQL}, c AS (SELECT query_id, chunk_id, place::INT AS place, round_even(least(100, score / (1.0::DOUBLE / 61) * 100), 1) AS confidence FROM fused WHERE place <= 3) SELECT *, CASE WHEN confidence >= 90 THEN 'answer' WHEN confidence >= 50 THEN 'partial' ELSE 'no_answer' END AS routing FROM c")
@@ -181,13 +205,6 @@ def rerank_head(spark, sf_dir):
     return retrieval.rerank(ranked.select("query_id", "chunk_id", "place"), s.select("query_id", "chunk_id", F.col("vec_score").alias("rerank_score"))).select("query_id", "chunk_id", "place")
 
 
-_GRAMS = "list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9]+'), lambda w: w <> '')"
-_EDGE_SQL = f"""t AS (SELECT id AS chunk_id, {_GRAMS.format('content')} AS t FROM document_chunks WHERE content IS NOT NULL),
-g AS (SELECT chunk_id, unnest(list_concat(t, list_transform(generate_series(1, greatest(len(t) - 1, 0)), lambda i: t[i] || ' ' || t[i + 1]), list_transform(generate_series(1, greatest(len(t) - 2, 0)), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2]))) AS alias FROM t),
-a AS (SELECT DISTINCT array_to_string({_GRAMS.format('alias')}, ' ') AS alias, canonical FROM term_aliases),
-e AS (SELECT DISTINCT chunk_id, canonical FROM g JOIN a USING (alias) WHERE alias <> '')"""
-
-
 def _edges(spark, sf_dir):
     return retrieval.entity_edges(_chunks(spark, sf_dir).where("content is not null"), "id", "content", table(spark, sf_dir, "term_aliases"))
 
@@ -285,20 +302,20 @@ def feedback_with_users(spark, sf_dir):
 
 @query("SELECT DISTINCT id, query, intent, confidence FROM knowledge_gaps WHERE confidence IS NULL OR confidence < 0.5")
 def knowledge_gaps(spark, sf_dir):
-    return table(spark, sf_dir, "knowledge_gaps").where("confidence is null or confidence < 0.5").select("id", "query", "intent", "confidence").distinct()
+    return ingest.gap_rows(table(spark, sf_dir, "knowledge_gaps"), 0.5).select("id", "query", "intent", "confidence").distinct()
 
 
 @query("SELECT DISTINCT id, rating FROM feedback WHERE rating IN (-1, 1)")
 def feedback_check(spark, sf_dir):
-    return table(spark, sf_dir, "feedback").where(F.col("rating").isin(-1, 1)).select("id", "rating").distinct()
+    return ingest.feedback_rows(table(spark, sf_dir, "feedback")).select("id", "rating").distinct()
 
 
 @query("""WITH a AS (SELECT DISTINCT id, outcome, confidence, latency_ms FROM audit_log)
-SELECT count(*) AS total, count(*) FILTER (outcome = 'answered') AS answered, count(*) FILTER (outcome = 'no_answer') AS unanswered, round(coalesce(avg(confidence), 0), 4) AS mean_confidence,
+SELECT count(*) AS total, count(*) FILTER (outcome = 'answered') AS answered, count(*) FILTER (outcome = 'no_answer') AS unanswered, round_even(coalesce(avg(confidence), 0) * 100, 1) AS mean_confidence,
 (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM users WHERE is_active) AS users, (SELECT count(DISTINCT id) FROM knowledge_gaps WHERE NOT acknowledged) AS open_gaps FROM a""")
 def admin_stats(spark, sf_dir):
     a = table(spark, sf_dir, "audit_log").select("id", "outcome", "confidence", "latency_ms").distinct()
-    one = a.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("outcome") == "answered").alias("answered"), F.count_if(F.col("outcome") == "no_answer").alias("unanswered"), F.round(F.coalesce(F.avg("confidence"), F.lit(0.0)), 4).alias("mean_confidence"))
+    one = a.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("outcome") == "answered").alias("answered"), F.count_if(F.col("outcome") == "no_answer").alias("unanswered"), F.bround(F.coalesce(F.avg("confidence"), F.lit(0.0)) * 100, 1).alias("mean_confidence"))
     d = table(spark, sf_dir, "documents").agg(F.count(F.lit(1)).alias("documents"))
     u = table(spark, sf_dir, "users").where("is_active").agg(F.count(F.lit(1)).alias("users"))
     g = table(spark, sf_dir, "knowledge_gaps").where("not acknowledged").agg(F.countDistinct("id").alias("open_gaps"))
@@ -359,18 +376,9 @@ def audit_by_day(spark, sf_dir):
 # --- rewrites ------------------------------------------------------------------------------
 
 
-@query("SELECT doc_id, h FROM (SELECT doc_id, sha256(lower(regexp_replace(text, '^\\s+|\\s+$', '', 'g'))) AS h, row_number() OVER (PARTITION BY sha256(lower(regexp_replace(text, '^\\s+|\\s+$', '', 'g'))) ORDER BY doc_id) AS n FROM documents WHERE text IS NOT NULL AND regexp_full_match(text, '[\\x00-\\x7F]*')) WHERE n = 1")
+@query(f"SELECT h, min(doc_id) AS doc_id FROM (SELECT doc_id, sha256(lower({sql_strip('text')})) AS h FROM documents WHERE text IS NOT NULL) GROUP BY h")
 def content_hash_dedup(spark, sf_dir):
-    return _first_copies(table(spark, sf_dir, "documents").where(F.col("text").rlike(r"^[\x00-\x7F]*$")))
-
-
-@query()
-def content_hash_dedup_whole(spark, sf_dir):
-    return _first_copies(table(spark, sf_dir, "documents"))
-
-
-def _first_copies(documents: DataFrame) -> DataFrame:
-    return store.first_by_hash(documents.where("text is not null").select("doc_id", T.content_hash("text").alias("h")), "h", ["doc_id"])
+    return store.first_by_hash(table(spark, sf_dir, "documents").where("text is not null").select("doc_id", T.content_hash("text").alias("h")), "h", ["doc_id"])
 
 
 @query("SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, (o_orderkey % 2) DESC, o_orderkey DESC) AS n FROM orders) WHERE n = 1")
@@ -434,33 +442,18 @@ def corpus_vocabulary(spark, sf_dir):
     return w.where((F.length("word") >= 3) & F.col("word").rlike(r"^[a-z][a-z'-]*$")).distinct()
 
 
-@query("SELECT id, len(list_filter(string_split(regexp_replace(regexp_replace(content, '^[ \\t\\n\\r\\f\\x0B]+|[ \\t\\n\\r\\f\\x0B]+$', '', 'g'), '([.!?])[ \\t\\n\\r\\f\\x0B]+', '\\1␞', 'g'), '␞'), lambda s: s <> ''))::INT AS n FROM document_chunks WHERE regexp_full_match(content, '[\\x00-\\x7F£€]*')")
+@query(f"SELECT id, len(list_filter(string_split(regexp_replace({sql_strip('content')}, '([.!?])[{WS}]+', '\\1␞', 'g'), '␞'), lambda s: s <> ''))::INT AS n FROM document_chunks WHERE content IS NOT NULL")
 def sentence_split_counts(spark, sf_dir):
-    return _chunks(spark, sf_dir).where(F.col("content").rlike(r"^[\x00-\x7F£€]*$")).select("id", F.size(T.sentences("content")).alias("n"))
-
-
-@query()
-def sentence_split_counts_whole(spark, sf_dir):
     return _chunks(spark, sf_dir).where("content is not null").select("id", F.size(T.sentences("content")).alias("n"))
 
 
-@query("SELECT id, regexp_matches(content, '^[ \\t\\n\\r\\f\\x0B]*[A-Z0-9\"''*•|-]') AS clean FROM document_chunks WHERE regexp_full_match(content, '[\\x00-\\x7F£€•]*')")
+@query(f"SELECT id, regexp_matches(content, '^[{WS}]*[\\p{{Lu}}\\p{{Nd}}\"''*•|-]') AS clean FROM document_chunks WHERE content IS NOT NULL")
 def starts_cleanly(spark, sf_dir):
-    return _chunks(spark, sf_dir).where(F.col("content").rlike(r"^[\x00-\x7F£€•]*$")).select("id", T.starts_cleanly("content").alias("clean"))
-
-
-@query()
-def starts_cleanly_whole(spark, sf_dir):
     return _chunks(spark, sf_dir).where("content is not null").select("id", T.starts_cleanly("content").alias("clean"))
 
 
-@query("SELECT id, CASE WHEN length(content) <= 200 THEN content WHEN strpos(h, ' ') > 0 AND length(h) - strpos(reverse(h), ' ') > 100 THEN left(h, length(h) - strpos(reverse(h), ' ')) || '…' ELSE h || '…' END AS excerpt FROM (SELECT id, content, left(content, 199) AS h FROM document_chunks WHERE regexp_full_match(content, '[\\x00-\\x7F£€]*'))")
+@query("SELECT id, CASE WHEN length(content) <= 200 THEN content WHEN strpos(h, ' ') > 0 AND length(h) - strpos(reverse(h), ' ') > 100 THEN left(h, length(h) - strpos(reverse(h), ' ')) || '…' ELSE h || '…' END AS excerpt FROM (SELECT id, content, left(content, 199) AS h FROM document_chunks WHERE content IS NOT NULL)")
 def truncate_excerpt(spark, sf_dir):
-    return _chunks(spark, sf_dir).where(F.col("content").rlike(r"^[\x00-\x7F£€]*$")).select("id", T.truncate("content", 200).alias("excerpt"))
-
-
-@query()
-def truncate_excerpt_whole(spark, sf_dir):
     return _chunks(spark, sf_dir).where("content is not null").select("id", T.truncate("content", 200).alias("excerpt"))
 
 
@@ -474,14 +467,9 @@ def guess_doc_type(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.guess_doc_type("text").alias("doc_type"))
 
 
-@query("""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: s <> '')[1:5] AS l FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7F£€]*'))
-SELECT doc_id, coalesce(list_filter(l, lambda s: len(list_filter(regexp_split_to_array(s, '[ \\t\\n\\r\\f\\x0B]+'), lambda w: w <> '')) <= 12 AND NOT (lower(s) = s AND upper(s) <> s))[1], left(l[1], 80)) AS title FROM l""")
+@query(f"""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda s: {sql_strip('s')}), lambda s: s <> '')[1:5] AS l FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, coalesce(list_filter(l, lambda s: len(list_filter(regexp_split_to_array(s, '[{WS}]+'), lambda w: w <> '')) <= 12 AND NOT (lower(s) = s AND upper(s) <> s))[1], left(l[1], 80)) AS title FROM l""")
 def guess_title(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where(F.col("text").rlike(r"^[\x00-\x7F£€]*$")).select("doc_id", T.guess_title("text").alias("title"))
-
-
-@query()
-def guess_title_whole(spark, sf_dir):
     return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", T.guess_title("text").alias("title"))
 
 
@@ -493,13 +481,8 @@ def intent(spark, sf_dir):
     return table(spark, sf_dir, "knowledge_gaps").where("query is not null").select("id", T.intent("query").alias("intent")).distinct()
 
 
-@query("SELECT DISTINCT id, trim(regexp_replace(regexp_replace(query, '[^a-zA-Z0-9_\\s%$.\\-'']+', ' ', 'g'), '\\s+', ' ', 'g')) AS clean FROM audit_log WHERE regexp_full_match(query, '[\\x20-\\x7E]*')")
+@query(f"SELECT DISTINCT id, trim(regexp_replace(regexp_replace(query, '[^\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Nl}}\\p{{Pc}}\\x{{200C}}\\x{{200D}}{WS}%$.\\-'']+', ' ', 'g'), '[{WS}]+', ' ', 'g')) AS clean FROM audit_log WHERE query IS NOT NULL")
 def clean_search(spark, sf_dir):
-    return table(spark, sf_dir, "audit_log").where(F.col("query").rlike(r"^[\x20-\x7E]*$")).select("id", T.clean_for_search("query").alias("clean")).distinct()
-
-
-@query()
-def clean_search_whole(spark, sf_dir):
     return table(spark, sf_dir, "audit_log").where("query is not null").select("id", T.clean_for_search("query").alias("clean")).distinct()
 
 
@@ -507,12 +490,16 @@ def _sql_stop() -> str:
     return ", ".join(f"'{w}'" for w in sorted(set(L.QUESTION_STARTERS) | set(L.RELEVANCE_STOP)))
 
 
+def _sql_skipped() -> str:
+    return ", ".join(f"'{w}'" for w in sorted({*L.QUESTION_STARTERS, *L.RELEVANCE_STOP, *L.COMPLEX_MARKERS}))
+
+
 @query(f"SELECT DISTINCT id, len(list_distinct(list_filter(regexp_split_to_array(lower(query), '[^a-z'']+'), lambda w: length(w) >= 3 AND NOT list_contains([{_sql_stop()}], w))))::INT AS n FROM audit_log WHERE query IS NOT NULL")
 def content_term_counts(spark, sf_dir):
     return table(spark, sf_dir, "audit_log").where("query is not null").select("id", F.size(T.content_terms("query")).alias("n")).distinct()
 
 
-@query("SELECT DISTINCT id, " + " OR ".join(f"contains(' ' || lower(trim(query)) || ' ', '{m}')" for m in L.COMPLEX_MARKERS) + " OR length(query) - length(replace(query, '?', '')) > 1 OR contains(query, ';') AS complex FROM audit_log WHERE query IS NOT NULL")
+@query("SELECT DISTINCT id, " + " OR ".join(f"contains(' ' || lower(trim(query)) || ' ', '{m}')" for m in L.COMPLEX_MARKERS) + f" OR length(query) - length(replace(query, '?', '')) > 1 OR contains(query, ';') OR len(list_filter(regexp_extract_all(' ' || lower(trim(query)) || ' ', '[a-z'']+'), lambda w: NOT list_contains([{_sql_skipped()}], w))) > 6 AS complex FROM audit_log WHERE query IS NOT NULL")
 def complexity_router(spark, sf_dir):
     return table(spark, sf_dir, "audit_log").where("query is not null").select("id", T.is_complex("query").alias("complex")).distinct()
 
@@ -574,4 +561,4 @@ def mean_precision(spark, sf_dir):
     return metrics.average_precision(ranking, relevant)
 
 
-from . import answer_catalog, ingest_catalog  # noqa: E402,F401  they register their queries
+from . import answer_catalog, fixture_catalog, ingest_catalog  # noqa: E402,F401  they register their queries

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT
 from ..functions import dialogue
 from ..functions import text as T
-from ..session import table
+from ..session import settle, table
 from ..sources import chunking, harvest
 from ..streaming import ingest as streams
 from ..streaming import limiter
-from .catalog import query
+from .catalog import WS, query, sql_strip
 
 
 @query()
@@ -43,23 +43,13 @@ def list_items(spark, sf_dir):
     return table(spark, sf_dir, "document_chunks").where("content is not null").select("id", F.size(lines).alias("n"), F.size(F.filter(lines, T.is_list_item)).alias("items"))
 
 
-@query("SELECT id, len(list_filter(string_split(content, chr(10)), lambda s: length(trim(s)) > 0 AND length(trim(s)) <= 80 AND NOT regexp_matches(trim(s), '[.!?]$')))::INT AS headings FROM document_chunks WHERE regexp_full_match(content, '[\\x0A\\x20-\\x7E£€]*')")
+@query(f"SELECT id, len(list_filter(list_transform(string_split(content, chr(10)), lambda s: {sql_strip('s')}), lambda s: length(s) BETWEEN 1 AND 80 AND NOT regexp_matches(s, '[.!?]$')))::INT AS headings FROM document_chunks WHERE content IS NOT NULL")
 def heading_lines(spark, sf_dir):
-    return table(spark, sf_dir, "document_chunks").where(F.col("content").rlike(r"^[\x0A\x20-\x7E£€]*$")).select("id", F.size(F.filter(F.split("content", "\n"), T.is_short_heading)).alias("headings"))
-
-
-@query()
-def heading_lines_whole(spark, sf_dir):
     return table(spark, sf_dir, "document_chunks").where("content is not null").select("id", F.size(F.filter(F.split("content", "\n"), T.is_short_heading)).alias("headings"))
 
 
-@query("SELECT file_id, p.n::INT AS page_no, regexp_replace(p.t, '(^|\\n)[ \\t]*[e•·o©][ \\t]+([^\\s])', '\\1- \\2', 'g') AS cleaned FROM (SELECT file_id, unnest(list_transform(pages, lambda t, i: {'t': t, 'n': i})) AS p FROM extracted_texts) WHERE p.t IS NOT NULL AND regexp_full_match(p.t, '[\\x0A\\x20-\\x7E]*')")
+@query(f"SELECT file_id, p.n::INT AS page_no, regexp_replace(p.t, '(^|\\n)[ \\t]*[e•·o©][ \\t]+([^{WS}])', '\\1- \\2', 'g') AS cleaned FROM (SELECT file_id, unnest(list_transform(pages, lambda t, i: {{'t': t, 'n': i}})) AS p FROM extracted_texts) WHERE p.t IS NOT NULL")
 def bullet_repair(spark, sf_dir):
-    return _repaired(_pages(spark, sf_dir).where(F.col("t").rlike(r"^[\x0A\x20-\x7E]*$")))
-
-
-@query()
-def bullet_repair_whole(spark, sf_dir):
     return _repaired(_pages(spark, sf_dir))
 
 
@@ -88,9 +78,14 @@ def spelling(spark, sf_dir):
     """Questions corrected against the words that many chunks use."""
     chunks = table(spark, sf_dir, "document_chunks").where("content is not null")
     counts = chunks.select(F.explode(F.array_distinct(F.filter(F.split(F.lower("content"), "[^a-z]+"), lambda w: F.length(w) > 3))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    counts = settle(counts, "words")
     total = chunks.count()
-    words = [r["w"] for r in counts.where(F.col("n") >= max(3, total // 200)).collect()]  # at most 200 times a chunk's words
-    speller = dialogue.Speller(words)
+    words = [r["w"] for r in counts.where(F.col("n") >= max(3.0, total / 200)).collect()]  # at most 200 times a chunk's words: the targets
+    asked = table(spark, sf_dir, "knowledge_gaps").where("query is not null").select(F.explode(F.split(T.normalize("query"), "[^a-z]+")).alias("w")).distinct()
+    corpus = frozenset(r["w"] for r in asked.join(counts, "w", "left_semi").limit(200_001).collect())  # words of questions that any chunk has are left alone
+    if len(corpus) > 200_000:
+        raise ValueError("too many words for one list: correct by parts")
+    speller = dialogue.Speller(words, corpus=corpus)
 
     @F.pandas_udf("string")
     def correct(texts: pd.Series) -> pd.Series:

@@ -35,8 +35,7 @@ class _Fragments(HTMLParser):
         self.found: list[str] = []
 
     def handle_data(self, data: str) -> None:
-        if data.strip():
-            self.found.append(data.strip())
+        self.found.append(data)
 
 
 def _html(data: bytes) -> list[str]:
@@ -167,10 +166,3 @@ def read_files(spark: SparkSession, path: str, glob: str = "*", pdf: Callable |
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
     return files.select("path", "content").mapInPandas(run, SCHEMA)
-
-
-def sidecar(df: DataFrame, column: str) -> DataFrame:
-    """Metadata from a JSON text column; unknown keys, bad JSON and bad numbers become null."""
-    schema = "doc_type string, department string, client_id string, uploaded_by string"
-    parsed = F.from_json(column, schema, {"mode": "PERMISSIVE"})
-    return df.withColumn("_m", parsed).select("*", "_m.doc_type", "_m.department", "_m.client_id", F.expr("try_cast(_m.uploaded_by as bigint)").alias("uploaded_by")).drop("_m")

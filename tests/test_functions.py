@@ -5,7 +5,7 @@ import zipfile
 
 import pytest
 
-from skein.functions import dialogue
+from skein.functions import dialogue, phrases
 from skein.functions import text as T
 from skein.sources import chunking, extract, harvest
 from skein.streaming.limiter import Limiter
@@ -61,13 +61,12 @@ def test_speller_and_follow_ups():
     s = dialogue.Speller(["credit", "score", "escrow", "investment", "what"], ["credit score"])
     assert s.correct("credt scor") == "credit score"
     assert s.correct("investmnt of 5%") == "investment of 5%"
-    assert dialogue.resolve("How is it repaid?", "lifetime mortgage") == "How is lifetime mortgage repaid?"
-    assert dialogue.resolve("What is a payslip?", None) == "What is a payslip?"
     assert dialogue.variants("what is equity?", {"equity": ("home equity", "term")}) == ["what is equity?", "what is equity? home equity", "equity definition"]
 
 
-def test_snippet():
-    assert dialogue.best_snippet("aa bb cc dd ee", ["cc", "dd"], 5) == "cc dd"
+def test_window():
+    assert phrases.best_window("aa bb cc dd ee", [["cc"], ["dd"]], 5) == "…cc dd…"
+    assert phrases.best_window("aa bb", [["cc"]], 5) == "aa bb" and phrases.best_window("aa bb cc", [["zz"]], 5) == "aa b…"
 
 
 def test_chunking():
@@ -141,3 +140,43 @@ def test_store(spark):
     new = spark.createDataFrame([(2, "c", 2), (3, "d", 2)], "k int, v string, t int")
     assert sorted(r["v"] for r in store.upsert(old, new, ["k"], "t").collect()) == ["a", "c", "d"]
     assert [r["k"] for r in store.insert_new(old, new, ["k"], ["t"]).collect()] == [3]
+
+
+def test_login_outcomes(spark, tmp_path):
+    from skein.streaming.limiter import login_outcomes
+
+    rows = [(i, float(i), "1.1.1.1", "a@x", False) for i in range(21)] + [(30, 30.0, "2.2.2.2", "a@x", True), (31, 31.0, "1.1.1.1", "b@x", True), (32, 32.0, "2.2.2.2", "b@x", True), (40, 1000.0, "2.2.2.2", "a@x", True)]
+    df = spark.createDataFrame([("t", *r) for r in rows], "tenant string, attempt_id bigint, at double, address string, account string, ok boolean")
+    told = {r["attempt_id"]: r["outcome"] for r in login_outcomes(df, "tenant").collect()}
+    assert [told[i] for i in (0, 19, 20, 30, 31, 32, 40)] == ["failed", "failed", "locked", "locked", "locked", "in", "in"]
+    df.where("attempt_id < 15").coalesce(1).write.parquet(str(tmp_path / "in" / "a"))
+    df.where("attempt_id >= 15").coalesce(1).write.parquet(str(tmp_path / "in" / "b"))
+    stream = spark.readStream.schema(df.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(str(tmp_path / "in"))
+    seen = {}
+    q = login_outcomes(stream, "tenant").writeStream.foreachBatch(lambda b, _: seen.update({r["attempt_id"]: r["outcome"] for r in b.collect()})).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert seen == told
+
+
+def test_ingest(spark, tmp_path):
+    from dataclasses import replace
+
+    from skein.config import DEFAULT
+    from skein.operators import ingest
+
+    guide = "Rate Lock Guide\n\nThe Rate Lock Agreement (RLA) of Velder Bank fixes the rate for a time that both sides agree on in writing before the offer is made. " + "It is kept with the file. " * 12
+    files = spark.createDataFrame(
+        [("in/b.txt", "txt", guide, ["x"][:0], None, '{"doc_type": "procedure", "uploaded_by": "7", "department": 3}'), ("in/a.txt", "txt", guide, [], None, "{broken"), ("in/c.pdf", "pdf", "", [], "ValueError: no", None), ("in/d.txt", "txt", " ", [], None, None)],
+        "path string, source_format string, text string, pages array<string>, error string, sidecar string",
+    )
+    terms = spark.createDataFrame([("velder bank", "velder", "lender"), ("rate", "interest rate", "metric")], "alias string, canonical string, type string")
+    found = ingest.ingest(files, terms, first_id=10, config=replace(DEFAULT, embed=lambda texts: [[float(len(t))] for t in texts]))
+    docs = {r["source_path"]: r for r in found.documents.collect()}
+    assert sorted((r["doc_id"], r["doc_type"], r["department"], r["uploaded_by"], r["is_approved"]) for r in docs.values()) == [(10, "policy", "general", None, False), (11, "procedure", "general", 7, False)]
+    chunks = found.chunks.collect()
+    assert {r["doc_id"] for r in chunks} == {10} and all(len(r["embedding"]) == 1 for r in chunks)
+    assert {(r["entity"], r["entity_type"]) for r in found.edges.collect()} == {("velder", "lender")}
+    assert [(r["alias"], r["canonical"], r["document_id"]) for r in found.aliases.collect()] == [("rla", "rate lock agreement", 10)]
+    table = str(tmp_path / "aliases")
+    assert ingest.sink(found.aliases, table, ["alias"]).count() == 1 and ingest.sink(found.aliases, table, ["alias"]).count() in (0, 1)
+    assert spark.read.parquet(table).count() == 1

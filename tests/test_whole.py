@@ -34,7 +34,7 @@ def test_content_hash_dedup(spark, tables):
         if t is not None:
             first.setdefault(hashlib.sha256(t.strip().lower().encode()).hexdigest(), i)
     assert len(first) < len([t for t in TEXTS if t is not None]) - 3
-    assert run(spark, where, "content_hash_dedup_whole") == sorted((i, h) for h, i in first.items())
+    assert run(spark, where, "content_hash_dedup") == sorted((i, h) for h, i in first.items())
 
 
 def test_guess_title(spark, tables):
@@ -44,7 +44,7 @@ def test_guess_title(spark, tables):
         lines = [x.strip() for x in t.split("\n") if x.strip()][:5]
         return next((x for x in lines if len(x.split()) <= 12 and not x.islower()), lines[0][:80] if lines else None)
 
-    got = catalog.queries()["guess_title_whole"](spark, where).collect()
+    got = catalog.queries()["guess_title"](spark, where).collect()
     assert {r["doc_id"]: r["title"] for r in got} == {i: title(t) for i, t in enumerate(TEXTS) if t is not None}
 
 
@@ -53,7 +53,7 @@ def test_bullet_repair(spark, tables):
     where = tables("extracted_texts", [(7, pages), (8, None)], "file_id bigint, pages array<string>")
     want = [re.sub(r"(?m)^[ \t]*[e•·o©][ \t]+(?=\S)", "- ", p) for p in pages if p is not None]
     assert all(p.count("- ") == 3 for p in want[:5])
-    assert run(spark, where, "bullet_repair_whole") == [(7, i, p) for i, p in enumerate(want, 1)]
+    assert run(spark, where, "bullet_repair") == [(7, i, p) for i, p in enumerate(want, 1)]
 
 
 CONTENTS = [
@@ -70,10 +70,10 @@ def test_chunk_queries(spark, tables):
         return t if len(t) <= 200 else (head[: head.rindex(" ")] if head.rfind(" ") > 100 else head) + "…"
 
     rules = {
-        "sentence_split_counts_whole": lambda t: len([x for x in re.split(r"(?<=[.!?])\s+", t.strip()) if x]),
-        "starts_cleanly_whole": lambda t: (s := t.lstrip()) != "" and (s[0].isupper() or s[0].isdecimal() or s[0] in "\"'*-•|"),
-        "truncate_excerpt_whole": short,
-        "heading_lines_whole": lambda t: sum(0 < len(s) <= 80 and s[-1] not in ".!?" for s in map(str.strip, t.split("\n"))),
+        "sentence_split_counts": lambda t: len([x for x in re.split(r"(?<=[.!?])\s+", t.strip()) if x]),
+        "starts_cleanly": lambda t: (s := t.lstrip()) != "" and (s[0].isupper() or s[0].isdecimal() or s[0] in "\"'*-•|"),
+        "truncate_excerpt": short,
+        "heading_lines": lambda t: sum(0 < len(s) <= 80 and s[-1] not in ".!?" for s in map(str.strip, t.split("\n"))),
     }
     for name, rule in rules.items():
         assert run(spark, where, name) == [(i, rule(t)) for i, t in enumerate(CONTENTS) if t is not None], name
@@ -86,6 +86,6 @@ def test_audit_queries(spark, tables):
     rows = [(i, 40 + i, t) for i, t in enumerate(ASKED)]
     where = tables("audit_log", [*rows, rows[0], (99, None, "nobody asks")], "id bigint, user_id bigint, query string")
     clean = lambda t: re.sub(r"\s+", " ", re.sub(r"[^\w\s%$.\-']+", " ", t)).strip()
-    assert run(spark, where, "clean_search_whole") == [(i, clean(t)) for i, _, t in rows if t is not None] + [(99, "nobody asks")]
+    assert run(spark, where, "clean_search") == [(i, clean(t)) for i, _, t in rows if t is not None] + [(99, "nobody asks")]
     key = lambda u, t: hashlib.sha256(json.dumps({"query": t.lower(), "user": u}, ensure_ascii=False, separators=(",", ":")).encode()).hexdigest()
-    assert run(spark, where, "cache_keys_whole") == [(i, key(u, t)) for i, u, t in rows if t is not None]
+    assert run(spark, where, "cache_keys") == [(i, key(u, t)) for i, u, t in rows if t is not None]
