@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, EngineConfig
 from ..functions import text as T
+from ..functions.concepts import arrow
 from ..sources import chunking, harvest, metadata, ocr
 from . import store
 
@@ -41,13 +43,13 @@ def ingest(files: DataFrame, dictionary: DataFrame, known_hashes: DataFrame | No
     good = files.where("error is null").withColumn("_side", metadata.read_sidecar("sidecar"))
     docs = metadata.resolve(good, "path", "text", "_side").withColumnRenamed("path", "source_path")
     cut = chunking.chunk_table(docs, "source_path", "text", "pages", config.excerpt_chars // 2, config.chunk_min_tokens)
-    numbered = _numbered(docs.join(cut.select("source_path").distinct(), "source_path", "left_semi"), "source_path", "doc_id", first_id)
+    numbered = numbered(docs.join(cut.select("source_path").distinct(), "source_path", "left_semi"), "source_path", "doc_id", first_id)
     documents = numbered.select("doc_id", "title", "source_path", "doc_type", "department", "client_id", "uploaded_by", F.lit(True).alias("is_active"), F.lit(False).alias("is_approved"), F.lit(1).alias("version"))
     chunks = cut.join(numbered.select("source_path", "doc_id", "department", "client_id"), "source_path").withColumn("content_hash", T.content_hash("content"))
     fresh = chunks.groupBy("content_hash").agg(F.min_by(F.struct(*[c for c in chunks.columns if c != "content_hash"]), F.struct("doc_id", "chunk_no")).alias("_r")).select("content_hash", "_r.*")
     if known_hashes is not None:
         fresh = fresh.join(known_hashes.select("content_hash").distinct(), "content_hash", "left_anti")
-    text = F.pandas_udf(lambda texts: texts.map(harvest.summary), "string")
+    text = arrow(harvest.summary, "string")
     fresh = fresh.select("doc_id", "chunk_no", "content", "content_hash", "section", "chunk_type", "page_number", "department", "client_id", text("content").alias("summary"), F.lit(True).alias("is_active"), F.lit(False).alias("is_approved"))
     if config.embed:
         fresh = fresh.withColumn("embedding", embedded("content", config, "search_document: "))
@@ -56,7 +58,7 @@ def ingest(files: DataFrame, dictionary: DataFrame, known_hashes: DataFrame | No
     return Ingested(documents, fresh, edges, found.groupBy("alias").agg(F.min_by("canonical", F.struct("doc_id", "canonical")).alias("canonical"), F.min("doc_id").alias("document_id")))
 
 
-def _numbered(df: DataFrame, order: str, name: str, first: int) -> DataFrame:
+def numbered(df: DataFrame, order: str, name: str, first: int) -> DataFrame:
     """Ids in the order of a column, from counts per range partition: no task sees all rows."""
     ranged = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id())
     w = Window.partitionBy("_p").orderBy(order)
@@ -67,7 +69,12 @@ def _numbered(df: DataFrame, order: str, name: str, first: int) -> DataFrame:
 def embedded(text: str, config: EngineConfig, prefix: str) -> Column:
     """Vectors of texts by ``config.embed``, a batch at a time, each text behind a prefix."""
     embed = config.embed
-    return F.pandas_udf(lambda texts: __import__("pandas").Series([list(map(float, v)) for v in embed([prefix + (t or "") for t in texts])]), "array<float>")(text)
+
+    @F.pandas_udf("array<float>")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([[float(x) for x in v] for v in embed([prefix + (t or "") for t in texts])])
+
+    return run(text)
 
 
 def sink(rows: DataFrame, path: str, key: list[str] | None = None, order: list[str] | None = None) -> DataFrame:

@@ -72,3 +72,12 @@ def upload_error(filename: str, size: str, suffixes: list[str], limit: int) -> C
         F.when(F.coalesce(F.trim(filename), F.lit("")) == "", "empty name").when(F.col(filename).rlike(r"[/\\]|\.\."), "path in name")
         .when(~suffix.isin(suffixes), "suffix not allowed").when(F.col(size) > limit, "too large").when(F.col(size) <= 0, "empty file")
     )
+
+
+LADDER = ("client", "processor", "admin", "super_admin")
+
+
+def at_least(role: str, least: str) -> Column:
+    """Whether a role stands at ``least`` or higher on the ladder; clients and unknown roles never do."""
+    ladder = F.array(*[F.lit(r) for r in LADDER])
+    return F.coalesce((F.array_position(ladder, F.col(role)) >= LADDER.index(least) + 1) & (F.col(role) != LADDER[0]), F.lit(False))

@@ -67,10 +67,12 @@ def sub_questions(spark, sf_dir):
 
     @F.pandas_udf("array<string>")
     def split(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: dialogue.split_questions(t, most=DEFAULT.max_sub_queries)[0])
+        return texts.map(lambda t: dialogue.split_questions(t, most=10**9)[0])
 
     q = table(spark, sf_dir, "audit_log").where("query is not null").select("query").distinct()
-    return q.select("query", F.posexplode(split(T.normalize("query"))).alias("sub_no", "sub_query"))
+    parts = q.select("query", split(T.normalize("query")).alias("parts"))
+    most = DEFAULT.max_sub_queries
+    return parts.select("query", (F.size("parts") > most).alias("truncated"), F.posexplode(F.slice("parts", 1, most)).alias("sub_no", "sub_query"))  # the feature: so many parts, and whether there were more
 
 
 @query()
