@@ -50,6 +50,11 @@ def p2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.neighbours(table(spark, sf_dir, "document_chunks"), "id", "embedding")
 
 
+def p2_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The forest against brute force, for every id divisible by 50."""
+    return vectors.recall(table(spark, sf_dir, "document_chunks"), "id", "embedding")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_pairs(table(spark, sf_dir, "document_chunks"), "id", "content")
 
@@ -106,7 +111,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    found = [p1_found, p1_redacted, p2_found, p2_neighbours, p3_found, p3_ranking, p4_found, p4_clean, p5_found, p5_pieces, p6_found, p6_groups, p7_found, p7_repaired, p8_ids, p9_pack, p10_found, p10_repetition]
+    found = [p1_found, p1_redacted, p2_found, p2_neighbours, p2_recall, p3_found, p3_ranking, p4_found, p4_clean, p5_found, p5_pieces, p6_found, p6_groups, p7_found, p7_repaired, p8_ids, p9_pack, p10_found, p10_repetition]
     return {f.__name__: f for f in found}
 
 

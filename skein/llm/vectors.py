@@ -2,17 +2,18 @@
 
 Each of several trees turns a vector into a long string of hash digits (a digit is the signed
 axis of a random rotation on which the vector is longest) and keeps all strings in one sorted
-array.  A vector's neighbours in that array are those with the longest common prefix; going
-outwards shortens the prefix, by as many candidates in every tree, so the trees ascend in step.
-The prefix length adapts to the data's density.  Where more rows than a window holds share a whole
-string (near-copies of one vector), they are ordered by a second string, that of the vector less
-its group's centre; ties of both are broken by a salt that differs from tree to tree.  Windows end
-at the ends of range partitions, which fall elsewhere in each tree.
-
-The sorted array of a tree is a range-partitioned table.  Vectors travel once per tree as 16-bit
-integers (their cosines are off by about 0.000004), blocks of the array are multiplied as
-matrices, and only each block's best pairs leave the task.  Equal directions are one class
-throughout, so a vector that a third of all rows share costs one row.
+array.  A search descends bit by bit to the longest prefix that at least ``LEAST`` rows share with the
+vector's string, in every tree, and takes the rows of that prefix: its length varies with the data's
+density.  Where a vector's own branch is smaller than that, the search ascends one step, in all trees
+alike: the candidates are the branch and the rows of the sister branch next to it.  Where more rows
+share a whole string (near-copies of one vector), a second string goes on, that of the vector less
+its group's centre; ties of both are broken by a salt that differs from tree to tree.
+
+The sorted array of a tree is cut into ranges at a sample of its strings; each range also gets the rows
+next to its ends (a halo), so a vector at an end has neighbours on both sides.  Vectors travel about
+once per tree as 16-bit integers (their cosines are off by about 0.000004), blocks of the array are
+multiplied as matrices, and only each block's best pairs leave the task.  Equal directions are one
+class throughout, so a vector that a third of all rows share costs one row.
 """
 
 from __future__ import annotations
@@ -33,12 +34,17 @@ SCALE = 32767
 DIGIT_DIMS = (64, 64, 32, 32, 32, 32)
 #: Bits of a whole string; with the tree's number (6 bits) and a salt they fill 63 bits.
 KEY_BITS = 38
-ROWS_PER_PARTITION = 32768
+#: Candidates a tree gives a vector: as many or more, and less than twice as many.
+LEAST = 5120
+#: Rows of a range, of a cell between two sampled strings, and cells of a halo.
+ROWS_PER_RANGE, ROWS_PER_CELL, HALO = 32768, 512, 10
 BLOCK = 512
 #: A hot group's centre is the mean of about so many of its rows.
 CENTRE_ROWS = 256
 #: Bits of the salt behind a second string.
 FINE_SALT_BITS = 25
+#: Bits of the salt behind a first string.
+SALT_BITS = 57 - KEY_BITS
 
 
 def _unit_rows(column: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
@@ -94,12 +100,12 @@ def _with_strings(reps: DataFrame, spins: list[list[np.ndarray]], dims: int) ->
     return reps.mapInArrow(run, "cid bigint, q binary, keys array<bigint>")
 
 
-def _block_pairs(ids: np.ndarray, unit: np.ndarray, first: int, last: int, width: int, k: int, min_cos: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The best ``k`` of ``2 * width`` sorted neighbours of rows first..last, as pairs a < b."""
-    lo, hi = max(0, first - width), min(len(ids), last + width)
+def _block_pairs(ids: np.ndarray, unit: np.ndarray, first: int, last: int, lo: int, hi: int, k: int, min_cos: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The best ``k`` of rows lo..hi for each of rows first..last, as pairs a < b."""
     cos = unit[first:last] @ unit[lo:hi].T
-    rows = np.arange(last - first)
-    cos[rows, rows + first - lo] = -2
+    rows = np.arange(first, last)
+    inside = (rows >= lo) & (rows < hi)
+    cos[np.flatnonzero(inside), rows[inside] - lo] = -2
     k = min(k, hi - lo - 1)
     if k < 1:
         return (np.empty(0, np.int64),) * 2 + (np.empty(0, np.float32),)
@@ -110,15 +116,45 @@ def _block_pairs(ids: np.ndarray, unit: np.ndarray, first: int, last: int, width
     return np.minimum(a, b), np.maximum(a, b), value[keep]
 
 
-def _ordered(strings: DataFrame, dims: int, width: int, trees: int, seed: int) -> DataFrame:
+def prefix_windows(key: np.ndarray, fine: np.ndarray, least: int = LEAST) -> list[tuple[int, int, int, int]]:
+    """(first, last, lo, hi): rows first..last of one tree's sorted strings take rows lo..hi as candidates.
+
+    Descends from the whole array while both branches of the next bit hold ``least`` rows.
+    """
+    found, stack = [], [(0, len(key), 0)]
+    while stack:
+        lo, hi, depth = stack.pop()
+        mid = lo
+        while hi - lo >= 2 * least and depth < 2 * KEY_BITS:
+            part, shift = (key, SALT_BITS + KEY_BITS - 1 - depth) if depth < KEY_BITS else (fine, FINE_SALT_BITS + 2 * KEY_BITS - 1 - depth)
+            mid = lo + int(np.searchsorted((part[lo:hi] >> shift) & 1, 1))
+            depth += 1
+            if lo < mid < hi:
+                break
+            mid = lo
+        if mid == lo:
+            if hi - lo < 2 * least:
+                found.append((lo, hi, lo, hi))
+            else:  # more rows than that share both strings: the nearest by their salts
+                found += [(i, min(hi, i + BLOCK), max(lo, i - least // 2), min(hi, i + BLOCK + least // 2)) for i in range(lo, hi, BLOCK)]
+        else:
+            for start, stop, near in ((lo, mid, (lo, min(hi, lo + least))), (mid, hi, (max(lo, hi - least), hi))):
+                if stop - start < least:
+                    found.append((start, stop, *near))
+                else:
+                    stack.append((start, stop, depth))
+    return found
+
+
+def _ordered(strings: DataFrame, dims: int, least: int, trees: int, seed: int) -> DataFrame:
     """``cid`` and ``q`` once a tree with the sort keys ``key``: the tree, the string, and a salt that
     lets ranges cut between equal strings; and ``fine``: in hot groups, in place of that salt, the
     string of the vector less the group's centre and a salt, else 0."""
     place = F.posexplode("keys").alias("tree", "key")
-    spread = strings.select("cid", "q", place).select("cid", "q", "tree", F.shiftleft(F.col("tree").cast("bigint"), 57).bitwiseOR(F.shiftleft("key", 57 - KEY_BITS)).alias("at"))
+    spread = strings.select("cid", "q", place).select("cid", "q", "tree", F.shiftleft(F.col("tree").cast("bigint"), 57).bitwiseOR(F.shiftleft("key", SALT_BITS)).alias("at"))
     salt = lambda bits: F.pmod(F.xxhash64("cid", "tree"), F.lit(1 << bits))
-    plain = lambda df: df.select("cid", "q", F.col("at").bitwiseOR(salt(57 - KEY_BITS)).alias("key"), F.lit(0).cast("bigint").alias("fine"))
-    hot = settle(spread.groupBy("at").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > width), "hot")
+    plain = lambda df: df.select("cid", "q", F.col("at").bitwiseOR(salt(SALT_BITS)).alias("key"), F.lit(0).cast("bigint").alias("fine"))
+    hot = settle(spread.groupBy("at").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least), "hot")
     if hot.isEmpty():
         return plain(spread)
 
@@ -144,45 +180,82 @@ def _ordered(strings: DataFrame, dims: int, width: int, trees: int, seed: int) -
     return plain(spread.join(centres, "at", "left_anti")).unionByName(dense)
 
 
-def candidate_pairs(strings: DataFrame, dims: int, width: int, k: int, min_cos: float, seed: int = 2025) -> DataFrame:
+def _cells(keys: np.ndarray, fines: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Between which two of the sorted (key, fine) bounds each row lies."""
+    cell = np.searchsorted(bounds[:, 0], keys, side="left")
+    last = np.searchsorted(bounds[:, 0], keys, side="right")
+    for key in np.unique(keys[last > cell]):  # strings that are bounds themselves
+        at = keys == key
+        own = bounds[bounds[:, 0] == key, 1]
+        cell[at] += np.searchsorted(own, fines[at], side="right")
+    return cell
+
+
+def _ranges(spread: DataFrame, least: int) -> tuple[DataFrame, int]:
+    """``spread`` with ``range`` and whether it is the row's ``own``, and how many ranges there are.
+
+    The bounds are a sample of a fixed share of the strings, 16 bytes for ``ROWS_PER_CELL`` rows.
+    """
+    some = spread.where(F.pmod(F.xxhash64("cid", "key", F.lit(5)), F.lit(ROWS_PER_CELL)) == 0).select("key", "fine").toPandas().to_numpy(dtype=np.int64).reshape(-1, 2)
+    bounds = some[np.lexsort((some[:, 1], some[:, 0]))]
+    wide, halo = ROWS_PER_RANGE // ROWS_PER_CELL, -(-least // ROWS_PER_CELL) if least != LEAST else HALO
+    ranges = max(1, len(bounds) // wide)
+
+    @F.pandas_udf("array<int>")
+    def places(keys: pd.Series, fines: pd.Series) -> pd.Series:
+        """2 * range, and 1 more for the row's own one."""
+        cell = _cells(keys.to_numpy(), fines.to_numpy(), bounds)
+        own = np.minimum(cell // wide, ranges - 1)
+        found = [[2 * int(x) + 1] for x in own]
+        for i in np.flatnonzero((cell - own * wide < halo) & (own > 0)):
+            found[i].append(2 * int(own[i]) - 2)
+        for i in np.flatnonzero(((own + 1) * wide - cell <= halo) & (own < ranges - 1)):
+            found[i].append(2 * int(own[i]) + 2)
+        return pd.Series(found)
+
+    placed = spread.select("cid", "q", "key", "fine", F.explode(places("key", "fine")).alias("p"))
+    return placed.select("cid", "q", "key", "fine", F.floor(F.col("p") / 2).cast("int").alias("range"), (F.col("p") % 2 == 1).alias("own")), ranges
+
+
+def candidate_pairs(strings: DataFrame, dims: int, least: int, k: int, min_cos: float, seed: int = 2025) -> DataFrame:
     """Pairs of classes that are close in some tree: ``a``, ``b`` and ``cosine``."""
-    count = strings.count()
     per_row = strings.select(F.size("keys")).first()
-    spread = _ordered(strings, dims, width, per_row[0] if per_row else 1, seed)
-    partitions = max(1, -(-count * (per_row[0] if per_row else 1) // ROWS_PER_PARTITION))
+    placed, ranges = _ranges(_ordered(strings, dims, least, per_row[0] if per_row else 1, seed), least)
+
+    def pairs_of(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        ids, key, fine, own = (rows.column(i).to_numpy() for i in (1, 3, 4, 5))
+        unit = np.frombuffer(b"".join(rows.column(2).to_pylist()), dtype="<i2").reshape(-1, dims).astype(np.float32) / SCALE
+        mine = np.flatnonzero(own)
+        if not len(mine):
+            return
+        parts = []
+        tree = key >> 57
+        starts = np.flatnonzero(np.r_[True, tree[1:] != tree[:-1]])
+        for start, stop in zip(starts, [*starts[1:], len(key)]):
+            for first, last, lo, hi in prefix_windows(key[start:stop], fine[start:stop], least):
+                first, last = max(first + start, mine[0]), min(last + start, mine[-1] + 1)
+                parts += [_block_pairs(ids, unit, i, min(i + BLOCK, last), lo + start, hi + start, k, min_cos) for i in range(first, last, BLOCK)]
+        a, b, c = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((b, a))
+        a, b, c = a[order], b[order], c[order]
+        new = np.ones(len(a), dtype=bool)
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        yield pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new]), pa.array(c[new])], names=["a", "b", "cosine"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs_of(ids, unit, first, last):
-            parts = [_block_pairs(ids, unit, i, min(i + BLOCK, last), width, k, min_cos) for i in range(first, last, BLOCK)]
-            a, b, c = (np.concatenate(x) for x in zip(*parts))
-            order = np.lexsort((b, a))
-            a, b, c = a[order], b[order], c[order]
-            new = np.ones(len(a), dtype=bool)
-            new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-            return pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new]), pa.array(c[new])], names=["a", "b", "cosine"])
-
-        ids, unit, done, tree = np.empty(0, np.int64), np.empty((0, dims), np.float32), 0, None
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            of = batch.column(0).to_numpy() >> 57
+            of = batch.column(0).to_numpy()
             for start in np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else ():
                 stop = start + int(np.searchsorted(of[start:], of[start], side="right"))
-                if tree is not None and of[start] != tree:
-                    if len(ids) > done:
-                        yield pairs_of(ids, unit, done, len(ids))
-                    ids, unit, done = ids[:0], unit[:0], 0
-                tree = of[start]
-                part = batch.slice(int(start), stop - int(start))
-                more = np.frombuffer(b"".join(part.column(2).to_pylist()), dtype="<i2").reshape(-1, dims).astype(np.float32) / SCALE
-                ids, unit = np.concatenate([ids, part.column(1).to_numpy()]), np.concatenate([unit, more])
-            ready = len(ids) - width
-            if ready - done >= 4 * BLOCK:
-                yield pairs_of(ids, unit, done, ready)
-                cut = max(0, ready - width)
-                ids, unit, done = ids[cut:], unit[cut:], ready - cut
-        if len(ids) > done:
-            yield pairs_of(ids, unit, done, len(ids))
-
-    sorted_arrays = spread.repartitionByRange(partitions, "key", "fine").sortWithinPartitions("key", "fine").select("key", "cid", "q")
+                if held and held[-1].column(0)[0].as_py() != of[start]:
+                    yield from pairs_of(pa.Table.from_batches(held))
+                    held = []
+                held.append(batch.slice(int(start), stop - int(start)))
+        if held:
+            yield from pairs_of(pa.Table.from_batches(held))
+
+    sorted_arrays = placed.repartitionByRange(ranges, "range").sortWithinPartitions("range", "key", "fine").select("range", "cid", "q", "key", "fine", "own")
     return sorted_arrays.mapInArrow(run, "a bigint, b bigint, cosine float").groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
 
 
@@ -194,19 +267,19 @@ def _classes(df: DataFrame, id_col: str, vec_col: str, dims: int) -> tuple[DataF
     return members, reps.select("cid", "q")
 
 
-def neighbours(df: DataFrame, id_col: str, vec_col: str, k: int = 10, dims: int = 64, trees: int = 6, width: int = 4096, min_cos: float = -2.0, seed: int = 2024) -> DataFrame:
+def neighbours(df: DataFrame, id_col: str, vec_col: str, k: int = 10, dims: int = 64, trees: int = 6, least: int = LEAST, min_cos: float = -2.0, seed: int = 2024) -> DataFrame:
     """``id``, ``neighbour``, ``cosine``, ``rank``: up to ``k`` rows for each usable vector.
 
     Equal cosines rank the smaller id first.  Vectors that are null, of another length, all
     zero or not finite, or hold a null, take no part, nor do rows with a null id; repeated rows
     count once; other columns are not read.  Several ids with one direction are neighbours at
-    cosine 1.  ``min_cos`` leaves out pairs below it.  ``width`` and ``trees`` are the search
+    cosine 1.  ``min_cos`` leaves out pairs below it.  ``least`` and ``trees`` are the search
     effort; the recall they give is measured by :func:`exact_neighbours`.
     """
     members, reps = _classes(df, id_col, vec_col, dims)
     members = settle(members, "members")
     strings = settle(_with_strings(reps, rotations(dims, trees, seed), dims), "strings")
-    pairs = candidate_pairs(strings, dims, width, k, min_cos)
+    pairs = candidate_pairs(strings, dims, least, k, min_cos)
     ways = F.explode(F.array(F.struct(F.col("a").alias("cid"), F.col("b").alias("other")), F.struct(F.col("b").alias("cid"), F.col("a").alias("other")))).alias("way")
     both = pairs.select(ways, "cosine").select("way.cid", "way.other", "cosine")  # not a union, which would run the forest twice
     near = both.withColumn("r", F.row_number().over(Window.partitionBy("cid").orderBy(F.desc("cosine"), "other"))).where(F.col("r") <= k).drop("r")
@@ -265,3 +338,13 @@ def similar_pairs(df: DataFrame, id_col: str, vec_col: str, k: int = 10, min_cos
     """Distinct ``id_a`` < ``id_b`` of which one is among the ``k`` nearest of the other."""
     near = neighbours(df, id_col, vec_col, k=k, min_cos=min_cos, **search)
     return near.where(F.col("cosine") >= min_cos).select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
+
+
+def recall(df: DataFrame, id_col: str, vec_col: str, k: int = 10, every: int = 50, **search) -> DataFrame:
+    """One row: ``queries`` (ids divisible by ``every``), ``wanted`` neighbours and the share ``recall`` of them that
+    the forest finds, or others as near (equal cosines are equally right)."""
+    exact = settle(exact_neighbours(df, id_col, vec_col, k, every=every), "exact").groupBy("id").agg(F.count(F.lit(1)).alias("wanted"), F.min("cosine").alias("floor"))
+    got = neighbours(df, id_col, vec_col, k=k, **search).where(F.pmod("id", F.lit(every)) == 0)
+    hits = exact.join(got, "id", "left").where(F.col("cosine") >= F.col("floor") - 1e-5).groupBy("id").agg(F.count(F.lit(1)).alias("hits"))
+    both = exact.join(hits, "id", "left")
+    return both.agg(F.count(F.lit(1)).alias("queries"), F.sum("wanted").alias("wanted"), F.round(F.sum(F.least(F.coalesce("hits", F.lit(0)), "wanted")) / F.sum("wanted"), 4).alias("recall"))

@@ -16,7 +16,7 @@ def test_forest_recall(spark):
     rows = [(i, [float(v) for v in x[i]], "e") for i in range(800)] + [(900, None, "e"), (901, [0.0] * 64, "e"), (902, [1.0, 2.0], "e"), (903, x[0].tolist(), "e"), (904, x[0].tolist(), "e"), (0, [float(v) for v in x[0]], "e")]
     df = spark.createDataFrame(rows, "id bigint, embedding array<double>, cosine string")
     got = {}
-    for r in vectors.neighbours(df, "id", "embedding", width=64).collect():
+    for r in vectors.neighbours(df, "id", "embedding", least=128).collect():
         got.setdefault(r["id"], []).append((r["rank"], r["neighbour"]))
     assert not {900, 901, 902} & set(got)
     assert [n for _, n in sorted(got[903])][:2] == [0, 904] and [n for _, n in sorted(got[0])][:2] == [903, 904]
