@@ -37,7 +37,7 @@ KEY_BITS = 38
 #: Candidates a tree gives a vector: as many or more, and less than twice as many.
 LEAST = 5120
 #: Rows of a range, of a cell between two sampled strings, and cells of a halo.
-ROWS_PER_RANGE, ROWS_PER_CELL, HALO = 32768, 512, 10
+ROWS_PER_RANGE, ROWS_PER_CELL, HALO = 65536, 512, 5
 BLOCK = 512
 #: A hot group's centre is the mean of about so many of its rows.
 CENTRE_ROWS = 256
@@ -198,7 +198,7 @@ def _ranges(spread: DataFrame, least: int) -> tuple[DataFrame, int]:
     """
     some = spread.where(F.pmod(F.xxhash64("cid", "key", F.lit(5)), F.lit(ROWS_PER_CELL)) == 0).select("key", "fine").toPandas().to_numpy(dtype=np.int64).reshape(-1, 2)
     bounds = some[np.lexsort((some[:, 1], some[:, 0]))]
-    wide, halo = ROWS_PER_RANGE // ROWS_PER_CELL, -(-least // ROWS_PER_CELL) if least != LEAST else HALO
+    wide, halo = ROWS_PER_RANGE // ROWS_PER_CELL, HALO
     ranges = max(1, len(bounds) // wide)
 
     @F.pandas_udf("array<int>")
@@ -263,7 +263,7 @@ def _classes(df: DataFrame, id_col: str, vec_col: str, dims: int) -> tuple[DataF
     """All usable rows with their class, and one row for each class with its vector."""
     rows = settle(quantised(df, id_col, vec_col, dims), "unit")
     reps = settle(rows.groupBy("same").agg(F.min("id").alias("cid"), F.first("q").alias("q")), "reps")
-    members = rows.select("id", "same").join(reps.select("same", "cid"), "same").select("id", "cid").distinct()
+    members = rows.select("id", "same").join(reps.select("same", "cid").hint("merge"), "same").select("id", "cid").distinct()
     return members, reps.select("cid", "q")
 
 
@@ -287,13 +287,14 @@ def neighbours(df: DataFrame, id_col: str, vec_col: str, k: int = 10, dims: int
 
 
 def _to_ids(near: DataFrame, members: DataFrame, k: int) -> DataFrame:
-    """From neighbouring classes to neighbouring ids."""
+    """From neighbouring classes to neighbouring ids.  Both sides of its joins grow with the data, so they are
+    merge joins at every size."""
     first = members.withColumn("r", F.row_number().over(Window.partitionBy("cid").orderBy("id"))).where(F.col("r") <= k + 1)
     heads = first.groupBy("cid").agg(F.sort_array(F.collect_list("id")).alias("heads"))  # at most k + 1 ids
     shared = heads.where(F.size("heads") > 1).select("cid", F.col("cid").alias("other"), F.lit(1.0).cast("float").alias("cosine"))
     options = (
         near.unionByName(shared)
-        .join(heads.withColumnRenamed("cid", "other"), "other")
+        .join(heads.withColumnRenamed("cid", "other").hint("merge"), "other")
         .select("cid", "cosine", F.explode("heads").alias("neighbour"))
         .withColumn("r", F.row_number().over(Window.partitionBy("cid").orderBy(F.desc("cosine"), "neighbour")))
         .where(F.col("r") <= k + 1)
@@ -301,7 +302,7 @@ def _to_ids(near: DataFrame, members: DataFrame, k: int) -> DataFrame:
         .agg(F.sort_array(F.collect_list(F.struct("r", "neighbour", "cosine"))).alias("found"))  # at most k + 1 structs
     )
     own = F.slice(F.filter("found", lambda x: x["neighbour"] != F.col("id")), 1, k)
-    return members.join(options, "cid").select("id", F.posexplode(own).alias("at", "x")).select("id", F.col("x.neighbour").alias("neighbour"), F.col("x.cosine").cast("double").alias("cosine"), (F.col("at") + 1).alias("rank"))
+    return members.join(options.hint("merge"), "cid").select("id", F.posexplode(own).alias("at", "x")).select("id", F.col("x.neighbour").alias("neighbour"), F.col("x.cosine").cast("double").alias("cosine"), (F.col("at") + 1).alias("rank"))
 
 
 def exact_neighbours(df: DataFrame, id_col: str, vec_col: str, k: int = 10, dims: int = 64, every: int = 50) -> DataFrame:
