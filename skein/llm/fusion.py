@@ -15,7 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ACCURACY = 100_000
+#: In a group of more rows a median may be off by one rank for every million rows.
+ACCURACY = 1_000_000
 #: A value's share of the logistic scale per robust standard deviation.
 SLOPE = 1.0
 #: What a row gets in a lane that did not return it, as a share of the lane's least value.

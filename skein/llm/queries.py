@@ -115,5 +115,21 @@ def queries():
     return {f.__name__: f for f in found}
 
 
+P3_SQL = """WITH o AS (SELECT query_id, sub_no, chunk_id, max(bm25_score) AS b, max(vec_score) AS v, max(rrf_score) AS r FROM search_candidates GROUP BY ALL),
+l AS (SELECT query_id, sub_no, chunk_id, unnest([{'lane': 1, 'x': b}, {'lane': 2, 'x': v}, {'lane': 3, 'x': r}], recursive := true) FROM o),
+c AS (SELECT *, x - quantile_disc(x, 0.5) OVER w AS t FROM l WINDOW w AS (PARTITION BY query_id, sub_no, lane)),
+s AS (SELECT *, quantile_disc(abs(t), 0.5) OVER w AS d, avg(abs(t)) OVER w AS a, min(t) OVER w AS least FROM c WINDOW w AS (PARTITION BY query_id, sub_no, lane)),
+z AS (SELECT *, CASE WHEN d > 0 THEN d * 1.4826 ELSE a * 1.2533 END AS scale FROM s),
+y AS (SELECT query_id, sub_no, chunk_id, CASE WHEN coalesce(scale, 0) <= 0 THEN CASE WHEN t IS NOT NULL OR least IS NULL THEN 0.5 ELSE 0.25 END WHEN t IS NOT NULL THEN 1 / (1 + exp(-greatest(least(t / scale, 30), -30))) ELSE 0.5 / (1 + exp(-greatest(least(least / scale, 30), -30))) END AS value FROM z),
+f AS (SELECT query_id, sub_no, chunk_id, round(exp(sum(ln(value)) / 3), 12) AS score FROM y GROUP BY ALL)
+SELECT query_id, sub_no, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id, sub_no ORDER BY score DESC, chunk_id) AS place FROM f) WHERE place <= 3"""
+P6_SQL = """WITH w AS (SELECT DISTINCT id, regexp_extract_all(lower(content), '[\\p{L}\\p{N}]+') AS w FROM document_chunks WHERE content IS NOT NULL),
+g AS (SELECT id, list_distinct(list_transform(generate_series(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM w WHERE len(w) >= 40),
+s AS (SELECT id, len(g) AS n, unnest(g) AS s FROM g),
+p AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb FROM s a JOIN s b ON a.s = b.s AND a.id < b.id GROUP BY ALL)
+SELECT id_a, id_b FROM p WHERE c >= 0.6::DOUBLE * (na + nb - c)"""
+
+
 def oracle_sql():
-    return {}
+    """For what SQL can say; the others are compared with brute force in the tests."""
+    return {"p3_found": P3_SQL, "p5_found": "SELECT DISTINCT id FROM document_chunks WHERE length(content) > 1500", "p6_found": P6_SQL}
