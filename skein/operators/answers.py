@@ -78,12 +78,15 @@ def cache_key(**parts: Column) -> Column:
     return F.sha2(F.to_json(F.struct(*[parts[k].alias(k) for k in sorted(parts)])), 256)
 
 
-def has_answer(questions: DataFrame, corpus: DataFrame, phrase: str, content: str) -> DataFrame:
-    """Questions (a bounded batch) of which some text holds the phrase."""
-    batch = questions.agg(F.collect_list(F.struct("query_id", phrase)).alias("batch"))
-    met = corpus.select(F.lower(F.col(content)).alias("t")).where("t is not null").join(batch, F.lit(True))
-    hits = met.select(F.explode(F.transform(F.filter("batch", lambda q: F.contains(F.col("t"), F.lower(q[phrase]))), lambda q: q["query_id"])).alias("query_id")).distinct()
-    return questions.join(hits, "query_id", "left_semi")
+def has_answer(questions: DataFrame, corpus: DataFrame, phrase: str, content: str, most: int = 1000) -> DataFrame:
+    """Questions (at most ``most``, checked) of which some text holds the phrase."""
+    rows = questions.select("query_id", F.lower(phrase).alias("p")).where("p is not null").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} questions: ask in parts")
+    low = F.lower(F.col(content))
+    hits = [F.when(F.contains(low, F.lit(r["p"])), F.lit(r["query_id"])) for r in rows]
+    found = corpus.where(F.col(content).isNotNull()).select(F.explode(F.filter(F.array(*hits), lambda x: x.isNotNull())).alias("query_id")).distinct() if hits else questions.limit(0)
+    return questions.join(found.select("query_id"), "query_id", "left_semi")
 
 
 def primary(blocks: Column | str) -> Column:

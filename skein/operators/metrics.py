@@ -10,27 +10,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def per_query(queries: DataFrame, ranking: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
+def summary(queries: DataFrame, ranking: DataFrame, relevant: DataFrame, ks: list[int]) -> DataFrame:
+    """One row for each k: hit rate, MRR, mean precision, recall and nDCG; the ranking meets the judgements once."""
     gold = relevant.select("query_id", "chunk_id").distinct()
     size = gold.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
-    head = ranking.where(F.col("place") <= k)
-    hits = head.join(gold, ["query_id", "chunk_id"]).groupBy("query_id").agg(F.count(F.lit(1)).alias("h"), F.min("place").alias("first"), F.sum(1 / F.log2(F.col("place") + 1)).alias("dcg"))
-    base = queries.select("query_id").distinct().join(size, "query_id", "left").join(hits, "query_id", "left").fillna(0, ["n", "h"])
-    ideal = F.aggregate(F.sequence(F.lit(1), F.greatest(F.least("n", F.lit(k)), F.lit(1))), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1))
+    inside = lambda k, x: F.when(F.col("place") <= k, x)
+    sums = [c for k in ks for c in (F.count(inside(k, F.lit(1))).alias(f"h{k}"), F.min(inside(k, F.col("place"))).alias(f"f{k}"), F.sum(inside(k, 1 / F.log2(F.col("place") + 1))).alias(f"d{k}"))]
+    hits = ranking.where(F.col("place") <= max(ks)).join(gold, ["query_id", "chunk_id"]).groupBy("query_id").agg(*sums)
+    base = queries.select("query_id").distinct().join(size, "query_id", "left").join(hits, "query_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    spread = base.select("n", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.coalesce(f"h{k}", F.lit(0)).alias("h"), F.col(f"f{k}").alias("first"), F.coalesce(f"d{k}", F.lit(0.0)).alias("dcg")) for k in ks])).alias("x")).select("n", "x.*")
+    ideal = F.aggregate(F.sequence(F.lit(1), F.greatest(F.least("n", "k"), F.lit(1))), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1))
     none = F.col("n") == 0
-    return base.select(
-        "query_id", F.lit(k).alias("k"), F.when(none | (F.col("h") > 0), 1.0).otherwise(0.0).alias("hit"), F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("rr"),
-        (F.col("h") / k).alias("precision"), F.when(none, 1.0).otherwise(F.col("h") / F.col("n")).alias("recall"), F.when(~none, F.least(F.lit(1.0), F.coalesce("dcg", F.lit(0.0)) / ideal)).alias("ndcg"),
-    )
-
-
-def summary(queries: DataFrame, ranking: DataFrame, relevant: DataFrame, ks: list[int]) -> DataFrame:
-    """One row for each k: hit rate, MRR, mean precision, recall and nDCG."""
-    parts = [per_query(queries, ranking, relevant, k) for k in ks]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    return every.groupBy("k").agg(*[F.round(F.avg(c), 6).alias(c) for c in ("hit", "rr", "precision", "recall", "ndcg")])
+    own = {
+        "hit": F.when(none | (F.col("h") > 0), 1.0).otherwise(0.0), "rr": F.coalesce(1 / F.col("first"), F.lit(0.0)), "precision": F.col("h") / F.col("k"),
+        "recall": F.when(none, 1.0).otherwise(F.col("h") / F.col("n")), "ndcg": F.when(~none, F.least(F.lit(1.0), F.col("dcg") / ideal)),
+    }
+    return spread.groupBy("k").agg(*[F.round(F.avg(v), 6).alias(c) for c, v in own.items()])
 
 
 def average_precision(ranking: DataFrame, relevant: DataFrame) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,26 +39,87 @@ def cosine(a: Column | str, b: Column | str) -> Column:
     return F.when(F.size(a) == F.size(b), F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))))
 
 
-def vector_hits(questions: DataFrame, chunks: DataFrame, id_col: str, vec_col: str, floor: float | None = None) -> DataFrame:
+#: So many question variants go to all tasks at once; a larger batch is asked in parts.
+MOST_VARIANTS = 10_000
+#: A dictionary of at most so many aliases is looked up inside the row.
+MOST_ALIASES = 10_000
+
+
+def _variants(questions: DataFrame) -> tuple[list, np.ndarray, np.ndarray]:
+    """The questions' ids in order, the first row of each, and all unit vectors by question."""
+    rows = questions.select("query_id", "embedding").where("query_id is not null and embedding is not null").limit(MOST_VARIANTS + 1).collect()
+    if len(rows) > MOST_VARIANTS:
+        raise ValueError(f"more than {MOST_VARIANTS} question vectors: ask in parts")
+    rows = sorted((r for r in rows if any(r["embedding"])), key=lambda r: r["query_id"])
+    ids = [r["query_id"] for r in rows]
+    firsts = np.array([i for i, q in enumerate(ids) if not i or ids[i - 1] != q], dtype=np.int64)
+    unit = np.array([r["embedding"] for r in rows], dtype=np.float64)
+    return [ids[i] for i in firsts], firsts, unit / np.sqrt((unit**2).sum(axis=1))[:, None] if len(rows) else unit
+
+
+def _usable(column: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows with a vector of ``dims`` values that is not all zero, and these at unit length."""
+    good = np.flatnonzero(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False) == dims)
+    values = column.take(pa.array(good)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
+    norms = np.sqrt((values**2).sum(axis=1))
+    fit = norms > 0
+    return good[fit], values[fit] / norms[fit, None]
+
+
+def vector_hits(questions: DataFrame, chunks: DataFrame, id_col: str, vec_col: str, floor: float | None = None, top: int | None = None) -> DataFrame:
     """``query_id``, ``chunk_id``, ``vec``: the best cosine over a question's variants.
 
-    ``questions`` (``query_id``, ``embedding``) is a bounded batch of at most some thousand
-    variants, held in blocks as one array, against all chunks; the chunk table is read once and
-    not shuffled before the aggregation.
+    ``questions`` (``query_id``, ``embedding``) is a batch of checked size that all tasks get; the chunk
+    table is read once, in matrix blocks, and only pairs from ``floor`` on leave a task, or with ``top``
+    those that are among a block's best so many of a question (equal cosines all stay).
     """
-    batch = questions.agg(F.collect_list(F.struct("query_id", "embedding")).alias("batch"))
-    met = chunks.select(F.col(id_col).alias("chunk_id"), F.col(vec_col).alias("e")).where("e is not null").join(batch, F.lit(True))
-    hits = met.select("chunk_id", F.explode(F.transform("batch", lambda q: F.struct(q["query_id"].alias("query_id"), cosine("e", q["embedding"]).alias("vec")))).alias("x")).select("x.query_id", "chunk_id", "x.vec")
-    hits = hits.where("vec is not null")
-    if floor is not None:
-        hits = hits.where(F.col("vec") >= floor)
-    return hits.groupBy("query_id", "chunk_id").agg(F.max("vec").alias("vec"))
+    ids, firsts, unit = _variants(questions)
+    source = chunks.select(F.col(id_col).alias("chunk_id"), F.col(vec_col).cast("array<float>").alias("e")).where("e is not null")
+    kinds = f"query_id {questions.schema['query_id'].dataType.simpleString()}, chunk_id {source.schema['chunk_id'].dataType.simpleString()}, vec double"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches if ids else ():
+            rows, vectors = _usable(batch.column(1), unit.shape[1])
+            cos = np.maximum.reduceat(vectors @ unit.T, firsts, axis=1) if len(rows) else np.empty((0, len(ids)))
+            keep = cos >= (-2.0 if floor is None else floor)
+            if top is not None and len(rows) > top:
+                keep &= cos >= np.partition(cos, len(rows) - top, axis=0)[len(rows) - top] - 1e-9
+            at, q = np.nonzero(keep)
+            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q], pa.int64()), batch.column(0).take(pa.array(rows[at])), pa.array(cos[at, q])], names=["query_id", "chunk_id", "vec"])
+
+    return source.mapInArrow(run, kinds).groupBy("query_id", "chunk_id").agg(F.max("vec").alias("vec"))
+
+
+def vector_scores(pairs: DataFrame, questions: DataFrame, chunks: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    """``vec`` of given (``query_id``, ``chunk_id``) pairs; pairs without a usable vector are left out."""
+    ids, firsts, unit = _variants(questions)
+    place = {q: i for i, q in enumerate(ids)}
+    held = pairs.select("query_id", "chunk_id").join(chunks.select(F.col(id_col).alias("chunk_id"), F.col(vec_col).cast("array<float>").alias("e")).where("e is not null"), "chunk_id").select("query_id", "chunk_id", "e")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches if ids else ():
+            rows, vectors = _usable(batch.column(2), unit.shape[1])
+            own = np.array([place.get(q, -1) for q in batch.column(0).take(pa.array(rows)).to_pylist()], dtype=np.int64)
+            asked = np.flatnonzero(own >= 0)
+            cos = np.maximum.reduceat(vectors[asked] @ unit.T, firsts, axis=1) if len(asked) else np.empty((0, len(ids)))
+            at = pa.array(rows[asked])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(cos[np.arange(len(asked)), own[asked]])], names=["query_id", "chunk_id", "vec"])
+
+    types = {f.name: f.dataType.simpleString() for f in held.schema}
+    return held.mapInArrow(run, f"query_id {types['query_id']}, chunk_id {types['chunk_id']}, vec double")
+
+
+def admitted_vectors(lex: DataFrame, questions: DataFrame, chunks: DataFrame, id_col: str, vec_col: str, config: EngineConfig = DEFAULT) -> DataFrame:
+    """Cosines of the pairs that a ranking can admit: from the floor on, and those of lexical hits."""
+    near = vector_hits(questions, chunks, id_col, vec_col, config.similarity_floor)
+    return near.unionByName(vector_scores(lex, questions, chunks, id_col, vec_col)).groupBy("query_id", "chunk_id").agg(F.max("vec").alias("vec"))
 
 
 def entity_edges(chunks: DataFrame, id_col: str, text_col: str, dictionary: DataFrame) -> DataFrame:
     """``chunk_id``, ``canonical`` where an alias occurs in the text as whole words.
 
-    N-grams of a chunk meet the dictionary by equality, so the dictionary may be any size.
+    Up to ``MOST_ALIASES`` aliases are looked up inside the row, so only hits leave it; the n-grams of a
+    chunk meet a larger dictionary by an equality join.
     """
     tokens = chunks.select(F.col(id_col).alias("chunk_id"), T.plain_tokens(text_col).alias("t"))
 
@@ -63,8 +128,15 @@ def entity_edges(chunks: DataFrame, id_col: str, text_col: str, dictionary: Data
         return F.transform(starts, lambda i: F.array_join(F.slice("t", i, n), " "))
 
     grams = [grams_of(n) for n in range(1, DEFAULT.alias_ngram + 1)]
-    spread = tokens.where(F.size("t") > 0).select("chunk_id", F.explode(F.array_distinct(F.concat(*grams))).alias("alias"))
     aliases = dictionary.select(F.array_join(T.plain_tokens("alias"), " ").alias("alias"), "canonical").where("alias <> ''").distinct()
+    known = aliases.limit(MOST_ALIASES + 1).collect()
+    if len(known) <= MOST_ALIASES:
+        names = sorted({r["alias"] for r in known}) or [""]
+        sizes = {n: [a for a in names if len(a.split()) == n] for n in range(1, DEFAULT.alias_ngram + 1)}
+        only = lambda g, own: F.filter(g, lambda x: x.isin(own))
+        grams = [only(g, own) for g, own in zip(grams, sizes.values()) if own]
+    hits = F.array_distinct(F.concat(*grams)) if grams else F.array().cast("array<string>")
+    spread = tokens.where(F.size("t") > 0).select("chunk_id", F.explode(hits).alias("alias"))
     return spread.join(aliases, "alias").select("chunk_id", "canonical").distinct()
 
 

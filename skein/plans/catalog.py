@@ -89,9 +89,8 @@ def _lex(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.lexical_hits(questions(spark), _chunks(spark, sf_dir).where("content is not null"), "id", "content")
 
 
-def _vec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    usable = _chunks(spark, sf_dir).where("size(embedding) = 64")
-    return retrieval.vector_hits(_examples(spark, sf_dir), usable, "id", "embedding")
+def _vec(spark: SparkSession, sf_dir: str, **limits) -> DataFrame:
+    return retrieval.vector_hits(_examples(spark, sf_dir), _chunks(spark, sf_dir), "id", "embedding", **limits)
 
 
 def _ent(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,7 +100,8 @@ def _ent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.hybrid_candidates(_lex(spark, sf_dir), _vec(spark, sf_dir), _ent(spark, sf_dir))
+    lex = _lex(spark, sf_dir)
+    return retrieval.hybrid_candidates(lex, retrieval.admitted_vectors(lex, _examples(spark, sf_dir), _chunks(spark, sf_dir), "id", "embedding"), _ent(spark, sf_dir))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,13 +127,13 @@ def lexical_rank(spark, sf_dir):
 
 @query(f"WITH {_VEC_SQL} SELECT query_id, chunk_id, round(vec, 6) AS vec FROM vec WHERE vec >= 0.65")
 def vector_threshold(spark, sf_dir):
-    return _vec(spark, sf_dir).where("vec >= 0.65").select("query_id", "chunk_id", F.round("vec", 6).alias("vec"))
+    return _vec(spark, sf_dir, floor=0.65).select("query_id", "chunk_id", F.round("vec", 6).alias("vec"))
 
 
 @query(f"WITH {_VEC_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(vec, 9) DESC, chunk_id) AS place FROM vec) SELECT query_id, chunk_id, place::INT AS place FROM r WHERE place <= 10")
 def vector_topk(spark, sf_dir):
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("vec", 9)), "chunk_id")
-    return _vec(spark, sf_dir).withColumn("place", F.row_number().over(w)).where("place <= 10").select("query_id", "chunk_id", "place")
+    return _vec(spark, sf_dir, top=10).withColumn("place", F.row_number().over(w)).where("place <= 10").select("query_id", "chunk_id", "place")
 
 
 _GRAMS = "list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9]+'), lambda w: w <> '')"
