@@ -43,9 +43,9 @@ def ingest(files: DataFrame, dictionary: DataFrame, known_hashes: DataFrame | No
     good = files.where("error is null").withColumn("_side", metadata.read_sidecar("sidecar"))
     docs = metadata.resolve(good, "path", "text", "_side").withColumnRenamed("path", "source_path")
     cut = chunking.chunk_table(docs, "source_path", "text", "pages", config.excerpt_chars // 2, config.chunk_min_tokens)
-    numbered = numbered(docs.join(cut.select("source_path").distinct(), "source_path", "left_semi"), "source_path", "doc_id", first_id)
-    documents = numbered.select("doc_id", "title", "source_path", "doc_type", "department", "client_id", "uploaded_by", F.lit(True).alias("is_active"), F.lit(False).alias("is_approved"), F.lit(1).alias("version"))
-    chunks = cut.join(numbered.select("source_path", "doc_id", "department", "client_id"), "source_path").withColumn("content_hash", T.content_hash("content"))
+    held = numbered(docs.join(cut.select("source_path").distinct(), "source_path", "left_semi"), "source_path", "doc_id", first_id)
+    documents = held.select("doc_id", "title", "source_path", "doc_type", "department", "client_id", "uploaded_by", F.lit(True).alias("is_active"), F.lit(False).alias("is_approved"), F.lit(1).alias("version"))
+    chunks = cut.join(held.select("source_path", "doc_id", "department", "client_id"), "source_path").withColumn("content_hash", T.content_hash("content"))
     fresh = chunks.groupBy("content_hash").agg(F.min_by(F.struct(*[c for c in chunks.columns if c != "content_hash"]), F.struct("doc_id", "chunk_no")).alias("_r")).select("content_hash", "_r.*")
     if known_hashes is not None:
         fresh = fresh.join(known_hashes.select("content_hash").distinct(), "content_hash", "left_anti")

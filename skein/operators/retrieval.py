@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -204,3 +205,17 @@ def rerank(ranked: DataFrame, scores: DataFrame, config: EngineConfig = DEFAULT)
     joined = ranked.join(scores, ["query_id", "chunk_id"], "left").withColumn("head", (F.col("place") <= config.rerank_head) & F.col("rerank_score").isNotNull())
     w = Window.partitionBy("query_id").orderBy(F.desc("head"), F.when(F.col("head"), -F.col("rerank_score")), "place")
     return joined.withColumn("place", F.row_number().over(w)).drop("head")
+
+
+def rerank_scores(pool: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
+    """``rerank_score`` by ``config.rerank`` (questions, contents -> scores) of each question's first
+    ``config.rerank_pool`` rows (``query_id``, ``chunk_id``, ``place``, ``question``, ``content``); no rows without a model."""
+    score = config.rerank
+    if score is None:
+        return pool.limit(0).select("query_id", "chunk_id", F.lit(None).cast("double").alias("rerank_score"))
+
+    @F.pandas_udf("double")
+    def run(asked: pd.Series, contents: pd.Series) -> pd.Series:
+        return pd.Series(score(list(asked), list(contents)), dtype="float64")
+
+    return pool.where(F.col("place") <= config.rerank_pool).select("query_id", "chunk_id", run("question", "content").alias("rerank_score"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT
 from ..functions import lexicon as L
 from ..functions import text as T
-from ..operators import gates, ingest, metrics, retrieval, scope, store
+from ..operators import gates, ingest, metrics, ordered, retrieval, scope, store
 from ..session import table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,8 +107,7 @@ def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A batch of questions end to end: lanes, fused ranks, confidence, routing, top evidence."""
     fused = _fused(spark, sf_dir)
-    best = 1 / (DEFAULT.rank_constant + 1) * (DEFAULT.lexical_weight + DEFAULT.vector_weight)
-    routed = fused.where(F.col("place") <= DEFAULT.evidence).withColumn("confidence", F.bround(F.least(F.lit(100.0), F.col("score") / best * 100), 1))
+    routed = fused.where(F.col("place") <= DEFAULT.evidence).withColumn("confidence", gates.confidence("score"))
     return routed.select("query_id", "chunk_id", "place", "score", "confidence", gates.route("confidence").alias("routing"))
 
 
@@ -331,7 +330,8 @@ def outcome_filter_counts(spark, sf_dir):
 @query("SELECT outcome, round(quantile_cont(latency_ms, 0.5), 6) AS p50, round(quantile_cont(latency_ms, 0.95), 6) AS p95, round(quantile_cont(latency_ms, 0.99), 6) AS p99 FROM (SELECT DISTINCT id, outcome, latency_ms FROM audit_log) GROUP BY 1")
 def latency_percentiles(spark, sf_dir):
     a = table(spark, sf_dir, "audit_log").select("id", "outcome", "latency_ms").distinct()
-    return a.groupBy("outcome").agg(*[F.round(F.percentile("latency_ms", p), 6).alias(f"p{int(p * 100)}") for p in (0.5, 0.95, 0.99)])
+    found = ordered.percentiles(a, "outcome", "latency_ms", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+    return found.select("outcome", *[F.round(c, 6).alias(c) for c in ("p50", "p95", "p99")])
 
 
 @query("SELECT rating, f.id, a.id AS audit_id FROM (SELECT DISTINCT id, response_id, rating FROM feedback) f JOIN (SELECT DISTINCT id, response_id FROM audit_log) a USING (response_id)")
@@ -365,7 +365,7 @@ def category_pass_rollup(spark, sf_dir):
 @query("SELECT user_id, event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 900 SECOND PRECEDING AND CURRENT ROW) AS in_window FROM events")
 def login_window_count(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("s", F.col("ts").cast("timestamp").cast("double"))
-    return e.select("user_id", "event_id", F.count(F.lit(1)).over(Window.partitionBy("user_id").orderBy("s").rangeBetween(-900, 0)).alias("in_window"))
+    return ordered.window_count(e.select("user_id", "event_id", "s"), "user_id", "s", 900, "in_window").drop("s")
 
 
 @query("SELECT date_trunc('day', created_at) AS day, count(*) AS n, count(DISTINCT user_id) AS users FROM audit_log GROUP BY 1")

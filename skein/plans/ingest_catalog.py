@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT
 from ..functions import dialogue
 from ..functions import text as T
+from ..functions.concepts import arrow
+from ..operators import ordered
 from ..session import settle, table
 from ..sources import chunking, harvest
 from ..streaming import ingest as streams
@@ -114,7 +115,16 @@ def query_entities(spark, sf_dir):
 @query("SELECT user_id, id, lag(query) OVER (PARTITION BY user_id ORDER BY created_at, id) AS previous FROM (SELECT DISTINCT id, user_id, query, created_at FROM audit_log WHERE user_id IS NOT NULL)")
 def previous_turn(spark, sf_dir):
     a = table(spark, sf_dir, "audit_log").where("user_id is not null").select("id", "user_id", "query", "created_at").distinct()
-    return a.select("user_id", "id", F.lag("query").over(Window.partitionBy("user_id").orderBy("created_at", "id")).alias("previous"))
+    return ordered.previous(a, "user_id", ["created_at", "id"], "query").select("user_id", "id", "previous")
+
+
+@query()
+def follow_ups(spark, sf_dir):
+    """Each user's questions with what refers to the question before replaced by its subject."""
+    a = table(spark, sf_dir, "audit_log").where("user_id is not null and query is not null").select("id", "user_id", "query", "created_at").distinct()
+    pairs = ordered.previous(a, "user_id", ["created_at", "id"], "query")
+    asked = pairs.select("id", "query", arrow(dialogue.subject_of, "string")(T.normalize("previous")).alias("subject"), arrow(dialogue.self_contained, "boolean")("query").alias("own"))
+    return asked.select("id", dialogue.follow_up("query", "subject", "own").alias("resolved"))
 
 
 @query()

@@ -180,3 +180,50 @@ def test_ingest(spark, tmp_path):
     table = str(tmp_path / "aliases")
     assert ingest.sink(found.aliases, table, ["alias"]).count() == 1 and ingest.sink(found.aliases, table, ["alias"]).count() in (0, 1)
     assert spark.read.parquet(table).count() == 1
+
+
+def test_rerank_model(spark):
+    from dataclasses import replace
+
+    from skein.config import DEFAULT
+    from skein.operators import retrieval
+
+    pool = spark.createDataFrame([(1, 10, 1, "fee", "no"), (1, 11, 2, "fee", "the fee"), (1, 12, 3, "fee", "fee fee")], "query_id bigint, chunk_id bigint, place int, question string, content string")
+    model = replace(DEFAULT, rerank=lambda asked, contents: [float(c.count(q)) for q, c in zip(asked, contents)], rerank_head=2)
+    order = [r["chunk_id"] for r in retrieval.rerank(pool.select("query_id", "chunk_id", "place"), retrieval.rerank_scores(pool, model), model).orderBy("place").collect()]
+    assert order == [11, 10, 12]
+    assert retrieval.rerank_scores(pool).count() == 0
+
+
+def test_ordered_operators(spark):
+    import random
+
+    from skein.operators import ordered
+
+    rng = random.Random(1)
+    rows = [(i, "hot" if rng.random() < 0.6 else rng.choice("ab"), float(rng.randrange(4000)), rng.random()) for i in range(600)]
+    df = spark.createDataFrame(rows, "id int, k string, s double, v double").repartition(5)
+    before, counts = {}, {}
+    for k in {r[1] for r in rows}:
+        own = sorted((r[2], r[0]) for r in rows if r[1] == k)
+        before.update({i: own[n - 1][1] if n else None for n, (_, i) in enumerate(own)})
+        counts.update({i: sum(s - 900 <= t <= s for t, _ in own) for s, i in own})
+    assert {r["id"]: r["previous"] for r in ordered.previous(df.withColumn("me", df["id"]), "k", ["s", "id"], "me").collect()} == before
+    assert {r["id"]: r["n"] for r in ordered.window_count(df, "k", "s", 900, "n").collect()} == counts
+    import numpy as np
+
+    for r in ordered.percentiles(df, "k", "v", {"p50": 0.5, "p99": 0.99}).collect():
+        own = [x[3] for x in rows if x[1] == r["k"]]
+        assert abs(r["p50"] - np.percentile(own, 50)) < 1e-9 and abs(r["p99"] - np.percentile(own, 99)) < 1e-9
+
+
+def test_vector_lane_blocks(spark):
+    from skein.operators import retrieval
+
+    chunks = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 2.0]), (3, None), (4, [0.0, 0.0]), (5, [1.0]), (6, [1.0, 1.0])], "id bigint, e array<float>")
+    asked = spark.createDataFrame([(7, [1.0, 0.0]), (7, [0.0, 1.0]), (8, [0.0, 1.0])], "query_id bigint, embedding array<float>")
+    got = {(r["query_id"], r["chunk_id"]): round(r["vec"], 3) for r in retrieval.vector_hits(asked, chunks, "id", "e").collect()}
+    assert got == {(7, 1): 1.0, (7, 2): 1.0, (7, 6): 0.707, (8, 1): 0.0, (8, 2): 1.0, (8, 6): 0.707}
+    lex = spark.createDataFrame([(8, 1), (8, 3), (9, 1)], "query_id bigint, chunk_id bigint")
+    assert {(r["query_id"], r["chunk_id"]): r["vec"] for r in retrieval.vector_scores(lex, asked, chunks, "id", "e").collect()} == {(8, 1): 0.0}
+    assert retrieval.vector_hits(asked.limit(0), chunks, "id", "e").count() == 0
