@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, EngineConfig
+from ..functions import concepts as C
+from ..functions import phrases
 from ..functions import text as T
 from . import gates
 
@@ -23,43 +25,27 @@ def body(content: Column | str) -> Column:
     return F.when(heads, rest).otherwise(joined)
 
 
-def answer_phrase(question: Column | str, content: Column | str, config: EngineConfig = DEFAULT) -> Column:
-    """The sentence that covers most of a question's terms; one with a number first if the
-    question has one; the earlier of equals.  Footers, questions and headings are no answers."""
-    parts = F.filter(F.split(body(content), r"(?<=[.!?])\s+|\n+"), lambda s: (F.length(T.strip(s)) > 0) & ~T.strip(s).rlike(r"(?i)^(?:source:|category:|note:|see\s)") & ~T.is_question(s) & ~T.is_short_heading(s))
-    terms, wants = T.content_terms(question), _col(question).rlike(r"\d")
-
-    def key(s: Column, i: Column) -> Column:
-        covered = F.size(F.filter(terms, lambda t: F.exists(T.stems(t), lambda x: F.contains(F.lower(s), x))))
-        return F.struct((wants & s.rlike(r"\d")).cast("int").alias("number"), covered.alias("covered"), (-i).alias("place"), s.alias("s"))
-
-    best = F.array_max(F.transform(parts, key))
-    return F.when(F.size(parts) > 0, T.truncate(T.strip(best["s"]), config.phrase_chars)).otherwise(F.lit(""))
-
-
-def table_row(question: Column | str, content: Column | str) -> Column:
-    """The data row of a piped table that covers most of a question's terms."""
-    rows = F.filter(F.split(_col(content), "\n"), lambda s: F.contains(s, F.lit("|")) & ~s.rlike(r"^[\s|:\-]+$"))
-    terms = T.content_terms(question)
-    key = lambda s, i: F.struct(F.size(F.filter(terms, lambda t: F.contains(F.lower(s), t))).alias("n"), (-i).alias("place"), s.alias("s"))
-    return F.when(F.size(rows) > 1, T.strip(F.array_max(F.transform(F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0))), key))["s"]))
-
-
 def package(evidence: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
-    """One row for each question: phrase, its chunk, confidence and routing.
+    """One row for each question: phrase, its chunk, confidence, routing and the excerpts shown.
 
     ``evidence``: ``query_id``, ``question``, ``chunk_id``, ``place``, ``chunk_type``, ``content``,
-    ``confidence`` and, if there is a reranker, ``rerank_score`` (null abstains).
+    ``confidence`` and, if there is a reranker, ``rerank_score`` (null abstains).  A question's first
+    ``config.evidence`` rows are its excerpts; gates follow in their fixed order: generic questions,
+    relevance, scope, veto, routing.
     """
-    rows = evidence.where(F.col("place") <= config.evidence)
-    rows = rows.withColumn("phrase", F.coalesce(F.when(F.col("chunk_type") == "table", table_row("question", "content")), answer_phrase("question", "content", config)))
-    rows = rows.withColumn("excerpt", T.truncate("content", config.excerpt_chars)).withColumn("relevance", F.round(T.relevance("question", "phrase"), 2))
-    order = [F.desc(T.starts_cleanly("content")), F.desc(F.col("phrase") != ""), F.desc("relevance"), F.desc("confidence"), "place"]
-    best = rows.withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where("_n = 1")
     score = F.col("rerank_score") if "rerank_score" in evidence.columns else F.lit(None).cast("double")
-    best = best.withColumns({"_score": score, "_relevance": gates.evidence_relevance("question", "phrase", "excerpt")})
-    confidence, routing = gates.gated("question", "phrase", "_relevance", "confidence", "_score", config)
-    return best.select("query_id", "chunk_id", "phrase", F.bround(confidence, 1).alias("confidence"), routing.alias("routing"))
+    rows = evidence.where(F.col("place") <= config.evidence).withColumn("_score", score)
+    shown = rows.groupBy("query_id", "question").agg(F.sort_array(F.collect_list(F.struct("place", "chunk_id", "content", "chunk_type", "confidence", "_score"))).alias("_e"))  # at most config.evidence structs
+    chosen = C.arrow(lambda q, e: list(map(str, phrases.answer(q or "", [(x["content"] or "", x["chunk_type"], x["confidence"]) for x in e], config=config))), "array<string>")
+    best = shown.withColumn("_a", chosen("question", "_e")).select(
+        "query_id", "question", F.col("_a")[0].alias("phrase"), F.get("_e", F.greatest(F.col("_a")[1].cast("int"), F.lit(0)))["chunk_id"].alias("chunk_id"), F.col("_e")[0]["_score"].alias("_score"),
+        F.transform("_e", lambda x: T.truncate(x["content"], config.excerpt_chars)).alias("excerpts"), F.col("_e")[0]["confidence"].alias("_top"),
+    ).withColumn("_excerpt", F.coalesce(F.col("excerpts")[0], F.lit("")))
+    terms = T.content_terms("question")
+    shares = F.when(F.size(terms) > 0, F.exists(terms, lambda t: F.contains(F.lower("_excerpt"), t)))
+    best = best.withColumns({"_confidence": gates.dampened("_top", C.arrow(C.without_subject, "boolean")(F.coalesce("question", F.lit(""))), F.lit(False), shares, config), "_relevance": gates.evidence_relevance("question", "phrase", "_excerpt")})
+    confidence, routing = gates.gated("question", "phrase", "_relevance", "_confidence", "_score", config)
+    return best.select("query_id", "chunk_id", "phrase", F.bround(confidence, 1).alias("confidence"), routing.alias("routing"), "excerpts")
 
 
 def valid_cache(cache: DataFrame, documents: DataFrame) -> DataFrame:
