@@ -11,7 +11,7 @@ from ..config import DEFAULT
 from ..functions import lexicon as L
 from ..functions import text as T
 from ..operators import gates, ingest, metrics, ordered, retrieval, scope, store
-from ..session import table
+from ..session import settle, table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
@@ -100,7 +100,7 @@ def _ent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lex = _lex(spark, sf_dir)
+    lex = settle(_lex(spark, sf_dir), "lex")  # used twice
     return retrieval.hybrid_candidates(lex, retrieval.admitted_vectors(lex, _examples(spark, sf_dir), _chunks(spark, sf_dir), "id", "embedding"), _ent(spark, sf_dir))
 
 
