@@ -397,18 +397,48 @@ _CODE = re.compile(r"\b[A-Z]{1,4}-\d{1,5}\b")
 _LIST = re.compile(r"^\s*(?:[-*•]|\d{1,3}[.)])\s+\S")
 
 
+_DIGITS = re.compile(r"\d+")
+_SMALL = re.compile("[a-z]+")
+_VERSION = re.compile(r"(?i)rev[.] ?[0-9]|version")
+
+
+@lru_cache(maxsize=10_000)
 def _line_key(line: str) -> str:
     """What repeats in a running header: its words without case, digits and look-alikes."""
-    s = re.sub(r"\s+", " ", re.sub(r"\d+", "0", line.strip().lower()))
-    return s.translate(str.maketrans("|!@†", "llat")).replace("vv", "w").replace("rn", "m").replace("c", "e").replace("0", "o")
+    s = " ".join(_DIGITS.sub("0", line.lower()).split())
+    return s.replace("|", "l").replace("!", "l").replace("@", "a").replace("†", "t").replace("vv", "w").replace("rn", "m").replace("c", "e").replace("0", "o")
+
+
+def _small(text: str) -> int:
+    """A lower bound, cheap to have, of the small letters in a text."""
+    return sum(map(len, _SMALL.findall(text)))
 
 
 def _shouted(text: str) -> bool:
     """Whether a whole text is in capitals, or all its words begin with one, so that capitals say nothing about a line of it."""
-    if sum(map(str.isupper, text)) > 3 * sum(map(str.islower, text)):
+    small = _small(text)
+    if 3 * small < len(text) - small and sum(map(str.isupper, text)) > 3 * sum(map(str.islower, text)):
         return True
-    words = [w for w in text.split() if w[0].isalpha()]
-    return len(words) > 30 and sum(w[0].isupper() for w in words) > 0.9 * len(words)
+    first = "".join([w[0] for w in text.split()])
+    if _small(first) > 0.11 * len(first):
+        return False
+    letters = [c for c in first if c.isalpha()]
+    return len(letters) > 30 and sum(map(str.isupper, letters)) > 0.9 * len(letters)
+
+
+def _capitals(s: str) -> bool:
+    """Whether over 0.85 of a line's letters are capitals."""
+    if _small(s) > 0.16 * len(s):
+        return False
+    letters = [c for c in s if c.isalpha()]
+    return sum(map(str.isupper, letters)) / (len(letters) or 1) > 0.85
+
+
+def _names_version(s: str) -> bool:
+    if s.isascii():  # beyond, small and capital letters don't pair off
+        small = s.lower()
+        return "version" in small or "rev." in small and bool(_VERSION.search(s))
+    return bool(_VERSION.search(s))
 
 
 def _filled(lines: list[str]) -> list[tuple[int, str, str]]:
@@ -418,34 +448,46 @@ def _filled(lines: list[str]) -> list[tuple[int, str, str]]:
     return [(i, shown[n], shown[n + 2]) for n, i in enumerate(at)]
 
 
-def line_features(lines: list[str], i: int, before: str, after: str, page: int, pages: int, repeated: Counter, shouted: bool = False) -> list[str]:
+def _line_values(lines: list[str], i: int, before: str, after: str, page: int, pages: int, repeated: Counter, shouted: bool = False) -> tuple:
+    """What :func:`line_features` puts into words; few lines differ in it."""
     s = lines[i].strip()
     words = s.split()
     blank_before, blank_after = i > 0 and not lines[i - 1].strip(), i + 1 < len(lines) and not lines[i + 1].strip()
     first, last = not before, not after
-    letters = [c for c in s if c.isalpha()]
-    upper = sum(c.isupper() for c in letters) / (len(letters) or 1)
-    long_words = [w for w in words if len(w) > 2 and any(c.isalpha() for c in w)]
-    title = sum(w.lstrip("(")[:1].isupper() for w in long_words) / (len(long_words) or 1)
     ended = not before or before.endswith((".", "!", "?", ":"))
     number = bool(_NUMBER_LINE.match(s))
-    kind = "number" if number else "other" if shouted else "caps" if upper > 0.85 and len(long_words) > 2 else "title" if title > 0.8 and len(long_words) > 2 else "other"
+    kind = "number" if number else "other"
+    if not number and not shouted:
+        long_words = [w for w in words if len(w) > 2 and (w.isalpha() or any(map(str.isalpha, w)))]
+        if len(long_words) > 2:
+            kind = "caps" if _capitals(s) else "title" if sum([w.lstrip("(")[:1].isupper() for w in long_words]) / len(long_words) > 0.8 else "other"
     size = "1-3" if len(words) < 4 else "4-15" if len(words) < 16 else "16+"
-    bars = s.count(" | ")
     place = "only" if first and last else "first" if first else "last" if last else "mid"
-    opening = first and page <= 1
+    return (
+        kind, size, place, number and bool(_ROMAN.match(s)), number, s.endswith((".", ",", ";")), s.endswith((".", ",", ";", ":")), min(2, repeated[_line_key(s)] - 1), first and blank_after, first and page <= 1 and blank_after,
+        not ended and after[:1].islower(), blank_before, blank_after, min(s.count(" | "), 3), " | " in before or " | " in after, bool(_CODE.search(s)), bool(_LIST.match(s)), s[:1] in "#<{=*>|`!" or s[:1] == chr(92),
+        "€" in s or "£" in s or "$" in s or "%" in s, _names_version(s), "60-" if len(s) < 60 else "140-" if len(s) < 140 else "140+", s[:1].islower(), len(s) > 8, " - " in s or " — " in s, number and s[:1] in "[(",
+    )
+
+
+def _line_names(values: tuple) -> list[str]:
+    kind, size, place, roman, number, stop, pause, again, heading, opening, cuts, blank_before, blank_after, bars, bars_near, code, item, mark, money, version, length, lower, long, dashes, bracket = values
     return [
         "bias", f"kind={kind}", f"size={size}", f"kind,size={kind},{size}", f"place={place}", f"kind,place={kind},{place}",
-        f"roman={bool(_ROMAN.match(s))},{number}", f"stop={s.endswith(('.', ',', ';'))}", f"kind,stop={kind},{s.endswith(('.', ',', ';', ':'))}",
-        f"again={min(2, repeated[_line_key(s)] - 1)},{kind}", f"heading={first and blank_after},{kind}", f"opening={opening and blank_after},{kind}",
-        f"cuts={not ended and after[:1].islower()},{kind}", f"blank={blank_before},{blank_after},{kind}",
-        f"bars={min(bars, 3)},{bool(before.count(' | ') or after.count(' | '))},{kind}", f"code={bool(_CODE.search(s))},{kind},{size}",
-        f"list={bool(_LIST.match(s))}", f"mark={s[:1] in '#<{=*>|`!' or s[:1] == chr(92)}", f"money={bool(re.search('[€£$%]', s))},{kind}", f"version={bool(re.search(r'(?i)rev[.] ?[0-9]|version', s))},{kind}",
-        f"length={'60-' if len(s) < 60 else '140-' if len(s) < 140 else '140+'},{kind}", f"lower={s[:1].islower()},{len(s) > 8},{number}", f"lower,again={s[:1].islower()},{min(2, repeated[_line_key(s)] - 1)},{size}",
-        f"dashes={' - ' in s or ' — ' in s},{kind}", f"bracket={s[:1] in '[(' and number},{place}",
+        f"roman={roman},{number}", f"stop={stop}", f"kind,stop={kind},{pause}",
+        f"again={again},{kind}", f"heading={heading},{kind}", f"opening={opening},{kind}",
+        f"cuts={cuts},{kind}", f"blank={blank_before},{blank_after},{kind}",
+        f"bars={bars},{bars_near},{kind}", f"code={code},{kind},{size}",
+        f"list={item}", f"mark={mark}", f"money={money},{kind}", f"version={version},{kind}",
+        f"length={length},{kind}", f"lower={lower},{long},{number}", f"lower,again={lower},{again},{size}",
+        f"dashes={dashes},{kind}", f"bracket={bracket},{place}",
     ]
 
 
+def line_features(lines: list[str], i: int, before: str, after: str, page: int, pages: int, repeated: Counter, shouted: bool = False) -> list[str]:
+    return _line_names(_line_values(lines, i, before, after, page, pages, repeated, shouted))
+
+
 LINE_CLASSES = ["text", "running_header", "page_number"]
 
 
@@ -539,13 +581,13 @@ def label_lines(lines: list[str], page: int, pages: int, repeated: Counter, mode
     found = ["text"] * len(lines)
     shouted = _shouted("\n".join(lines))
     for i, before, after in _filled(lines):
-        found[i] = _best_line(model, tuple(line_features(lines, i, before, after, page, pages, repeated, shouted)))
+        found[i] = _best_line(model, _line_values(lines, i, before, after, page, pages, repeated, shouted))
     return found
 
 
 @lru_cache(maxsize=100_000)
-def _best_line(model: Perceptron, features: tuple[str, ...]) -> str:
-    return model.best(features, LINE_CLASSES)
+def _best_line(model: Perceptron, values: tuple) -> str:
+    return model.best(_line_names(values), LINE_CLASSES)
 
 
 def analyse(text: str, editor: CharacterEditor, model: Perceptron, page: int = 0, pages: int = 0, repeated: Counter | None = None, repair: bool = False) -> tuple[set[str], str]:
@@ -559,6 +601,7 @@ def analyse(text: str, editor: CharacterEditor, model: Perceptron, page: int = 0
     text_lines = [i for i, x in enumerate(labels) if x == "text"]
     ends: list[str] = []
     tail = ""  # the first half of a word broken at the end of the line before
+    seen = editor.known
     for at, i in enumerate(text_lines):
         line = made = lines[i]
         stripped = line.strip()
@@ -570,10 +613,22 @@ def analyse(text: str, editor: CharacterEditor, model: Perceptron, page: int = 0
             kinds.add("misread")
             made = "- " + stripped[2:]
         join = "S"
-        if _BROKEN.search(stripped):
+        if stripped[-1] in _HYPHEN and _BROKEN.search(stripped):
             after = next((j for j in text_lines[at + 1 :] if lines[j].strip()), None)
             join = editor.join(made.strip(), None if after is None else lines[after], after is not None and text_lines[at + 1] != after)
         broken = join == "J"
+        if not broken and not tail:  # most lines: nothing but whole words, most of them looked at before
+            strange = False
+            for word in _TOKEN.findall(made):
+                if (seen[word] if word in seen else editor.edit(word)) is not None:
+                    strange = True
+                    break
+            if not strange:
+                if join != "S":
+                    kinds.add("hyphen_break")
+                body.append(made)
+                ends.append(join)
+                continue
         words = list(_TOKEN.finditer(made))
         new: list[tuple[int, int, str]] = []
         for n, m in enumerate(words):
