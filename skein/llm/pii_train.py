@@ -112,6 +112,14 @@ class Maker:
             return self.titled(2, 2)
         return f"{self.titled(1, 2)} {self.r.choice(_PRODUCT)}" if p < 0.8 else f"{self.titled(1, 1)} {self.one('Second', 'Interest-Only', 'Buy-to-Let', 'Low-Cost', 'Self-Service', 'All-in-One')} {self.one(self.r.choice(_PRODUCT), '')}".strip()
 
+    def named_thing(self) -> str:
+        """A product or the like that is easily taken for somebody: its first word may be a first name, its words may be misspelt or the space between them slipped."""
+        made = self.one(self.product(), self.titled(2, 2), f"{self.r.choice(FIRST)} {self.titled(1, 1)}")
+        p, at = self.r.random(), made.find(" ")
+        if p < 0.3:
+            return self.misspell(made)
+        return made[: at - 1] + " " + made[at - 1] + made[at + 1 :] if p < 0.4 and at > 1 else made
+
     def role(self) -> str:
         made = f"{self.word()} {self.r.choice(_ROLE)}"
         return made.title() if self.r.random() < 0.35 else made
@@ -272,9 +280,9 @@ class Maker:
         what = one("loan", "ticket", "case", "policy", "policy no", "invoice", "account", "account no", "order", "ref", "reference", "claim", "file", "loan no.", "batch", "batch no", "escrow ref", "docket", "template", "doc id", "version", "error", "account ending", "contract", "booking", "form", "serial", "item", "row", "page", "section", "case no.", "ticket #", "invoice no", "tracking", "member no", "folio", "expediente", "poliza", "Rechnung")
         place = one(self.titled(1, 2), self.titled(1, 1), r.choice(_STREETS))
         some = self.one(s(1), s(2), s(2), s(3), s(3), f"{s(3)},{s(3)}", s(4))
-        shown = self.one(self.titled(2, 2), self.titled(2, 2), self.product(), self.product(), self.titled(1, 3), self.firm(), self.titled(1, 1))
-        if r.random() < 0.3:  # names of things where names of people may stand
-            return [(self.one(f"{one('does', 'is', 'can', 'why is', 'what is', 'has', 'will', 'are')} {shown} {r.choice(_VERBS + ['open', 'for', 'available', 'right', 'priced', 'and', 'or'])} {thing}", f"{self.plain()} {one('for', 'on', 'of', 'with', 'from', 'about', 'vs', 'in', 'under', 'and', 'the')} {shown}{one('', '', tail)}", f"{shown} {one('fees', 'limits', 'terms', 'rate', 'minimum', 'case', 'list', 'guide', 'sheet', r.choice(_VERBS))} {self.plain()}", f"the {one('', 'old ', 'new ', self.word() + ' ')}{shown} {self.word()}{tail}", f"{one('want', 'need', 'about', 'use', 'prefer', 'read', 'compare', 'open', 'max', 'min', 'limit of')} {shown}{tail}"), "")]
+        shown = self.one(self.titled(2, 2), self.titled(2, 2), self.product(), self.product(), self.titled(1, 3), self.firm(), self.titled(1, 1), *[self.named_thing() for _ in range(4)])
+        if r.random() < 0.4:  # names of things where names of people may stand
+            return [(self.one(f"{self.words(1, 6)} {one('for', 'on', 'of', 'at', 'to', 'under')} {shown}{one('', '', tail)}", f"{one('does', 'is', 'can', 'why is', 'what is', 'has', 'will', 'are')} {shown} {r.choice(_VERBS + ['open', 'for', 'available', 'right', 'priced', 'and', 'or'])} {thing}", f"{self.plain()} {one('for', 'on', 'of', 'with', 'from', 'about', 'vs', 'in', 'under', 'and', 'the')} {shown}{one('', '', tail)}", f"{shown} {one('fees', 'limits', 'terms', 'rate', 'minimum', 'case', 'list', 'guide', 'sheet', r.choice(_VERBS))} {self.plain()}", f"the {one('', 'old ', 'new ', self.word() + ' ')}{shown} {self.word()}{tail}", f"{one('want', 'need', 'about', 'use', 'prefer', 'read', 'compare', 'open', 'max', 'min', 'limit of')} {shown}{tail}"), "")]
         return [(r.choice([
             f"{lead}{some} {r.choice(_UNITS)}{tail}", f"{self.plain()} {one('within', 'in', 'after', 'over', 'under', 'is', 'of', 'for', 'about', 'at least')} {some} {r.choice(_UNITS)}{one('', tail)}", f"{self.plain()} {some} {self.word()} {self.word()}{one('', tail)}", f"{one('within', 'over', 'max')} {some} {r.choice(_UNITS)} and {s(2)} {r.choice(_UNITS)}{tail}",
             f"{lead}{what} {number}{tail}", f"{what} {number} {self.plain()}", f"{what} {number}", f"{self.plain()}", f"{self.plain()}", f"{lead}{thing}{tail}",

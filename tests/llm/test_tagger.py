@@ -40,3 +40,11 @@ def test_scores_against_single_steps():
                 hidden[d, i] = state = sigmoid(c) * np.tanh(cell)
         wanted = hidden[0] @ w["out"][:h] + hidden[1] @ w["out"][h:] + w["out_b"]
         assert np.abs(found[:n] - wanted).max() < 1e-2  # 32 bits against 64
+
+
+def test_things_are_nobody():
+    """Names of things whose first word is a first name, or that are misspelt, and ends of account numbers."""
+    things = ["minimum score for Willow Saver at 5%?", "max ltv for Willow Starter", "list documents for Willow Starter", "do I need a pricing grid for Willow Starter", "account ending 3444, is the consent form ok", "account ending 2825, is the identity check ok"]
+    assert sum(map(bool, pii.find(things))) <= 1
+    people = ["status of Sofia Marenko's consent form", "my name is Petra Yarosan and I need a copy", "please tell Ravi Ostmoran that it was wrong", "I live at 1024 Birchgate Avenue, Dunmarrow"]
+    assert all(pii.find(people))
